@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permitlake.llm import langid, pii, quality, toxicity
+from permitlake.llm import langid, mixing, packing, pii, quality, toxicity
 from permitlake.llm.common import held_out, table
 
 
@@ -24,6 +24,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layout = packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+    return layout.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~held_out(F.col("doc_id"))))
@@ -39,11 +44,18 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(text_of("base_spans"), 256).alias("base_sha256"), text_of("spans").alias("spans"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.in_order(mixing.mix(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op6_packing": op6_packing,
     "op7_langid": op7_langid,
     "op9_pii": op9_pii,
+    "op10_mixing": op10_mixing,
 }
 
 SQL: dict[str, str] = {}
