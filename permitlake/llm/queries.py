@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permitlake.llm import langid, mixing, packing, pii, quality, toxicity
+from permitlake.llm import langid, mixing, neardup, packing, pii, quality, toxicity
 from permitlake.llm.common import held_out, table
 
 
@@ -24,6 +24,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text")
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
     return layout.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -52,6 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op5_neardup": op5_neardup,
     "op6_packing": op6_packing,
     "op7_langid": op7_langid,
     "op9_pii": op9_pii,
