@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permitlake.llm import langid, mixing, neardup, packing, pii, quality, toxicity
+from permitlake.llm import langid, mixing, neardup, packing, pii, quality, substrings, toxicity
 from permitlake.llm.common import held_out, table
 
 
@@ -40,6 +40,11 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.detect(docs, pii.fit(docs))
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_neardup": op5_neardup,
     "op6_packing": op6_packing,
     "op7_langid": op7_langid,
+    "op8_substrings": op8_substrings,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
 }
