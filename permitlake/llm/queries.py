@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permitlake.llm import langid, mixing, neardup, packing, pii, quality, substrings, toxicity
+from permitlake.llm import langid, mixing, neardup, packing, pii, quality, rabitq, substrings, toxicity
 from permitlake.llm.common import held_out, table
 
 
+def op1_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(toxicity.training_rows(docs, labels))
@@ -59,6 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rabitq": op1_rabitq,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_neardup": op5_neardup,
