@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permitlake.llm.common import held_out
+from permitlake.llm.common import held_out, materialize
 
 TOKEN = re.compile(r"\w+")
 FLUSH = 200_000
@@ -43,6 +43,7 @@ class Params:
     min_z: float = 3.5  #: a kept term's z-score, at least
     min_docs: int = 4  #: documents that a kept term occurs in, at least
     max_terms: int = 100_000  #: bound of the model: terms kept, largest z first
+    max_rows: int = 40_000  #: bound of the training sample
     drift: float = 0.35  #: taken from each token's score
     threshold: float = 0.3  #: predicted = 1 from this score on
 
@@ -223,7 +224,16 @@ def score(docs: DataFrame, model: Model, params: Params = Params()) -> DataFrame
     return out.withColumn("predicted", (F.col("score") >= params.threshold).cast("int"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (text, toxic) of the labelled documents outside the held-out fold."""
-    marked = labels.where(~held_out(F.col("doc_id"))).select("doc_id", "toxic").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(marked, "doc_id").select("text", "toxic")
+def training_rows(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
+    """Rows (text, toxic) of labelled documents outside the held-out fold.
+
+    At most about ``max_rows`` of them, drawn by a hash of the id; so the
+    labels are small enough to broadcast, and no text is shuffled. The rows are
+    written once, as ``fit`` reads them several times.
+    """
+    marked = labels.where(~held_out(F.col("doc_id"))).select("doc_id", "toxic").where("doc_id is not null and toxic is not null")
+    n = marked.count()
+    if n > params.max_rows:
+        marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(params.max_rows / n * (1 << 30)))
+    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return materialize(docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("text", "toxic"), "toxicity-rows")
