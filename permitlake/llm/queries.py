@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permitlake.llm import langid, mixing, neardup, packing, pii, quality, rabitq, substrings, toxicity
+from permitlake.llm import langid, mixing, neardup, packing, pii, quality, rabitq, substrings, toxicity, warc
 from permitlake.llm.common import held_out, table
 
 
@@ -15,6 +15,13 @@ def op1_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabitq.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    _, index = warc.archive(pages)
+    found = warc.lookup(index, warc.page_keys(pages))
+    return warc.read_records(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(toxicity.training_rows(docs, labels))
@@ -64,6 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rabitq": op1_rabitq,
+    "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_neardup": op5_neardup,
@@ -74,4 +82,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+             d AS (SELECT page_id, n, sha1(html) AS digest FROM p),
+             m AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS kept FROM d)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> kept THEN kept END AS refers_to
+        FROM m""",
+}
