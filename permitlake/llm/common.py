@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROW = "__row"
+
+
+def carry(docs: DataFrame, made: tuple[str, ...], *needed: Column) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """The needed columns beside the whole row as one, and what lays the row out again.
+
+    So no column of a caller's can clash with an operator's own; columns named
+    like those made are replaced.
+    """
+    own = [c for c in docs.columns if c not in made]
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias(ROW), *needed)
+    return packed, lambda df, *cols: df.select(*(F.col(ROW).getField(c).alias(c) for c in own), *cols)
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that no model learns from: crc32 of the id's text, mod 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

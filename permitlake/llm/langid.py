@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from permitlake.llm.common import carry
+
 WORD = re.compile(r"[^\W\d_]+")
 FLUSH = 200_000
 CACHE = 200_000  # scored unseen words that a task keeps
@@ -175,5 +177,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for texts in parts:
             yield pd.DataFrame([scorer(t) for t in texts], columns=["lang_pred", "score"])
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, predicted("text").alias("_p")).select(*kept, "_p.lang_pred", "_p.score")
+    out, laid_out = carry(docs, ("lang_pred", "score"), predicted("text").alias("p"))
+    return laid_out(out, "p.lang_pred", "p.score")

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from permitlake.llm.common import carry
+
 OTHER = "\x00other"
 
 
@@ -104,18 +106,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, p: Params = Pa
 
     Columns of ``docs`` with those names are replaced.
     """
-    own = [c for c in docs.columns if c not in ("block", "slot", "place")]
     found = docs.groupBy(F.coalesce("source", F.lit("")).alias("s")).count().orderBy(F.desc("count"), "s").limit(p.max_sources + 1).collect()
     named = [r["s"] for r in found[: p.max_sources]] if len(found) > p.max_sources else [r["s"] for r in found]
     source = F.coalesce("source", F.lit(""))
+    buckets = max(1, -(-docs.count() // p.bucket_rows))
     if len(found) > p.max_sources:
         named = named[:-1]
         source = F.when(source.isin(*named), source).otherwise(F.lit(OTHER))
-    keyed = docs.select(*own).withColumn("_s", source)
-    total = sum(r["count"] for r in found)
-    key = [F.xxhash64("doc_id", "text") if "text" in own else F.xxhash64("doc_id")]
-    buckets = max(1, -(-total // p.bucket_rows))
-    keyed = keyed.withColumn("_h", key[0]).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    h = F.xxhash64("doc_id", "text") if "text" in docs.columns else F.xxhash64("doc_id")
+    keyed, laid_out = carry(docs, ("block", "slot", "place"), source.alias("_s"), h.alias("_h"), F.col("doc_id").alias("_id"))
+    keyed = keyed.withColumn("_b", F.pmod("_h", F.lit(buckets)))
     counts = keyed.groupBy("_s", "_b").agg(F.count("*").alias("n"))
     before = counts.withColumn("_o", F.sum("n").over(W.partitionBy("_s").orderBy("_b")) - F.col("n")).drop("n")
     sizes = {r["_s"]: r["n"] for r in counts.groupBy("_s").agg(F.sum("n").alias("n")).collect()}  # max_sources rows
@@ -137,10 +137,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, p: Params = Pa
                 out[at] = x.first_slot + r // k * x.period + x.slots[name][r % k]
         return pd.Series(out)
 
-    rank = F.row_number().over(W.partitionBy("_s", "_b").orderBy("_h", "doc_id")) - 1
+    rank = F.row_number().over(W.partitionBy("_s", "_b").orderBy("_h", "_id")) - 1
     ranked = keyed.withColumn("_r", rank).join(before, ["_s", "_b"]).withColumn("_r", F.col("_r") + F.col("_o"))
     placed = ranked.withColumn("block", F.floor(F.col("_r") / p.block_docs).cast("long")).withColumn("place", (F.col("_r") % p.block_docs).cast("int"))
-    return placed.withColumn("slot", slot_of("_s", "block")).select(*own, "block", "slot", "place")
+    return laid_out(placed.withColumn("slot", slot_of("_s", "block")), "block", "slot", "place")
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from permitlake.llm.common import materialize, words
+from permitlake.llm.common import carry, materialize, words
 
 U = np.uint64
 #: Multipliers of a 64-bit finalizer, and the odd base of window hashes.
@@ -307,6 +307,5 @@ def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     keepers = classes(docs, p).where("kept and key is not null").select(F.col("key").alias("_k"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_d")).distinct()
     text_key = F.unhex(F.md5(F.array_join(words(F.col("text")), " ").cast("binary")))
     blank = F.size(words(F.col("text"))) == 0
-    own = docs.columns
-    full = docs.where(~blank).withColumn("_k", text_key).withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    return full.join(keepers, ["_k", "_d"]).dropDuplicates(["_k", "_d"]).select(own).unionByName(docs.where(blank))
+    full, laid_out = carry(docs.where(~blank), (), text_key.alias("_k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_d"))
+    return laid_out(full.join(keepers, ["_k", "_d"]).dropDuplicates(["_k", "_d"])).unionByName(docs.where(blank))

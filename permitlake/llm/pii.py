@@ -35,6 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from permitlake.llm.common import carry
+
 #: The kinds in their order of listing.
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Looking behind for a digit keeps the leftmost
@@ -315,5 +317,5 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
         return pd.DataFrame(rows, columns=["base_spans", "spans", "redacted"])
 
     names = ("base_spans", "spans", "redacted")
-    kept = [c for c in docs.columns if c not in names]
-    return docs.select(*kept, found("text").alias("_f")).select(*kept, *(f"_f.{c}" for c in names))
+    out, laid_out = carry(docs, names, found("text").alias("f"))
+    return laid_out(out, *(f"f.{c}" for c in names))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from permitlake.llm.common import SPACE_RUN, materialize, words
+from permitlake.llm.common import ROW, SPACE_RUN, carry, materialize, words
 
 #: Character classes in the order in which they are taken out of a text.
 CLASSES = (
@@ -181,12 +181,13 @@ def judge(docs: DataFrame, refs: References, p: Params = Params()) -> DataFrame:
     """The rows of ``docs`` with the base counts, base_failed, char_distance, word_distance
     and kept; columns with those names are replaced."""
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
-    own = [c for c in docs.columns if c not in made]
-    text = F.coalesce("text", F.lit(""))
-    split = docs.select(*own, words(text).alias("_w"), _classes(text).alias("_c"), F.filter(F.split(text, "\n"), lambda s: s.rlike("[^\x20\x09-\x0D]")).alias("_l"))
+    held, laid_out = carry(docs, made, F.coalesce("text", F.lit("")).alias("text"))
+    text = F.col("text")
+    split = held.select(ROW, "text", words(text).alias("_w"), _classes(text).alias("_c"), F.filter(F.split(text, "\n"), lambda s: s.rlike("[^\x20\x09-\x0D]")).alias("_l"))
     name = {c: i for i, (c, _) in enumerate(CLASSES)}
     counted = split.select(
-        *own,
+        ROW,
+        "text",
         "_c",
         F.size("_w").cast("long").alias("n_words"),
         (F.aggregate("_c", F.lit(0).cast("long"), lambda a, x: a + x) - F.col("_c")[name["space"]]).alias("word_chars"),
@@ -207,7 +208,7 @@ def judge(docs: DataFrame, refs: References, p: Params = Params()) -> DataFrame:
     judged = judged.withColumn("word_distance", word_far)
     within = lambda c, limit: F.coalesce(F.col(c) <= limit, F.lit(True))
     kept = ~F.col("base_failed") & within("char_distance", p.char_limit) & within("word_distance", p.word_limit)
-    return judged.withColumn("kept", kept).select(*own, *made)
+    return judged.withColumn("kept", kept).transform(laid_out, *made)
 
 
 def _nearest_let(terms: Column, references: tuple[tuple[float, ...], ...]) -> Column:

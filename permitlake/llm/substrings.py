@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permitlake.llm.common import words
+from permitlake.llm.common import ROW, carry, words
 
 U = np.uint64
 #: The odd base of the rolling hash and its inverse modulo 2^64.
@@ -235,7 +235,6 @@ def remove(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of ``docs`` with n_words, n_removed, removed (maximal intervals) and kept_text,
     the kept words joined by one space; columns so named are replaced."""
     made = ("n_words", "n_removed", "removed", "kept_text")
-    own = [c for c in docs.columns if c not in made]
     spans = repeats(docs, p).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("start").alias("_a"), F.collect_list("upto").alias("_b"))
 
     @F.pandas_udf("struct<n_words long, n_removed long, removed array<struct<start int, end int>>, kept_text string>")
@@ -252,5 +251,6 @@ def remove(docs: DataFrame, p: Params = Params()) -> DataFrame:
             rows.append((len(found), len(found) - len(kept), [{"start": x, "end": y} for x, y in gone], b" ".join(kept).decode()))
         return pd.DataFrame(rows, columns=list(made))
 
-    joined = docs.select(*own).join(spans.hint("shuffle_hash"), docs["doc_id"] == F.col("_doc"), "left")
-    return joined.select(*own, cut("text", "_a", "_b").alias("_c")).select(*own, *(f"_c.{c}" for c in made))
+    held, laid_out = carry(docs, made, F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    joined = held.join(spans.hint("shuffle_hash"), F.col("_id") == F.col("_doc"), "left")
+    return laid_out(joined.select(ROW, cut("_text", "_a", "_b").alias("c")), *(f"c.{c}" for c in made))

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permitlake.llm.common import held_out, materialize
+from permitlake.llm.common import carry, held_out, materialize
 
 TOKEN = re.compile(r"\w+")
 FLUSH = 200_000
@@ -219,9 +219,8 @@ def score(docs: DataFrame, model: Model, params: Params = Params()) -> DataFrame
         p = 1 / (1 + np.exp(-np.clip(m.slope * x + m.intercept, -30, 30)))
         return pd.DataFrame({"score": p, "passages": [[{"start": a, "end": b, "score": s} for a, b, s in f] for _, f in out]})
 
-    kept = [c for c in docs.columns if c not in ("score", "predicted", "passages")]
-    out = docs.select(*kept, scored("text").alias("_s")).select(*kept, "_s.score", "_s.passages")
-    return out.withColumn("predicted", (F.col("score") >= params.threshold).cast("int"))
+    out, laid_out = carry(docs, ("score", "predicted", "passages"), scored("text").alias("s"))
+    return laid_out(out, "s.score", (F.col("s.score") >= params.threshold).cast("int").alias("predicted"), "s.passages")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
