@@ -1,0 +1,39 @@
+"""Sensitive-pattern detection over a text column."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Pattern name, regular expression, severity and action.
+PATTERNS = (
+    ("ssn", r"\b\d{3}-\d{2}-\d{4}\b", "critical", "block"),
+    ("api-keys", r"(?:api[_-]?key|secret[_-]?key|access[_-]?token)\s*[:=]\s*['\"][a-zA-Z0-9]{16,}['\"]", "critical", "block"),
+    ("service-token", r"(?:api[_-]?key|secret|token)\s*[:=]\s*['\"][a-zA-Z0-9]{20,}['\"]", "critical", "block"),
+    ("email-bulk", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "low", "log"),
+    ("diagnosis-code", r"\b[A-Z]\d{2}\.\d{1,4}\b", "medium", "log"),
+    ("credit-card", r"\b(?:\d{4}[- ]?){3}\d{4}\b", "critical", "block"),
+    ("registry-credential", r"(?:registry[_-]?password|docker[_-]?token|oci[_-]?secret)\s*[:=]\s*['\"][^'\"]{8,}['\"]", "critical", "block"),
+    ("unpinned-checkpoint", r"(?:from_pretrained|ollama\s+pull|--model)\s+['\"]?[\w./-]+:latest", "medium", "warn"),
+)
+#: Names of columns that hold sensitive data.
+FIELD_NAMES = {
+    "mrn": ("mrn", "medical_record", "patient_id", "patientId"),
+    "dob": ("date_of_birth", "dob", "birthDate", "birth_date"),
+    "cvv": ("cvv", "cvc", "cvv2", "security_code"),
+    "account-number": ("account_number", "accountNumber", "routing_number", "iban"),
+    "customer-email": ("customer_email", "buyer_email"),
+    "tenant": ("tenant_id", "org_id", "workspace_id"),
+}
+
+
+def hits(docs: DataFrame) -> DataFrame:
+    """Documents that match each pattern: one pass over the texts, counts by partial aggregation."""
+    flags = [F.count_if(F.col("text").rlike(regex)).alias(f"p{i}") for i, (_, regex, _, _) in enumerate(PATTERNS)]
+    rows = F.array(*(F.struct(F.lit(n).alias("pattern"), F.lit(s).alias("severity"), F.lit(a).alias("action"), F.col(f"p{i}").alias("documents")) for i, (n, _, s, a) in enumerate(PATTERNS)))
+    return docs.agg(*flags).select(F.inline(rows))
+
+
+def sensitive_columns(df: DataFrame) -> dict[str, str]:
+    """Columns whose names say that they are sensitive, with the kind."""
+    return {c: kind for c in df.columns for kind, names in FIELD_NAMES.items() if c in names}
