@@ -28,25 +28,25 @@ def query_vector(query: str) -> dict[int, float]:
     return {i: v / norm for i, v in sorted(out.items())}
 
 
-@F.pandas_udf("array<float>")
-def _embed(found: pd.Series) -> pd.Series:
-    known: dict[str, int] = {}
-
-    def one(words: list[str]) -> np.ndarray:
-        v = np.zeros(DIMENSIONS)
-        for w in words:
-            if w not in known:
-                known[w] = bucket(w)
-            v[known[w]] += 1.0
-        norm = math.sqrt(float(v @ v))
-        return (v / norm if norm else v).astype(np.float32)
-
-    return found.map(one)
+def _embedded(found: list[str], known: dict[str, int]) -> np.ndarray:
+    v = np.zeros(DIMENSIONS)
+    for w in found:
+        if w not in known:
+            known[w] = bucket(w)
+        v[known[w]] += 1.0
+    norm = math.sqrt(float(v @ v))
+    return (v / norm if norm else v).astype(np.float32)
 
 
 def embed(text: Column) -> Column:
     """Normalised float vectors; the hash isn't a Catalyst function, so Arrow batches."""
-    return _embed(tokens(F.coalesce(text, F.lit(""))))
+
+    @F.pandas_udf("array<float>")
+    def embedded(found: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+        return found.map(lambda words: _embedded(words, known))
+
+    return embedded(tokens(F.coalesce(text, F.lit(""))))
 
 
 def cosine(vector: Column, query: dict[int, float]) -> Column:
