@@ -41,8 +41,12 @@ def restrict(docs: DataFrame, candidates: Restricted | Unrestricted) -> DataFram
 
 
 def pinned(predicate: Column) -> Column:
-    """The predicate, in a form that the optimizer moves below no join."""
-    return F.when(F.rand(0) >= 0, predicate).otherwise(F.lit(False))
+    """The predicate, in a form that the optimizer moves below no join.
+
+    A random number under 1 is added to 1 or 0, which changes nothing but that the
+    comparison is not deterministic; a conditional would be split into a conjunction.
+    """
+    return F.when(predicate, F.lit(1.0)).otherwise(F.lit(0.0)) + F.rand(0) >= 1.0
 
 
 def bucket(subject: Column) -> Column:

@@ -1,0 +1,92 @@
+"""The synthetic corpus, the exhibit, the command line and the stream."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from permitlake import cli, synth
+from permitlake.plans import exhibit
+from permitlake.sources import corpus
+from permitlake.streaming import ledger as stream
+from worlds import NOW
+
+SMALL = synth.Params(subjects=40, documents_per_subject=2, rare_cells=5, traps=3, oracle_pairs=2)
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    return synth.generate(spark, SMALL)
+
+
+@pytest.fixture(scope="module")
+def written(made, tmp_path_factory):
+    path = tmp_path_factory.mktemp("corpus")
+    synth.write_corpus(made, str(path))
+    return path
+
+
+def test_invariants(made):
+    synth.check(made)
+    assert made.documents.count() == 80 and made.subjects.count() == 40
+    assert {r["consent_state"]: r["count"] for r in made.subjects.groupBy("consent_state").count().collect()} == {s: 2 * n for s, n in synth.STATES}
+    assert len(made.manifest["narrative_traps"]) == 3 and len(made.manifest["oracle_pairs"]) == 2
+    texts = [r["text"] for r in made.documents.collect()]
+    for pair in made.manifest["oracle_pairs"]:
+        assert sum(pair["present_token"] in t for t in texts) == 1 and not any(pair["absent_token"] in t for t in texts)
+    by_id = {r["doc_id"]: r for r in made.documents.collect()}
+    for trap in made.manifest["narrative_traps"]:
+        a, b = trap["span"]
+        story = by_id[trap["doc_id"]]["text"][a:b]
+        assert story.startswith("Known as the") and story.endswith("geese.")
+        assert all(s["end"] <= a for s in by_id[trap["doc_id"]]["identifiers"])
+
+
+def test_two_writings_are_the_same(spark, written, tmp_path):
+    synth.write_corpus(synth.generate(spark, SMALL), str(tmp_path))
+    for name in corpus.FILES.values():
+        assert (tmp_path / name).read_bytes() == (written / name).read_bytes()
+
+
+def test_exhibit(spark, written, tmp_path):
+    found = exhibit.run(spark, str(written))
+    assert found.exclusion.clean and not found.masking.clean and found.drill["all_dark"]
+    assert found.masking.by_vector()["oracle"] == 2 and found.masking.by_vector()["narrative"] > 0
+    assert found.counts["consented_subjects"] + found.counts["hidden_subjects"] == 40
+    assert "LeftSemi" in found.plan_exclusion and "LeftSemi" not in found.plan_masking
+    report = exhibit.markdown(found)
+    assert "| **leaks** |" in report and json.loads(exhibit.dump(found))["masking"]["total_leaks"] == len(found.masking.leaks)
+
+
+def test_command_line_exit_codes(monkeypatch, spark, tmp_path):
+    monkeypatch.setattr(cli, "_session", lambda: spark)
+    assert cli.main(["exhibit", "--corpus", str(tmp_path / "none")]) == cli.INCOMPLETE
+    assert cli.main(["exhibit", "--corpus", str(tmp_path), "--purpose", "marketing"]) == cli.INCOMPLETE
+    for exclusion, masking, code in ((1, 1, cli.LEAKED), (0, 0, cli.INCOMPLETE), (0, 1, cli.OK)):
+        from permitlake.operators.probes import Leak, ProbeResult
+
+        fake = exhibit.Exhibit(ProbeResult("masking", [Leak("oracle", "x", "y")] * masking, 1), ProbeResult("exclusion", [Leak("oracle", "x", "y")] * exclusion, 1), {"subject": "P", "all_dark": True, "worst_seconds": 0.0, "surfaces": []}, "", "", "direct_care", NOW.isoformat(), "pinned", dict.fromkeys(("subjects", "documents", "consented_subjects", "hidden_subjects"), 0))
+        monkeypatch.setattr(exhibit, "run", lambda *a, fake=fake: fake)
+        assert cli.main(["exhibit", "--corpus", "x", "--out", str(tmp_path / "r.md"), "--json", str(tmp_path / "r.json")]) == code
+
+
+def test_upsert_takes_the_last_row(spark):
+    log = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "doc_id string, seq int, text string")
+    assert {tuple(r) for r in corpus.upsert(log).select("doc_id", "text").collect()} == {("a", "y"), ("b", "z")}
+
+
+def test_stream_of_the_ledger(spark, made, tmp_path):
+    rows = corpus.permission_rows(made.permissions)
+    src, out, mark = (str(tmp_path / x) for x in ("rows", "latest", "checkpoint"))
+    rows.write.parquet(src)
+    for extra in (0, 1):
+        if extra:
+            rows.limit(3).withColumn("version", rows["version"] + 1).write.mode("append").parquet(src)
+        stream.maintain_latest(stream.stream_rows(spark, src), out, mark).awaitTermination()
+    from permitlake.functions import decide
+
+    everything = spark.read.parquet(src)
+    assert sorted(map(str, stream.current(spark, out).collect())) == sorted(map(str, decide.latest(everything.select(stream.current(spark, out).columns)).distinct().collect()))
+    q = stream.versions(stream.stream_rows(spark, src)).writeStream.outputMode("complete").format("memory").queryName("versions").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {tuple(r) for r in spark.table("versions").select("subject", "version").collect()} == {tuple(r) for r in decide.versions(everything).collect()}
