@@ -10,16 +10,20 @@ the probability of the texts' weighted Jaccard similarity; only ranks up to
 about ``t / weight`` are looked at, which makes that t darts a text however
 long, and the few texts with an empty coordinate look further.
 
-Bands of ``rows`` coordinates are join keys. In each bucket the members of one
-component are compared, by their shingles, with a leader of every other
-component, until no bucket yields a new link: the members of a bucket never
-pair up all with all. Components come from a min-label iteration over written
-tables; nothing is collected.
+Bands of ``rows`` coordinates are join keys. In each bucket the most central
+member (the one with most bucket mates) is compared with all others by their
+shingles; that settles most buckets without pairing their members. Where a
+bucket still holds several components, blocks of its members meet in tasks:
+all pairs of unlike components whose signatures may reach the similarity (by
+five standard deviations) are compared until they are one, and only the links
+that joined something are returned. So every pair that shares a bucket is
+decided, and no join or group ever emits all pairs. Components come from a
+min-label iteration over written tables; nothing is collected.
 
 Edge cases: null texts and texts without a word are each a class of their own;
 texts under five words have one shingle, all their words; repeated rows belong
 to one class; the kept document of a class is the one with the smallest doc_id
-(nulls last, then by text hash), and one row of it only if rows repeat.
+(nulls last), and one row of it only if rows repeat.
 """
 
 from __future__ import annotations
@@ -30,13 +34,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from permitlake.llm.common import carry, materialize, words
+from permitlake.llm.common import SPACES, carry, materialize, words
 
 U = np.uint64
+NO_ID = -(1 << 63)  # stands for a null doc_id in join keys
 #: Multipliers of a 64-bit finalizer, and the odd base of window hashes.
 M1, M2, GOLDEN = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 
@@ -45,10 +49,10 @@ M1, M2, GOLDEN = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7
 class Params:
     shingle: int = 5
     similarity: float = 0.8
-    bands: int = 24
-    rows: int = 5
+    bands: int = 18
+    rows: int = 4
     texts: int = 256  #: texts whose darts are thrown together
-    rounds: int = 12  #: a bound against endless loops; reached, it raises
+    block: int = 400  #: bucket members that meet in a task, twice that at most
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -74,9 +78,9 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return (x >> U(11)).astype(np.float64) * (1.0 / (1 << 53))
 
 
-#: The rank axis in cells: halved ever more finely towards 0, of length 1 from 1 on.
-FINE = 7
-EDGES = [0.0] + [2.0**-k for k in range(FINE, -1, -1)]
+#: The rank axis in cells: two up to 1, then of length 1.
+EDGES = [0.0, 0.125, 1.0]
+FINE = len(EDGES) - 2
 
 
 def _cell(c: int) -> tuple[float, float]:
@@ -125,10 +129,10 @@ def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
     owner = owner[at]
     rank = np.full(n * k, np.inf)
     ident = np.zeros(n * k, U)
-    limit = k * (math.log(k) + 3.0) / np.maximum(total, 1e-9)
+    limit = k * (math.log(k) + 2.5) / np.maximum(total, 1e-9)
     done, open_ = np.zeros(n), total > 0  # done: cells thrown so far
     while open_.any():
-        cells = np.array([next((c for c in range(FINE + 1) if EDGES[c + 1] >= x), FINE + int(math.ceil(x)) - 1) + 1 for x in limit])
+        cells = np.where(limit <= 1, 1 + np.searchsorted(EDGES[1:], limit), FINE + np.ceil(limit)).astype(np.int64)
         for c in range(int(cells[open_].max())):
             use = open_ & (done <= c) & (cells > c)
             sel = use[owner]
@@ -136,13 +140,9 @@ def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
                 continue
             o, coord, r, i = _throw(owner[sel], region[sel], share[sel], c, k)
             slot = o * k + coord
-            order = np.lexsort((i, r, slot))
-            slot, r, i = slot[order], r[order], i[order]
-            first = np.ones(len(slot), bool)
-            first[1:] = slot[1:] != slot[:-1]
-            slot, r, i = slot[first], r[first], i[first]
-            better = r < rank[slot]
-            rank[slot[better]], ident[slot[better]] = r[better], i[better]
+            np.minimum.at(rank, slot, r)
+            earliest = r == rank[slot]
+            ident[slot[earliest]] = i[earliest]
         done = np.where(open_, np.maximum(done, cells), done)
         open_ = open_ & np.isinf(rank.reshape(n, k)).any(axis=1)
         limit = np.where(open_, 2 * limit, limit)
@@ -153,17 +153,17 @@ def _weighted(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingle_hashes(h, n), return_counts=True)
 
 
-def band_keys(texts: list[np.ndarray], p: Params) -> np.ndarray:
-    """One row of ``bands`` keys per text, given as word hashes (one at least)."""
+def sketch(texts: list[np.ndarray], p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Per text, given as word hashes (one at least): ``bands`` keys, and a byte of each coordinate."""
     sets = [_weighted(h, p.shingle) for h in texts]
     owner = np.repeat(np.arange(len(sets)), [len(s) for s, _ in sets])
     sig = signatures(owner, np.concatenate([s for s, _ in sets]), np.concatenate([c for _, c in sets]).astype(float), len(sets), p.bands * p.rows)
-    sig = sig.reshape(len(sets), p.bands, p.rows)
+    cut = sig.reshape(len(sets), p.bands, p.rows)
     out = np.zeros((len(sets), p.bands), U)
     with np.errstate(over="ignore"):
         for i in range(p.rows):
-            out = mix64(out + GOLDEN) ^ sig[:, :, i]
-        return mix64(out + np.arange(1, p.bands + 1, dtype=U) * GOLDEN)
+            out = mix64(out + GOLDEN) ^ cut[:, :, i]
+        return mix64(out + np.arange(1, p.bands + 1, dtype=U) * GOLDEN), (sig >> U(56)).astype(np.uint8)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, n: int) -> float:
@@ -188,15 +188,17 @@ def _as_hashes(x) -> np.ndarray:  # noqa: ANN001
     return np.asarray(x, np.int64).view(U)
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the words; null without any) and word hashes."""
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    key = F.when(F.size("w") > 0, F.unhex(F.md5(F.array_join("w", " ").cast("binary"))))
-    return split.select("doc_id", key.alias("key"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+def _mark() -> Column:
+    """What tells rows of one doc_id apart: a hash of the text as it is."""
+    return F.xxhash64("text")
 
 
 def signed(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """Rows (doc_id, key, n, bands): the number of shingles and the band keys of every document."""
+    """Rows (doc_id, mark, key, n, bands, sig) of every document: a hash of its text, one of
+    its words (null without any), the number of shingles, and the sketch."""
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), words(F.col("text")).alias("w"))
+    key = F.when(F.size("w") > 0, F.unhex(F.md5(F.array_join("w", " ").cast("binary"))))
+    hashed = split.select("doc_id", "mark", key.alias("key"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -205,13 +207,16 @@ def signed(docs: DataFrame, p: Params = Params()) -> DataFrame:
                 hashes = [_as_hashes(x) for x in part["h"]]
                 full = [i for i, h in enumerate(hashes) if len(h)]
                 bands: list = [[]] * len(part)
+                sigs: list = [b""] * len(part)
                 if full:
-                    for i, row in zip(full, band_keys([hashes[i] for i in full], p).view(np.int64), strict=True):
-                        bands[i] = row
+                    keys, marks = sketch([hashes[i] for i in full], p)
+                    for i, row, m in zip(full, keys.view(np.int64), marks, strict=True):
+                        bands[i], sigs[i] = row, m.tobytes()
                 n = [max(1, len(h) - p.shingle + 1) if len(h) else 0 for h in hashes]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "key": part["key"].to_numpy(), "n": n, "bands": bands})
+                ids = part["doc_id"].astype("Int64").to_numpy()
+                yield pd.DataFrame({"doc_id": ids, "mark": part["mark"].to_numpy(), "key": part["key"].to_numpy(), "n": n, "bands": bands, "sig": sigs})
 
-    return _hashed(docs).mapInPandas(sign, "doc_id long, key binary, n int, bands array<long>")
+    return hashed.mapInPandas(sign, "doc_id long, mark long, key binary, n int, bands array<long>, sig binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,84 +233,132 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
 
 
-#: Leaders of a bucket that a round compares with its other members; None: one of every component.
-WIDTHS = (1, 8, 128, None)
+def block_links(group: pd.DataFrame, p: Params) -> list[tuple[int, int]]:
+    """Links that join the components of a block's members (node, comp, n, sig, units)."""
+    nodes, n = group["node"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
+    _, comp = np.unique(group["comp"].to_numpy(np.int64), return_inverse=True)
+    sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), -1)
+    k = sig.shape[1]
+    least = p.similarity - 5 * math.sqrt(p.similarity * (1 - p.similarity) / k)
+    pairs: list[np.ndarray] = []
+    for i in range(len(nodes) - 1):
+        agree = (sig[i + 1 :] == sig[i]).sum(axis=1)
+        small, large = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
+        j = np.flatnonzero((agree >= least * k) & (comp[i + 1 :] != comp[i]) & (small >= p.similarity * large))
+        if len(j):
+            pairs.append(np.stack([agree[j], np.full(len(j), i), j + i + 1], axis=1))
+    if not pairs:
+        return []
+    found = np.concatenate(pairs)
+    found = found[np.argsort(-found[:, 0], kind="stable")]
+    root, out = list(range(int(comp.max()) + 1)), []
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    units = [_as_hashes(x) for x in group["units"]]
+    for _, i, j in found.tolist():
+        a, b = top(comp[i]), top(comp[j])
+        if a != b:
+            same = len(np.intersect1d(units[i], units[j], assume_unique=True))
+            if same >= p.similarity * (len(units[i]) + len(units[j]) - same):
+                root[max(a, b)] = min(a, b)
+                out.append((int(nodes[i]), int(nodes[j])))
+    return out
+
+
+def _merge(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels (node, comp) after the links (a, b)."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    merged = components(found.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    labels = labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
+    return materialize(labels.select("node", F.coalesce("to", "comp").alias("comp")), "neardup-comp")
 
 
 def links(nodes: DataFrame, docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """Rows (node, comp) of the texts that have a near-duplicate, from nodes (node, key, n, bands)."""
+    """Rows (node, comp) of the texts that share a bucket, from nodes (node, doc_id, mark, n, bands, sig)."""
     put = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     sizes = put.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     buckets = materialize(put.join(sizes, "bucket"), "neardup-buckets")
     degree = buckets.groupBy("node").agg(F.sum("size").alias("degree"))
-    members = materialize(buckets.join(degree, "node").select("bucket", "node", "n", "degree"), "neardup-members")
-    # shingles of the candidates alone, by one pass over the texts
+    members = materialize(buckets.join(degree, "node"), "neardup-members")
+    candidates = members.select("node").distinct()
 
     def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a in range(0, len(pdf), p.texts):
                 part = pdf.iloc[a : a + p.texts]
-                yield pd.DataFrame({"node": part["node"], "units": [unit_hashes(_as_hashes(h), p.shingle).view(np.int64) for h in part["h"]]})
+                yield pd.DataFrame({"node": part["node"], "units": [np.sort(unit_hashes(_as_hashes(h), p.shingle)).view(np.int64) for h in part["h"]]})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.array_join(words(F.col("text")), " ").cast("binary"))).alias("key"))
-    chosen = nodes.select("node", "key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_d")).join(members.select("node").distinct(), "node", "left_semi")
-    fetched = texts.withColumn("_d", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(chosen, ["key", "_d"]).dropDuplicates(["key", "_d"])
+    # shingles of the candidates alone, by one pass over the texts
+    chosen = nodes.select("node", "mark", F.coalesce("doc_id", F.lit(NO_ID)).alias("_d")).join(candidates, "node", "left_semi")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"), _mark().alias("mark"), "text")
+    fetched = texts.join(chosen, ["mark", "_d"]).dropDuplicates(["mark", "_d"])
     shingles = materialize(fetched.select("node", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).mapInPandas(units, "node long, units array<long>"), "neardup-shingles")
-    labels = materialize(members.select("node").distinct().withColumn("comp", F.col("node")), "neardup-comp")
-    tested: DataFrame | None = None
-    for turn in range(p.rounds * len(WIDTHS)):
-        width = WIDTHS[min(turn, len(WIDTHS) - 1)]
-        placed = members.join(labels, "node")
-        best = F.max(F.struct("degree", (-F.col("node")).alias("minus"), "n")).alias("x")
-        leaders = placed.groupBy("bucket", "comp").agg(best).select("bucket", F.col("comp").alias("comp_l"), (-F.col("x.minus")).alias("l"), F.col("x.n").alias("n_l"), F.col("x.degree").alias("degree_l"))
-        ranked = leaders.withColumn("r", F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("degree_l"), "l")))
-        mixed = leaders.groupBy("bucket").agg(F.count("*").alias("comps")).where("comps > 1")
-        some = ranked.where(F.col("r") <= width) if width else ranked
-        some = some.join(mixed, "bucket", "left_semi")
-        alike = F.least("n", "n_l") >= p.similarity * F.greatest("n", "n_l")
-        pairs = placed.join(some, "bucket").where(F.col("comp") != F.col("comp_l")).where(alike).select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "neardup-pairs")
-        if not pairs.limit(1).count():
-            if width is None:
-                return labels
-            continue
-        tested = pairs if tested is None else tested.union(pairs)
-        one, two = (shingles.select(F.col("node").alias(x), F.col("units").alias(f"u{x}")) for x in "ab")
-        both = pairs.join(one, "a").join(two, "b").withColumn("same", F.size(F.array_intersect("ua", "ub")))
-        found = both.where(F.col("same") >= p.similarity * (F.size("ua") + F.size("ub") - F.col("same"))).select("a", "b")
-        found = materialize(found, "neardup-links")
-        if found.limit(1).count():
-            of = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
-            merged = components(found.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-            labels = labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
-            labels = materialize(labels.select("node", F.coalesce("to", "comp").alias("comp")), "neardup-comp")
-    raise RuntimeError("near-duplicate rounds did not end")
+
+    # every member with the most central one of its bucket
+    leader = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "n")).alias("x")).select("bucket", (-F.col("x.minus")).alias("l"), F.col("x.n").alias("n_l"))
+    alike = (F.col("node") != F.col("l")) & (F.least("n", "n_l") >= p.similarity * F.greatest("n", "n_l"))
+    pairs = members.join(leader, "bucket").where(alike).select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
+    one, two = (shingles.select(F.col("node").alias(x), F.col("units").alias(f"u{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").withColumn("same", F.size(F.array_intersect("ua", "ub")))
+    stars = materialize(both.where(F.col("same") >= p.similarity * (F.size("ua") + F.size("ub") - F.col("same"))).select("a", "b"), "neardup-stars")
+    labels = _merge(candidates.withColumn("comp", F.col("node")), stars)
+
+    # buckets of three and more that still hold several components, each set of members once
+    placed = members.where("size > 2").join(labels, "node")
+    main = F.max_by("comp", F.struct("degree", (-F.col("node")).alias("minus")))
+    same_set = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"set{i}") for i in range(2)]
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), main.alias("main"), F.count("*").alias("size"), *same_set).where("low < high")
+    mixed = materialize(mixed.groupBy("set0", "set1", "size").agg(F.min_by(F.struct("bucket", "main"), "bucket").alias("m")).select("m.bucket", "m.main"), "neardup-mixed")
+    held = placed.drop("size").join(mixed, "bucket").withColumn("is_main", F.col("comp") == F.col("main"))
+    share = held.groupBy("bucket").agg(F.ceil(F.count_if("is_main") / p.block).alias("mains"), F.ceil(F.count_if(~F.col("is_main")) / p.block).alias("others"))
+    held = held.join(share, "bucket")
+    at = F.when(F.col("is_main"), F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    meets = (
+        F.when((F.col("mains") == 1) & (F.col("others") == 1), F.array(F.struct(F.lit("a").alias("kind"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))))
+        .when(F.col("is_main"), F.transform(upto("others"), lambda i: F.struct(F.lit("m").alias("kind"), i.alias("i"), F.col("at").alias("j"))))
+        .otherwise(
+            F.concat(
+                F.transform(upto("others"), lambda j: F.struct(F.lit("o").alias("kind"), F.least(j, F.col("at")).alias("i"), F.greatest(j, F.col("at")).alias("j"))),
+                F.transform(upto("mains"), lambda j: F.struct(F.lit("m").alias("kind"), F.col("at").alias("i"), j.alias("j"))),
+            )
+        )
+    )
+    dealt = held.withColumn("at", at).select("bucket", "node", "comp", "n", F.explode(meets).alias("g"))
+    full = dealt.join(nodes.select("node", "sig"), "node").join(shingles, "node")
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(block_links(group, p), columns=["a", "b"]).astype("int64")
+
+    more = materialize(full.groupBy("bucket", "g").applyInPandas(settle, "a long, b long"), "neardup-more")
+    return _merge(labels, more)
 
 
 def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """Rows (doc_id, key, class_id, class_size, kept), one for each row of ``docs``."""
+    """Rows (doc_id, mark, class_id, class_size, kept), one for each row of ``docs``."""
     rows = materialize(signed(docs, p), "neardup-signed")
-    by_text = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    by_text = rows.where("key is not null").groupBy("key").agg(first, F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
+    by_text = by_text.select("key", "first.doc_id", "first.mark", "copies", "n", "bands", "sig")
     nodes = materialize(by_text.withColumn("node", F.monotonically_increasing_id()), "neardup-nodes")
     labels = links(nodes, docs, p)
-    named = nodes.select("node", "key", "doc_id", "copies").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    named = nodes.select("node", "key", "doc_id", "mark", "copies").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     groups = named.groupBy("comp").agg(first, F.sum("copies").alias("class_size"))
-    of_text = named.select("comp", "key").join(groups, "comp").select("key", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("class_key"), "class_size")
-    kept = F.col("class_key").isNull() | ((F.col("key") == F.col("class_key")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    out = rows.select("doc_id", "key").join(of_text, "key", "left")
-    alone = F.col("key").isNull()
-    return out.select(
-        "doc_id", "key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), kept.alias("kept")
-    )
+    of_text = named.select("comp", "key").join(groups, "comp").select("key", F.col("first.doc_id").alias("class_id"), F.col("first.mark").alias("class_mark"), "class_size")
+    kept = F.col("key").isNull() | ((F.col("mark") == F.col("class_mark")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    out = rows.select("doc_id", "mark", "key").join(of_text, "key", "left")
+    alone = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    return out.select("doc_id", "mark", "key", alone.alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of ``docs`` without those whose class keeps another one."""
-    keepers = classes(docs, p).where("kept and key is not null").select(F.col("key").alias("_k"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_d")).distinct()
-    text_key = F.unhex(F.md5(F.array_join(words(F.col("text")), " ").cast("binary")))
-    blank = F.size(words(F.col("text"))) == 0
-    full, laid_out = carry(docs.where(~blank), (), text_key.alias("_k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_d"))
-    return laid_out(full.join(keepers, ["_k", "_d"]).dropDuplicates(["_k", "_d"])).unionByName(docs.where(blank))
+    keepers = classes(docs, p).where("kept and key is not null").select("mark", F.coalesce("doc_id", F.lit(NO_ID)).alias("_d")).distinct()
+    blank = F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES))) == 0
+    full, laid_out = carry(docs.where(~blank), (), _mark().alias("mark"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"))
+    return laid_out(full.join(keepers, ["mark", "_d"]).dropDuplicates(["mark", "_d"])).unionByName(docs.where(blank))

@@ -36,7 +36,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(table(spark, sf_dir, "documents")).drop("key")
+    return neardup.classes(table(spark, sf_dir, "documents")).drop("key", "mark")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
