@@ -201,7 +201,7 @@ def decode(text: str, w: Window, model: Model) -> list[Span]:
     out, j = [], n
     while j > 0 and (e := best[j][1]):
         sure = left[e[0]] + e[3] + right[e[1]] - left[n]
-        if e[2] != "O" and sure >= math.log(model.params.min_probability):
+        if e[2] != "O" and math.exp(min(0.0, sure)) >= model.params.min_probability:
             out.append((*e[5], e[2]))
         j = e[0]
     return out
