@@ -4,10 +4,12 @@
 than a sequence, the first piece being the shorter one. ``pack`` spreads the
 pieces over partitions of about ``part_rows`` by a hash, packs each by best-fit
 decreasing and bounds its number of sequences from below by dual-feasible
-functions. A partition that meets its bound is certified and keeps all its
-sequences but the emptiest; one with a gap puts all its unfilled sequences up.
-The documents of those exchange partitions and are packed anew, while that
-lowers the number of sequences and at most ``rounds`` times.
+functions; the same bound over all lengths certifies the whole. While more
+sequences are in use than that, partitions exchange documents: one that needs
+just what its tokens fill (which is certified) puts up its emptiest sequence,
+one with a gap all its unfilled ones. Their documents are packed anew in
+partitions twice as large, at most ``rounds`` times and only while that lowers
+the number of sequences.
 
 Edge cases: a null or empty text is the single id 0; an empty table packs into
 nothing; repeated rows and null ids are pieces like others (rows are told apart
@@ -146,11 +148,10 @@ def _pack_part(pdf: pd.DataFrame, stage: int, p: Params) -> pd.DataFrame:
     lengths = pdf["length"].to_numpy(np.int64)
     bins, offsets, fill = best_fit_decreasing(lengths, p.capacity)
     bound = lower_bound(np.bincount(lengths, minlength=p.capacity + 1), p.capacity)
-    if len(fill) > bound:
-        offered = fill < p.capacity
-    else:
-        offered = np.arange(len(fill)) == int(np.argmin(fill))
-        offered &= fill < p.capacity
+    tight = len(fill) == -(-int(lengths.sum()) // p.capacity)
+    offered = fill < p.capacity
+    if tight:
+        offered &= np.arange(len(fill)) == int(np.argmin(fill))
     first = (stage << 52) | (int(pdf["part"].iloc[0]) << 20)
     return pdf[["row", "doc_id", "piece", "start", "length", "ids_crc32"]].assign(
         sequence_id=first + bins, offset=offsets, open=offered[bins], bins=len(fill), bound=bound
@@ -158,7 +159,7 @@ def _pack_part(pdf: pd.DataFrame, stage: int, p: Params) -> pd.DataFrame:
 
 
 def _packed(rows: DataFrame, n: int, stage: int, p: Params) -> DataFrame:
-    parts = max(1, -(-n // p.part_rows))
+    parts = max(1, -(-n // (p.part_rows << stage)))
     spread = rows.withColumn("part", F.pmod(F.xxhash64("row", F.lit(stage)), F.lit(parts)))
     return materialize(spread.groupBy("part").applyInPandas(lambda pdf: _pack_part(pdf, stage, p), LAYOUT), f"packing-{stage}")
 
@@ -168,14 +169,20 @@ def pack(cut: DataFrame, p: Params = Params()) -> DataFrame:
     rows = materialize(cut.select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
     layout = _packed(rows, rows.count(), 0, p)
     closed: list[DataFrame] = []
+    least = _bound(rows, p)
+    used = layout.where("offset = 0").count()
     for stage in range(1, p.rounds + 1):
+        if used <= least:
+            break
         offered = layout.where("open")
         had = offered.agg(F.count(F.when(F.col("offset") == 0, 1)).alias("bins"), F.count("*").alias("n")).first()
         if had["bins"] < 2:
             break
         again = _packed(offered.select(rows.columns), had["n"], stage, p)
-        if again.where("offset = 0").count() >= had["bins"]:
+        saved = had["bins"] - again.where("offset = 0").count()
+        if saved <= 0:
             break
+        used -= saved
         closed.append(layout.where("not open"))
         layout = again
     for part in closed:
@@ -183,12 +190,16 @@ def pack(cut: DataFrame, p: Params = Params()) -> DataFrame:
     return layout
 
 
-def certificate(layout: DataFrame, p: Params = Params()) -> dict[str, int]:
-    """Sequences used, and the least that any packing of all pieces needs."""
+def _bound(rows: DataFrame, p: Params) -> int:
     counts = np.zeros(p.capacity + 1, np.int64)
-    for r in layout.groupBy("length").count().collect():  # a row per length, capacity at most
+    for r in rows.groupBy("length").count().collect():  # a row per length, capacity at most
         counts[r["length"]] = r["count"]
-    return {"sequences": layout.where("offset = 0").count(), "bound": lower_bound(counts, p.capacity)}
+    return lower_bound(counts, p.capacity)
+
+
+def certificate(layout: DataFrame, p: Params = Params()) -> dict[str, int]:
+    """Sequences used, and the least that any packing of all pieces needs."""
+    return {"sequences": layout.where("offset = 0").count(), "bound": _bound(layout, p)}
 
 
 def sequences(docs: DataFrame, layout: DataFrame, paths: tuple[str, str] | None = None, p: Params = Params()) -> DataFrame:
