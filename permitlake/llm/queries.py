@@ -31,8 +31,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = quality.judge(docs.select("doc_id", "text"), quality.fit(docs))
-    return out.drop("text")
+    out = quality.judge(docs.select("doc_id", "text"), quality.fit(docs)).drop("text")
+    return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
+def _quality_sql() -> str:
+    """The quality query in SQL, with the operator's production parameters."""
+    p, left, rest = quality.Params(), "text", []
+    for i, (_, pattern) in enumerate(quality.CLASSES):
+        rest.append(f"regexp_replace({left}, '{pattern}', '', 'g') AS r{i}")
+        left = f"r{i}"
+    steps = "".join(f", s{i} AS (SELECT *, {r} FROM {'t' if not i else f's{i - 1}'})" for i, r in enumerate(rest))
+    last = len(rest) - 1
+    names = ["text", *(f"r{i}" for i in range(len(rest)))]
+    sizes = ", ".join([*(f"length({a}) - length({b})" for a, b in zip(names, names[1:], strict=False)), f"length({names[-1]})"])
+    at = {c: i + 1 for i, (c, _) in enumerate(quality.CLASSES)}
+    k = quality.N_CLASSES
+    jsd = "sqrt(greatest(0, 0.5 + sum(p * log2(2 * p / (p + q)) + q * log2(2 * q / (p + q)) - q) / 2))"
+    return rf"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, text IS NOT NULL AND lang IS NOT NULL AS taught, lang FROM documents){steps},
+        c AS (SELECT doc_id, text, taught, lang, [{sizes}] AS k, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, regexp_extract_all(lower(text), '\p{{L}}+') AS plain,
+                list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM s{last}),
+        win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM c WHERE len(ws) >= 8))),
+        again AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM win WHERE n > 1) GROUP BY doc_id),
+        base AS (SELECT c.*, len(ws) AS n_words, list_sum(k) - k[{at["space"]}] AS word_chars, k[{at["symbol"]}] AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
+                 FROM c LEFT JOIN again USING (doc_id)),
+        judged AS (SELECT *, n_words < {p.min_words_base} OR 100 * n_repeat_words > {p.repeat_percent} * n_words AS base_failed FROM base),
+        lang_k AS (SELECT lang, i, sum(k[i]) AS n FROM c, range(1, {k + 1}) r(i) WHERE taught GROUP BY lang, i),
+        char_q AS (SELECT lang, i, (n + 0.5) / (sum(n) OVER (PARTITION BY lang) + 0.5 * {k}) AS q FROM lang_k),
+        char_p AS (SELECT doc_id, i, k[i] / list_sum(k) AS p FROM judged, range(1, {k + 1}) r(i) WHERE NOT base_failed AND list_sum(k) >= {p.min_chars}),
+        char_d AS (SELECT doc_id, min(d) AS d FROM (SELECT doc_id, lang, {jsd} AS d FROM (SELECT doc_id, lang, p, q FROM char_p JOIN char_q USING (i) WHERE p > 0) GROUP BY doc_id, lang) GROUP BY doc_id),
+        counts AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(plain) AS word FROM c WHERE taught) GROUP BY ALL),
+        vocabulary AS (SELECT DISTINCT word FROM (SELECT word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM counts) WHERE r <= {p.common_words}),
+        totals AS (SELECT lang, sum(n) AS n FROM counts GROUP BY lang),
+        known AS (SELECT lang, word, coalesce(counts.n, 0) AS n FROM totals CROSS JOIN vocabulary LEFT JOIN counts USING (lang, word)),
+        every AS (SELECT lang, word, n FROM known UNION ALL SELECT totals.lang, '', any_value(totals.n) - sum(known.n) FROM totals JOIN known USING (lang) GROUP BY totals.lang),
+        word_q AS (SELECT lang, word, (n + 0.5) / (sum(n) OVER (PARTITION BY lang) + 0.5 * count(*) OVER (PARTITION BY lang)) AS q FROM every),
+        word_n AS (SELECT doc_id, CASE WHEN word IN (SELECT word FROM vocabulary) THEN word ELSE '' END AS word, count(*) AS n FROM
+                   (SELECT doc_id, unnest(plain) AS word FROM judged WHERE NOT base_failed AND len(plain) >= {p.min_words}) GROUP BY ALL),
+        word_p AS (SELECT doc_id, word, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM word_n),
+        word_d AS (SELECT doc_id, min(d) AS d FROM (SELECT doc_id, lang, {jsd} AS d FROM word_p JOIN word_q USING (word) GROUP BY doc_id, lang) GROUP BY doc_id)
+        SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(char_d.d, 6) AS char_distance, round(word_d.d, 6) AS word_distance,
+               NOT base_failed AND coalesce(char_d.d <= {p.char_limit}, true) AND coalesce(word_d.d <= {p.word_limit}, true) AS kept
+        FROM judged LEFT JOIN char_d USING (doc_id) LEFT JOIN word_d USING (doc_id)"""
+
+
 SQL: dict[str, str] = {
+    "op4_quality": _quality_sql(),
     "op2_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
              d AS (SELECT page_id, n, sha1(html) AS digest FROM p),
