@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 from datetime import datetime
 from typing import Any
@@ -65,6 +66,12 @@ def run(spark: SparkSession, path: str, purpose: Purpose = Purpose.DIRECT_CARE,
     return Exhibit(of_masking, of_exclusion, drilled.as_dict(), *plans, purpose.value, when.isoformat(), strategy, counts)
 
 
+def short_plan(plan: str, width: int = 160) -> str:
+    """A plan for print: expression ids and plan ids away, long lines cut."""
+    plain = re.sub(r"#\d+L?|, \[plan_id=\d+\]", "", plan)
+    return "\n".join(x if len(x) <= width else x[: width - 3] + "..." for x in plain.splitlines())
+
+
 def as_json(x: Exhibit) -> dict[str, Any]:
     def one(r: probes.ProbeResult) -> dict[str, Any]:
         return {"probes_run": r.probes_run, "total_leaks": len(r.leaks), "by_vector": r.by_vector(), "leaks": [vars(leak) for leak in r.leaks]}
@@ -97,7 +104,7 @@ def markdown(x: Exhibit) -> str:
             lines += [f"> {leak.quote()}", "", f"subject `{leak.subject}`, `{leak.doc_id or leak.probe_id}`, by probe `{leak.probe_id}`", ""]
         if len(found) > 3:
             lines += [f"{len(found) - 3} more are in the JSON output.", ""]
-    lines += ["## Plans", "", "Exclusion:", "```", x.plan_exclusion, "```", "Masking:", "```", x.plan_masking, "```", ""]
+    lines += ["## Plans", "", "Exclusion:", "```", short_plan(x.plan_exclusion), "```", "Masking:", "```", short_plan(x.plan_masking), "```", ""]
     d = x.drill
     lines += [f"## Revocation of `{d['subject']}`: all surfaces dark: {d['all_dark']}, slowest {d['worst_seconds']:.4f} s", "", "| surface | visible before | visible after | seconds to dark |", "|---|---|---|---|"]
     lines += [f"| {s['surface']} | {s['visible_before']} | {s['visible_after']} | {'-' if s['seconds_to_dark'] is None else s['seconds_to_dark']} |" for s in d["surfaces"]]

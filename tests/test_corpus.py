@@ -6,7 +6,7 @@ import json
 
 import pytest
 from permitlake import cli, synth
-from permitlake.plans import exhibit
+from permitlake.plans import exhibit, verify
 from permitlake.sources import corpus
 from permitlake.streaming import ledger as stream
 from worlds import NOW
@@ -54,6 +54,13 @@ def test_exhibit(spark, written, tmp_path):
     assert found.masking.by_vector()["oracle"] == 2 and found.masking.by_vector()["narrative"] > 0
     assert found.counts["consented_subjects"] + found.counts["hidden_subjects"] == 40
     assert "LeftSemi" in found.plan_exclusion and "LeftSemi" not in found.plan_masking
+    made = exhibit.as_json(found)
+    assert verify.check(made, {"masking.by_vector.oracle": 2}) == []
+    assert verify.check(made, {"masking.total_leaks": -1}) and verify.check(made | {"counts": made["counts"] | {"subjects": 41}})
+    path = tmp_path / "exhibit.json"
+    path.write_text(exhibit.dump(found))
+    assert cli.main(["verify", "--json", str(path), "--expect", "exclusion.total_leaks=0"]) == cli.OK
+    assert cli.main(["verify", "--json", str(path), "--expect", "exclusion.total_leaks=1"]) == cli.LEAKED
     report = exhibit.markdown(found)
     assert "| **leaks** |" in report and json.loads(exhibit.dump(found))["masking"]["total_leaks"] == len(found.masking.leaks)
 
