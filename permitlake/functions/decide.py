@@ -59,26 +59,29 @@ def hidden(subjects: DataFrame, allowed: DataFrame) -> DataFrame:
     return subjects.select("subject").distinct().join(allowed, "subject", "left_anti")
 
 
+def _of_latest(ledger: DataFrame, **flags: Column) -> DataFrame:
+    """Per subject, its highest version and whether any row of that has each flag.
+
+    Rows combine per subject and version before the shuffle, so that a subject
+    with very many rows burdens no task.
+    """
+    any_row = {name: F.bool_or(F.coalesce(flag, F.lit(False))).alias(name) for name, flag in flags.items()}
+    per = ledger.groupBy("subject", "version").agg(*any_row.values())
+    best = per.groupBy("subject").agg(F.max_by(F.struct("version", *any_row), "version").alias("best"))
+    return best.select("subject", "best.*")
+
+
 def decisions(ledger: DataFrame, subjects: DataFrame, when: Column) -> DataFrame:
     """A decision per subject and purpose, with the version that decided (0: no row)."""
-    purposes = [p.value for p in Purpose]
-    rows = latest(ledger).withColumn("active", active(when))
-    granted = F.collect_set(F.when(F.col("active"), F.col("purpose")))
-    per = rows.select("subject", "version", "active", F.explode("purposes").alias("purpose")).groupBy("subject").agg(F.max("version").alias("version"), granted.alias("granted"))
-    every = subjects.select("subject").distinct().join(per, "subject", "left")
-    return every.select("subject", F.coalesce("version", F.lit(0)).alias("version"), "granted", F.explode(F.array(*map(F.lit, purposes))).alias("purpose")).select(
-        "subject", "purpose", "version", F.coalesce(F.array_contains("granted", F.col("purpose")), F.lit(False)).alias("allowed")
-    )
+    per = _of_latest(ledger, **{p.value: covers(p.value) & active(when) for p in Purpose})
+    every = subjects.select("subject").distinct().join(per, "subject", "left").withColumn("version", F.coalesce("version", F.lit(0)))
+    rows = F.array(*(F.struct(F.lit(p.value).alias("purpose"), F.coalesce(p.value, F.lit(False)).alias("allowed")) for p in Purpose))
+    return every.select("subject", "version", F.inline(rows)).select("subject", "purpose", "version", "allowed")
 
 
 def states(ledger: DataFrame, subjects: DataFrame, when: Column) -> DataFrame:
     """Each subject's state: active, revoked, expired, future or never, the first that applies."""
-    r = F.col("revoked_at").isNotNull() & (F.col("revoked_at") <= when)
-    found = latest(ledger).groupBy("subject").agg(
-        F.bool_or(active(when)).alias("active"),
-        F.bool_or(r).alias("revoked"),
-        F.bool_or(F.col("valid_until").isNotNull() & (F.col("valid_until") <= when)).alias("expired"),
-    )
+    found = _of_latest(ledger, active=active(when), revoked=F.col("revoked_at") <= when, expired=F.col("valid_until") <= when)
     state = F.when(F.col("active"), "active").when(F.col("revoked"), "revoked").when(F.col("expired"), "expired").when(F.col("active").isNotNull(), "future").otherwise("never")
     return subjects.select("subject").distinct().join(found, "subject", "left").select("subject", state.alias("state"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from permitlake.functions import decide, detect, identity, text, vectors
 from permitlake.operators import probes, retrieval
 from permitlake.operators.candidates import Restricted, Unrestricted, matches, restrict
-from permitlake.schemas import MAX_PAGES, MIN_SIMILARITY, PAGE_SIZE, STOP_WORDS, STRATUM_FIELDS, Purpose
+from permitlake.schemas import MAX_PAGES, MIN_SIMILARITY, PAGE_SIZE, SMALL_CELL, STOP_WORDS, STRATUM_FIELDS, Purpose
 from permitlake.sources import tables
 from permitlake.sources.corpus import upsert
 
@@ -224,14 +224,17 @@ def q16(spark: SparkSession, d: str) -> DataFrame:
     "q17_strata",
     BASE
     + """, members AS (SELECT DISTINCT 'cond=' || condition || '|region=' || region AS stratum, subject FROM full_docs)
-  SELECT stratum, count(*) AS size, count(*) - count(c.subject) AS hidden, count(*) <= 3 AS small, md5(string_agg(CAST(m.subject AS VARCHAR), ',' ORDER BY m.subject)) AS members
+  SELECT stratum, count(*) AS size, count(*) - count(c.subject) AS hidden, count(*) <= 3 AS small, CASE WHEN count(*) <= 3 THEN string_agg(CAST(m.subject AS VARCHAR), ',' ORDER BY m.subject) END AS members
   FROM members m LEFT JOIN consented c USING (subject) GROUP BY stratum""",
 )
 def q17(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes by counting; members are listed for small cells only, three at most."""
     members = retrieval.stratum_members(tables.documents(spark, d), Unrestricted())
     marked = members.join(_consented(spark, d).withColumn("allowed", F.lit(True)), "subject", "left")
-    listed = F.md5(F.array_join(F.array_sort(F.collect_list("subject")), ",").cast("binary"))
-    return marked.groupBy("stratum").agg(F.count("*").alias("size"), F.count_if(F.col("allowed").isNull()).alias("hidden"), (F.count("*") <= 3).alias("small"), listed.alias("members"))
+    sizes = marked.groupBy("stratum").agg(F.count("*").alias("size"), F.count_if(F.col("allowed").isNull()).alias("hidden")).withColumn("small", F.col("size") <= SMALL_CELL)
+    few = members.join(sizes.where("small").select("stratum"), "stratum", "left_semi")
+    listed = few.groupBy("stratum").agg(F.array_join(F.array_sort(F.collect_list("subject")), ",").alias("members"))
+    return sizes.join(listed, "stratum", "left")
 
 
 @query("q18_masking", BASE + " SELECT doc_id, md5('[NAME]' || substr(text, 6, 5) || '[PHONE]' || substr(text, 14)) AS masked FROM docs WHERE length(text) >= 13")
