@@ -5,16 +5,25 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from permitlake.schemas import STOP_WORDS, TOKEN
 
 
+def all_tokens(text: Column) -> Column:
+    """Lower-case tokens, stop words and repeated ones kept."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case tokens without stop words, repeated ones kept."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
-    return F.filter(found, lambda t: ~t.isin(*STOP_WORDS))
+    return F.filter(all_tokens(text), lambda t: ~t.isin(*STOP_WORDS))
+
+
+def token_rows(docs: DataFrame, *keys: str) -> DataFrame:
+    """A row per token that is no stop word; dropping those after the explode stays in generated code."""
+    return docs.select(*keys, F.explode(all_tokens(F.col("text"))).alias("token")).where(~F.col("token").isin(*STOP_WORDS))
 
 
 def query_terms(query: str) -> list[str]:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from permitlake.functions.text import query_terms, tokens
+from permitlake.functions.text import query_terms, token_rows, tokens
 from permitlake.schemas import DIMENSIONS
 
 
@@ -57,8 +57,9 @@ def cosine(vector: Column, query: dict[int, float]) -> Column:
 
 def sparse(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows (id, bucket, weight): token counts in md5 buckets, stop words left out."""
-    at = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 8), 16, 10).cast("long") % DIMENSIONS
-    return docs.select(id_col, F.explode(tokens(F.col("text"))).alias("token")).groupBy(id_col, at.cast("int").alias("bucket")).agg(F.count("*").alias("weight"))
+    # the first 32 bits of the digest modulo 1024: the last three of their hex digits decide
+    at = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 6, 3), 16, 10).cast("int") % DIMENSIONS
+    return token_rows(docs, id_col).groupBy(id_col, at.alias("bucket")).agg(F.count("*").alias("weight"))
 
 
 def sparse_cosine(weights: DataFrame, queries: DataFrame, id_col: str = "doc_id") -> DataFrame:
