@@ -281,7 +281,8 @@ def _merge(labels: DataFrame, found: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Rows (node, comp) of the texts that share a bucket, from nodes (node, doc_id, mark, n, bands, sig)."""
     put = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    sizes = put.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    # sizes and leaders are written, so that Spark can split a large bucket in the joins with them
+    sizes = materialize(put.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "neardup-sizes")
     buckets = materialize(put.join(sizes, "bucket"), "neardup-buckets")
     degree = buckets.groupBy("node").agg(F.sum("size").alias("degree"))
     members = materialize(buckets.join(degree, "node"), "neardup-members")
@@ -300,7 +301,9 @@ def links(nodes: DataFrame, docs: DataFrame, p: Params = Params()) -> DataFrame:
     shingles = materialize(fetched.select("node", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).mapInPandas(units, "node long, units array<long>"), "neardup-shingles")
 
     # every member with the most central one of its bucket
-    leader = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "n")).alias("x")).select("bucket", (-F.col("x.minus")).alias("l"), F.col("x.n").alias("n_l"))
+    first = F.max(F.struct("degree", (-F.col("node")).alias("minus"), "n")).alias("x")
+    leader = members.groupBy("bucket").agg(first).select("bucket", (-F.col("x.minus")).alias("l"), F.col("x.n").alias("n_l"))
+    leader = materialize(leader, "neardup-leaders")
     alike = (F.col("node") != F.col("l")) & (F.least("n", "n_l") >= p.similarity * F.greatest("n", "n_l"))
     pairs = members.join(leader, "bucket").where(alike).select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
     one, two = (shingles.select(F.col("node").alias(x), F.col("units").alias(f"u{x}")) for x in "ab")
