@@ -42,12 +42,12 @@ def consented(ledger: DataFrame, purpose: Purpose, when: Column, scope: str | No
     """The subjects whose latest rows permit the purpose; one aggregate, whatever their number.
 
     Comparing each row with its subject's highest version happens in the
-    aggregation: the greatest (version, permitted) has permitted set if any row
-    of the highest version permits. So rows combine before the shuffle.
+    aggregation: the greatest of 2 * version + permitted is odd if any row of the
+    highest version permits. So rows combine by hash, before the shuffle.
     """
     permitted = F.coalesce(covers(purpose.value, scope) & active(when), F.lit(False))
-    best = F.max(F.struct("version", permitted.alias("permitted"))).alias("best")
-    return ledger.groupBy("subject").agg(best).where("best.permitted").select("subject")
+    best = F.max(F.col("version").cast("long") * 2 + permitted.cast("long")).alias("best")
+    return ledger.groupBy("subject").agg(best).where(F.pmod("best", F.lit(2)) == 1).select("subject")
 
 
 def partition(subjects: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -67,8 +67,11 @@ def _of_latest(ledger: DataFrame, **flags: Column) -> DataFrame:
     """
     any_row = {name: F.bool_or(F.coalesce(flag, F.lit(False))).alias(name) for name, flag in flags.items()}
     per = ledger.groupBy("subject", "version").agg(*any_row.values())
-    best = per.groupBy("subject").agg(F.max_by(F.struct("version", *any_row), "version").alias("best"))
-    return best.select("subject", "best.*")
+    # version and flags as one number, so that this aggregate too is one by hash
+    bits = sum((F.col(name).cast("long") * (1 << i) for i, name in enumerate(any_row)), F.col("version").cast("long") * (1 << len(any_row)))
+    best = per.groupBy("subject").agg(F.max(bits).alias("best"))
+    flag = lambda i, name: (F.shiftright("best", i).bitwiseAND(F.lit(1).cast("long")) == 1).alias(name)
+    return best.select("subject", F.shiftright("best", len(any_row)).cast("int").alias("version"), *(flag(i, name) for i, name in enumerate(any_row)))
 
 
 def decisions(ledger: DataFrame, subjects: DataFrame, when: Column) -> DataFrame:
