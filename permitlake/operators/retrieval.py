@@ -47,9 +47,10 @@ def walk(scored: DataFrame, size: int, max_pages: int) -> DataFrame:
 
     The walk stops after page ``max_pages``, as it tests for the end after reading.
     """
-    total = F.sum("rows").over(W.partitionBy())
-    pages = ranked(scored, F.desc("score"), F.asc("doc_id")).groupBy(F.floor((F.col("rank") - 1) / size).alias("page")).agg(F.count("*").alias("rows"))
-    out = pages.withColumn("has_more", (F.col("page") + 1) * size < total).where(F.col("page") <= max_pages)
+    rows = ranked(scored, F.desc("score"), F.asc("doc_id"))
+    pages = rows.groupBy(F.floor((F.col("rank") - 1) / size).alias("page")).agg(F.count("*").alias("rows")).where(F.col("page") <= max_pages)
+    total = rows.agg(F.coalesce(F.max("rank"), F.lit(0)).alias("total"))  # one row
+    out = pages.join(total, F.lit(True)).withColumn("has_more", (F.col("page") + 1) * size < F.col("total")).drop("total")
     return out.withColumn("short", F.col("has_more") & (F.col("rows") < size))
 
 
