@@ -16,7 +16,6 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 NOW = "2026-08-04T00:00:00+00:00"
@@ -111,9 +110,12 @@ def _documents(subjects: DataFrame, p: Params) -> DataFrame:
     trap = is_hidden & (rank < p.traps)
     story = F.concat(F.lit("Known as the "), _pick(TRADES, _h(p, "trade", n)), F.lit(" of "), _pick(PLACES, _h(p, "place", n)), F.lit(", who kept exactly "), (n + 2).cast("string"), F.lit(" geese. "))
     token = is_hidden & (rank >= p.traps) & (rank < p.traps + p.oracle_pairs)
-    order = subjects.where(is_hidden).select("i")
-    place = order.withColumn("j", F.row_number().over(W.orderBy("i")) - 1)
-    numbered = rows.join(place, "i", "left").withColumn("h", F.when(is_hidden, F.col("k") * F.lit(order.count()) + F.col("j")))
+    # of every twenty subjects the same residues are hidden, so that their rank is arithmetic
+    secret_residues = [r for r in range(20) if r * 7 % 20 >= STATES[0][1]]
+    before = [sum(x < r for x in secret_residues) for r in range(21)]
+    hidden_subjects = p.subjects // 20 * len(secret_residues) + before[p.subjects % 20]
+    j = F.floor(i / 20).cast("long") * len(secret_residues) + F.get(F.array(*map(F.lit, before)), (i % 20).cast("int"))
+    numbered = rows.withColumn("h", F.when(is_hidden, F.col("k") * F.lit(hidden_subjects) + j))
     secret = F.concat(F.lit("zzkey-"), rank.cast("string"), F.lit("-"), F.substring(F.md5(_h(p, "token", n).cast("string").cast("binary")), 1, 6))
     kind = _pick(KINDS, _h(p, "kind", n))
     head = F.concat(F.initcap(F.replace(kind, F.lit("_"), F.lit(" "))), F.lit("\n"))
