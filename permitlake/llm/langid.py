@@ -127,40 +127,56 @@ def fit(rows: DataFrame, params: Params = Params()) -> Model:
 
 
 class Scorer:
-    """Scores texts with a model; keeps a bounded number of unseen words' rows."""
+    """Scores texts with a model; keeps the rows of a bounded number of unseen words."""
 
     def __init__(self, model: Model) -> None:
-        self.m, self.seen = model, dict[str, np.ndarray]()
-
-    def unseen(self, word: str) -> np.ndarray:
-        row = self.seen.get(word)
-        if row is None:
-            row = np.zeros(len(self.m.languages))
-            for n in range(self.m.max_n, 0, -1):
-                if known := [i for g in grams(word, n) if (i := self.m.index.get(g)) is not None]:
-                    row = self.m.rows[known].mean(axis=0)
-                    break
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            self.seen[word] = row
-        return row
+        self.m, self.at = model, dict[str, int]()
+        self.rows = np.zeros((CACHE, len(model.languages)))
+
+    def _grams(self, word: str) -> list[int]:
+        """The known n-grams of the greatest length at which any is known."""
+        get = self.m.index.get
+        for n in range(self.m.max_n, 0, -1):
+            if known := [i for g in grams(word, n) if (i := get(g)) is not None]:
+                return known
+        return []
+
+    def _learn(self, new: list[str]) -> None:
+        """Rows for unseen words, by one pass over all their n-grams."""
+        found = [(w, k) for w in new if (k := self._grams(w))]
+        first = len(self.at)
+        if found:
+            sizes = np.array([len(k) for _, k in found])
+            flat = self.m.rows[[i for _, k in found for i in k]]
+            self.rows[first : first + len(found)] = np.add.reduceat(flat, np.cumsum(sizes) - sizes) / sizes[:, None]
+        have = {w for w, _ in found}
+        rest = [w for w in new if w not in have]
+        self.rows[first + len(found) : first + len(new)] = 0.0
+        for i, w in enumerate([*(w for w, _ in found), *rest]):
+            self.at[w] = first + i
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         m = self.m
         found = WORD.findall(text.lower()) if text else []
         if not found or not m.languages or not any(c.isalpha() for c in text):
             return "und", 0.0
-        total = np.zeros(len(m.languages))
-        ids, times = [], []
-        for w, c in Counter(found).items():
-            i = m.index.get(w)
+        counts = Counter(found)
+        if len(self.at) + len(counts) > len(self.rows):
+            self.at.clear()
+            if len(counts) > len(self.rows):
+                self.rows = np.zeros((len(counts), len(m.languages)))
+        known, seen = m.index, self.at
+        self._learn([w for w in counts if w not in known and w not in seen])
+        ids, times, more, more_times = [], [], [], []
+        for w, c in counts.items():
+            i = known.get(w)
             if i is None:
-                total += c * self.unseen(w)
+                more.append(seen[w])
+                more_times.append(c)
             else:
                 ids.append(i)
                 times.append(c)
-        if ids:
-            total += np.array(times, float) @ m.rows[ids]
+        total = np.array(times, float) @ m.rows[np.array(ids, int)] + np.array(more_times, float) @ self.rows[np.array(more, int)]
         mean = total / len(found) * min(len(found), m.temper)
         p = np.exp(mean - mean.max())
         best = int(np.argmax(total))
