@@ -6,14 +6,14 @@ what is left, one occurrence of each window per chunk, goes to the task that
 owns the window's minimizer (the least hash of its ``gram``-word runs; equal
 windows have equal minimizers, and neighbouring windows mostly share one, so
 that they travel together in one row). There, in order of (doc_id, start), all
-but the first occurrence are found; minimizer and 32 further bits of the
-window's hash tell windows apart. Overlapping and adjacent repeats of a
-document merge into maximal intervals of words to remove.
+but the first occurrence are found; minimizer and the whole hash of the window
+tell windows apart. Overlapping and adjacent repeats of a document merge into
+maximal intervals of words to remove.
 
 A window that is common to a third of all documents reaches its owner at most
 once per chunk, not once per document. A false match takes two different
-windows that hold the same least ``gram``-word run and agree in 32 bits
-(within a chunk: that agree in 64 bits).
+windows that agree in all 64 bits of their hash and, unless they are of one
+chunk, in their minimizer.
 
 Edge cases: null and short texts have no window and stay; rows without doc_id
 take part in no comparison and stay; rows that repeat a doc_id are the same
@@ -132,17 +132,27 @@ def _chunk(ids: np.ndarray, lengths: np.ndarray, w: np.ndarray, p: Params) -> It
     a, b = _pieces(~again, new_doc | np.concatenate([[True], owner[1:] != owner[:-1]]))
     keep = np.repeat(np.arange(len(a)), b - a)
     inside = np.arange(len(keep)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[keep]
-    tails = (h[inside] >> U(32)).astype("<u4")
+    whole = h[inside].astype("<u8")
     ends = np.concatenate([[0], np.cumsum(b - a)])
     for i in range(0, len(a), 50_000):
         j = min(len(a), i + 50_000)
-        yield _rows(owner[a[i:j]].view(np.int64), ids[doc_of[a[i:j]]], start[a[i:j]], start[b[i:j] - 1] + p.window, (ends[i : j + 1] - ends[i]) * 4, tails[ends[i] : ends[j]])
+        yield _rows(owner[a[i:j]].view(np.int64), ids[doc_of[a[i:j]]], start[a[i:j]], start[b[i:j] - 1] + p.window, (ends[i : j + 1] - ends[i]) * 8, whole[ends[i] : ends[j]])
+
+
+def _firsts(group: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first position of each (group, h), and for every position which of them it repeats."""
+    by = np.lexsort((h, group))
+    lead = np.ones(len(h), bool)
+    lead[1:] = (h[by][1:] != h[by][:-1]) | (group[by][1:] != group[by][:-1])
+    back = np.empty(len(h), np.int64)
+    back[by] = np.cumsum(lead) - 1
+    return by[lead], back
 
 
 def _owned(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     """Intervals of all but the first occurrences; rows come by owner, doc_id and start."""
     last: int | None = None  # the owner that may go on in the next batch, and its windows so far
-    seen = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    seen = (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
     schema = ["doc_id", "start", "upto"]
     for batch in batches:
         owner, doc, start, upto = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("owner", "doc_id", "start", "upto"))
@@ -155,25 +165,24 @@ def _owned(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBa
         if not len(owner):
             continue
         offsets = np.frombuffer(hashes.buffers()[1], np.int32, len(hashes) + 1, hashes.offset * 4)
-        tails = np.frombuffer(hashes.buffers()[2], np.uint32)[offsets[0] // 4 : offsets[-1] // 4]
-        size = np.diff(offsets) // 4
+        h = np.frombuffer(hashes.buffers()[2], "<u8", (offsets[-1] - offsets[0]) // 8, offsets[0])
+        size = np.diff(offsets) // 8
         row = np.repeat(np.arange(len(owner)), size)
         pos = start[row].astype(np.int64) + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
         group = np.concatenate([[0], np.cumsum(owner[1:] != owner[:-1])])
-        key = (group[row].astype(U) << U(32)) | tails.astype(U)
         ids = doc[row]
-        _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        first, back = _firsts(group[row], h)
         lead = first[back]
-        repeat = (lead != np.arange(len(key))) & ~((ids == ids[lead]) & (pos == pos[lead]))
+        repeat = (lead != np.arange(len(h))) & ~((ids == ids[lead]) & (pos == pos[lead]))
         if last is not None and owner[0] == last and len(seen[0]):
             mine = np.flatnonzero(group[row] == 0)
-            i = np.minimum(np.searchsorted(seen[0], tails[mine]), len(seen[0]) - 1)
-            repeat[mine] |= (seen[0][i] == tails[mine]) & ~((seen[1][i] == ids[mine]) & (seen[2][i] == pos[mine]))
+            i = np.minimum(np.searchsorted(seen[0], h[mine]), len(seen[0]) - 1)
+            repeat[mine] |= (seen[0][i] == h[mine]) & ~((seen[1][i] == ids[mine]) & (seen[2][i] == pos[mine]))
         end = first[group[row[first]] == group[-1]]  # the last owner's windows
         if last is None or owner[-1] != last:
-            seen = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            seen = (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
         last = owner[-1]
-        parts = [np.concatenate([x, y]) for x, y in zip(seen, (tails[end], ids[end], pos[end]), strict=True)]
+        parts = [np.concatenate([x, y]) for x, y in zip(seen, (h[end], ids[end], pos[end]), strict=True)]
         _, keep = np.unique(parts[0], return_index=True)  # the earlier of equal ones
         seen = (parts[0][keep], parts[1][keep], parts[2][keep])
         a, b = _pieces(repeat, np.concatenate([[True], row[1:] != row[:-1]]))

@@ -158,6 +158,14 @@ def test_runs_longer_than_a_batch(spark, documents):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_unlike_windows_that_agree_in_32_bits(documents):
+    run = [f"g{i}" for i in range(1277953, 1277958)]  # the least run of each of these windows, with a very small hash
+    ends = (145257, 60929, 16166, 116422, 385854, 82200, 14064, 78674)  # pairs that agree in the upper half of the window's hash
+    df = documents([(k, " ".join([f"x{i}" for i in range(14)] + [f"x{x}"] + run)) for k, x in enumerate(ends)])
+    for p in (substrings.Params(), substrings.Params(chunk_words=20)):
+        assert all(n == 0 for _, n, _ in check(df, p).values())
+
+
 def test_odd_rows_of_repeats(odd):
     got = substrings.remove(odd).collect()
     assert len(got) == odd.count() and got[0]["_id"] == "other"
