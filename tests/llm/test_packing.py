@@ -157,6 +157,37 @@ def test_more_sources_than_the_bound(documents):
     assert got.count() == 200 and got.select("slot", "place").distinct().count() == 200
 
 
+def mixed_order(docs, weights, p):
+    """The source of every slot, blocks being single documents."""
+    return [r["source"] for r in mixing.in_order(mixing.mix(docs, weights, p)).collect()]
+
+
+def test_prefixes_keep_to_the_given_weights(documents):
+    weights = {"a": 0.6, "b": 0.1, "c": 0.1, "d": 0.1, "e": 0.0999, "f": 0.0001}
+    df = documents([(i, "t", "en", "aaaaaabcdef"[i % 11]) for i in range(3300)])
+    got = mixed_order(df, weights, mixing.Params(block_docs=1, period=32))
+    seen = dict.fromkeys(weights, 0)
+    for t, s in enumerate(got[:2500], 1):  # about 80 periods; no source has run out
+        seen[s] += 1
+        assert all(abs(seen[x] - t * w / sum(weights.values())) < 1 + 1e-9 for x, w in weights.items()), t
+    assert len(got) == 3300
+
+
+def test_every_source_has_its_own_weight(documents):
+    df = documents([(i, "t", "en", f"s{i % 300:03}") for i in range(600)] + [(i, "t", "en", "tiny") for i in range(600, 601)])
+    weights = {f"s{i:03}": 1.0 for i in range(300)} | {"tiny": 300.0}  # the smallest of 301 is due at once
+    got = mixed_order(df, weights, mixing.Params(block_docs=1))
+    assert len(got) == 601 and got.index("tiny") == 0
+    # it is due again within four slots, and without a block left a new schedule of the 300 others starts
+    assert any(len(set(got[q : q + 300])) == 300 for q in range(1, 5))
+
+
+def test_sources_of_weight_zero_follow(documents):
+    df = documents([(i, "t", "en", "xyz"[i % 3]) for i in range(90)])
+    got = mixed_order(df, {"x": 1.0, "y": 0.0, "z": 0.0}, mixing.Params(block_docs=1))
+    assert got[:30] == ["x"] * 30 and all(set(got[i : i + 2]) == {"y", "z"} for i in range(30, 90, 2))
+
+
 # the pipeline
 
 
