@@ -2,37 +2,49 @@
 
 The base rules find e-mail addresses, IP addresses, card and phone numbers by
 pattern and check digits. The random field looks at the places they leave
-open: whole-span features (shape, digit count, check digits, octets, cue word,
-length) score every candidate segment of a window of tokens, and dynamic
-programming over segments of at most ``max_len`` tokens chooses boundaries and
-kinds together; base spans are fixed segments of that choice. A chosen segment
-is added if its marginal probability reaches ``min_probability``.
-
-Training (``fit``) takes the base spans of a bounded sample of windows
-(``max_windows`` out of ``sample_docs`` documents, drawn by hash) as labels
-and maximises the likelihood of their segmentations.
-
-Windows: tokens with a digit or ``@`` that are at most ``gap`` tokens apart,
-with ``context`` tokens on either side, cut after ``max_window`` tokens.
-
-Edge cases: null texts are empty; a text without digit and ``@`` has no span;
-repeated rows each get their own result; equal scores keep the shorter
-segment; without a training window the field adds nothing. Whole texts are
-read, in time linear in their length.
+open: whole-span features (shape, digit count, check digits, octets, spelled-out
+address, cue word, separators) score every candidate segment of a stretch of
+tokens, and dynamic programming over segments of at most ``max_len`` tokens
+chooses boundaries and kinds together; base spans are fixed segments of that
+choice. A chosen segment is added if its marginal probability reaches
+``min_probability``. So it finds what the base rules miss by their form:
+addresses with ``(at)`` and ``dot``, octets and card digits with other
+separators, phone numbers without a plus, and numbers that the base rules drop
+because they read them together with their neighbours.
+
+Training (``fit``) is from rows without labels. Base spans in a bounded sample
+of windows (``max_windows`` out of ``sample_docs`` documents, drawn by hash)
+are the known personal data; a quarter of the windows hold none, where there are
+as many. Each window is learned as it is, with its span
+rewritten into other forms (``rewrites``), next to another number, and with
+something harmless in its place (``harmless``: dates, versions, prices, numbers
+that fail the check digit), which is learned as no span. Windows over
+``train_chars`` characters teach nothing.
+
+A stretch holds the tokens with a digit, an ``@`` or a spelled-out dot that are
+at most ``gap`` tokens apart, and ``context`` tokens on either side; it is read
+as one, however long it is.
+
+Edge cases: null texts are empty; a text without digit, ``@`` and spelled-out
+address has no span; repeated rows each get their own result; equal scores keep
+the shorter segment and the kind listed first; without a base span in the
+sample the field adds nothing. Whole texts and whole tokens are read, in time
+linear in their length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from permitlake.llm.common import carry
@@ -48,6 +60,11 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SEED = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+#: Spelled-out signs of an address, as the field reads them.
+MARKS = ("(at)", "[at]", "{at}", "(dot)", "[dot]", "{dot}")
+AT = re.compile(r"\s*(?:[\[({]\s*(?:at|@)\s*[\])}]|(?<=\s)at(?=\s)|@)\s*")
+DOT = re.compile(r"\s*(?:[\[({]\s*(?:dot|\.)\s*[\])}]|(?<=\s)dot(?=\s)|(?<=\s)\.(?=\s))\s*")
+ADDRESS = re.compile(r"[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}")
 
 Span = tuple[int, int, str]
 
@@ -55,18 +72,19 @@ Span = tuple[int, int, str]
 @dataclass(frozen=True)
 class Params:
     sample_docs: int = 20_000  #: documents at most that training windows come from
-    max_windows: int = 600  #: training windows at most
-    epochs: int = 8
-    max_len: int = 4  #: tokens of a segment at most
+    max_windows: int = 400  #: training windows at most
+    train_chars: int = 2_000  #: longer windows are not learned from
+    epochs: int = 6
+    max_len: int = 7  #: tokens of a segment at most
     gap: int = 2
-    context: int = 2
-    max_window: int = 48
-    min_probability: float = 0.97
+    context: int = 4
+    min_probability: float = 0.9
 
 
 @dataclass(frozen=True)
 class Model:
-    weights: dict[str, float]
+    index: dict[str, int]  #: feature to its row
+    weights: np.ndarray  #: a row for each feature, a column for no span and for each kind
     params: Params
 
 
@@ -89,10 +107,11 @@ def base_spans(text: str) -> list[Span]:
     while at >= 0:
         head = text[last:at]
         start = last + len(head.rstrip(LOCAL))
+        last = at + 1  # no local part goes beyond an earlier sign
         if start < at and (m := DOMAIN.match(text, at + 1)):
             found.append((start, 0, m.end()))
             last = m.end()
-        at = text.find("@", max(at + 1, last))
+        at = text.find("@", last)
     found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split("."))]
     found += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 12 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and _luhn(d)]
     if "+" in text:
@@ -101,7 +120,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 @dataclass
-class Window:
+class Stretch:
     """Tokens (start, end) around seeds, and which of them base spans cover."""
 
     tokens: list[tuple[int, int]]
@@ -109,112 +128,171 @@ class Window:
     fixed: list[bool]
 
 
-def windows(text: str, spans: list[Span], p: Params) -> Iterator[Window]:
+def _spelled(text: str) -> bool:
+    low = text.lower()
+    return " dot " in low or any(m in low for m in MARKS)
+
+
+def _seeds(text: str, tokens: list[tuple[int, int]], spelled: bool) -> list[bool]:
+    def one(a: int, b: int) -> bool:
+        if SEED.search(text, a, b):
+            return True
+        return spelled and ((low := text[a:b].lower()) == "dot" or any(m in low for m in MARKS))
+
+    return [one(a, b) for a, b in tokens]
+
+
+def stretches(text: str, spans: list[Span], p: Params) -> Iterator[Stretch]:
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
-    seeds = [SEED.search(text, a, b) is not None for a, b in tokens]
-    at = [i for i, s in enumerate(seeds) if s]
+    seeds = _seeds(text, tokens, _spelled(text))
     groups: list[tuple[int, int]] = []
-    for i in at:
-        if groups and i - groups[-1][1] <= p.gap + 1 and i - groups[-1][0] < p.max_window:
+    for i in (i for i, s in enumerate(seeds) if s):
+        if groups and i - groups[-1][1] <= p.gap + 1:
             groups[-1] = (groups[-1][0], i)
         else:
             groups.append((i, i))
-    k = 0
-    ordered = sorted(spans)
-    for first, last in groups:
-        lo, hi = max(0, first - p.context), min(len(tokens), last + 1 + p.context)
-        own = tokens[lo:hi]
-        while k < len(ordered) and ordered[k][1] <= own[0][0]:
+    fixed, k = [False] * len(tokens), 0
+    for a, b, _ in sorted(spans):
+        while k < len(tokens) and tokens[k][1] <= a:
             k += 1
-        near = []
-        for s in ordered[k:]:
-            if s[0] >= own[-1][1]:
-                break
-            near.append(s)
-        yield Window(own, seeds[lo:hi], [any(s[0] < b and a < s[1] for s in near) for a, b in own])
+        j = k
+        while j < len(tokens) and tokens[j][0] < b:
+            fixed[j] = True
+            j += 1
+    for first, last in groups:
+        own = slice(max(0, first - p.context), last + 1 + p.context)
+        yield Stretch(tokens[own], seeds[own], fixed[own])
 
 
 def surface(text: str, a: int, b: int) -> tuple[int, int]:
     """A segment's span without the punctuation around it."""
-    while b > a and text[b - 1] in ".,;:!?\"'>]}" or b > a and text[b - 1] == ")" and "(" not in text[a:b]:
-        b -= 1
-    while a < b and text[a] in "\"'<[{" or a < b and text[a] == "(" and ")" not in text[a:b]:
-        a += 1
-    return a, b
+    s = text[a:b]
+    kept = s.rstrip(".,;:!?\"'>*#$&%|" + ("" if "(" in s else ")") + ("" if "[" in s else "]") + ("" if "{" in s else "}"))
+    b = a + len(kept)
+    kept = kept.lstrip("\"'<*#$&%|" + ("" if ")" in s else "(") + ("" if "]" in s else "[") + ("" if "}" in s else "{"))
+    return b - len(kept), b
 
 
-def features(text: str, a: int, b: int, n: int, before: str) -> list[str]:
-    """Whole-span features of text[a:b], a segment of n tokens."""
-    s = text[a : min(b, a + 80)]
+def features(s: str, n: int, before: str) -> list[str]:
+    """Whole-span features of s, a segment of n tokens after a word."""
     digits = _digits(s)
+    plain = DOT.sub(".", AT.sub("@", s.lower()))
+    octets = plain.split(".")
+    letters = sum(map(str.isalpha, s))
     shape = re.sub(r"[0-9]+", lambda m: f"d{min(5, len(m[0]))}", re.sub(r"[^\W\d_]+", "a", s))[:24]
-    octets = s.split(".")
-    out = [f"shape={shape}", f"digits={min(20, len(digits))}", f"tokens={n}", f"before={before}", f"first={'d' if s[:1].isdigit() else s[:1] if not s[:1].isalpha() else 'a'}", "bias"]
-    out.append(f"at={s.count('@')}{'.' in s.partition('@')[2]}")
-    out.append(f"letters={sum(map(str.isalpha, s)) > 0}")
-    out.append(f"luhn={12 <= len(digits) <= 19 and _luhn(digits)}{len(digits) == len(s)}")
-    out.append(f"octets={len(octets) == 4 and all(o.isdigit() and len(o) <= 3 and int(o) <= 255 for o in octets)}")
-    out.append(f"plus={s.startswith('+')}{9 <= len(digits) <= 15}")
-    return out
-
-
-def lattice(text: str, w: Window, p: Params) -> list[tuple[int, int, tuple[int, int], bool, list[str]]]:
+    marks = "".join(sorted({c for c in s if not c.isalnum() and not c.isspace()}))[:6]
+    card = 12 <= len(digits) <= 19 and not letters
+    return [
+        "bias",
+        f"shape={shape}",
+        f"digits={min(20, len(digits))}{letters > 0}",
+        f"tokens={n}",
+        f"before={before}",
+        f"marks={marks}{n > 1}",
+        f"address={bool(ADDRESS.fullmatch(plain))}",
+        f"luhn={card and _luhn(digits)}{len(digits) == len(s)}",
+        f"card={card}",
+        f"octets={len(octets) == 4 and all(o.isdecimal() and o.isascii() and len(o) <= 3 and int(o) <= 255 for o in octets)}",
+        f"phone={not letters and 9 <= len(digits) <= 15}{s[:1] == '+'}{s[:2] == '00'}{s[:1] == '('}{len(digits) == len(s)}",
+    ]
+
+
+def lattice(text: str, w: Stretch, p: Params) -> list[tuple[int, int, tuple[int, int], bool, list[str]]]:
     """Candidate segments (first token, after last, span, may be an entity, features)."""
     out = []
-    for i in range(len(w.tokens)):
-        before = text[w.tokens[i - 1][0] : w.tokens[i - 1][1]].lower().strip(".,:;") if i else ""
+    for i, (start, _) in enumerate(w.tokens):
+        before = text[w.tokens[i - 1][0] : w.tokens[i - 1][1]][-24:].lower().strip(".,:;") if i else ""
+        before = re.sub("[0-9]", "0", before)
         for j in range(i + 1, min(len(w.tokens), i + p.max_len) + 1):
-            held = any(w.fixed[i:j])
-            entity = not held and any(w.seeds[i:j]) and not any(b - a > 64 for a, b in w.tokens[i:j])
-            if j - i > 1 and not entity:
+            if any(w.fixed[i:j]):
+                if j == i + 1:
+                    out.append((i, j, w.tokens[i], False, ["plain"]))
+                break
+            entity = any(w.seeds[i:j])
+            if j > i + 1 and not entity:
                 continue
-            a, b = surface(text, w.tokens[i][0], w.tokens[j - 1][1])
-            out.append((i, j, (a, b), entity and b > a, features(text, a, b, j - i, before[:16]) if w.seeds[i] or entity else ["plain", "bias"]))
+            a, b = surface(text, start, w.tokens[j - 1][1])
+            entity = entity and b > a
+            out.append((i, j, (a, b), entity, features(text[a:b], j - i, before) if entity else ["plain"]))
     return out
 
 
-def _chart(edges: list, weights: dict[str, float], n: int) -> tuple[list, np.ndarray, np.ndarray]:
-    """Scored edges (i, j, label, score, features, span) and the log sums from both ends."""
-    scored = []
-    for i, j, span, entity, feats in edges:
-        if j - i == 1:
-            scored.append((i, j, "O", sum(weights.get(f"O|{f}", 0.0) for f in feats), feats, span))
-        if entity:
-            scored += [(i, j, k, sum(weights.get(f"{k}|{f}", 0.0) for f in feats), feats, span) for k in KINDS]
-    left, right = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-    left[0] = right[n] = 0.0
-    for i, j, _, s, _, _ in sorted(scored, key=lambda e: e[1]):
-        left[j] = np.logaddexp(left[j], left[i] + s)
-    for i, j, _, s, _, _ in sorted(scored, key=lambda e: -e[0]):
-        right[i] = np.logaddexp(right[i], right[j] + s)
-    return scored, left, right
-
-
-def decode(text: str, w: Window, model: Model) -> list[Span]:
+@dataclass
+class Chart:
+    """A stretch's candidate segments in arrays; feats holds feature rows, -1 for none."""
+
+    first: np.ndarray
+    after: np.ndarray
+    allowed: np.ndarray  #: which labels a segment may have
+    feats: np.ndarray
+    spans: list[tuple[int, int]]
+    n: int
+
+
+def _chart(edges: list, n: int, row) -> Chart:  # noqa: ANN001
+    width = max((len(e[4]) for e in edges), default=1)
+    feats = np.full((len(edges), width), -1)
+    for k, e in enumerate(edges):
+        own = [row(f) for f in e[4]]
+        feats[k, : len(own)] = own
+    first, after = np.array([e[0] for e in edges], int), np.array([e[1] for e in edges], int)
+    entity = np.array([e[3] for e in edges], bool)
+    allowed = np.concatenate([(after - first == 1)[:, None], np.repeat(entity[:, None], len(KINDS), axis=1)], axis=1)
+    return Chart(first, after, allowed, feats, [e[2] for e in edges], n)
+
+
+def _more(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
+def _scores(c: Chart, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The score of every (segment, label), and its marginal probability."""
+    known = np.concatenate([weights, np.zeros((1, weights.shape[1]))])[c.feats].sum(axis=1)
+    scores = np.where(c.allowed, known, -np.inf)
+    top = scores.max(axis=1)
+    total = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+    left, right = [-math.inf] * (c.n + 1), [-math.inf] * (c.n + 1)
+    left[0] = right[c.n] = 0.0
+    edges = list(zip(c.first.tolist(), c.after.tolist(), total.tolist(), strict=True))  # by first token
+    for i, j, s in edges:
+        left[j] = _more(left[j], left[i] + s)
+    for i, j, s in reversed(edges):
+        right[i] = _more(right[i], right[j] + s)
+    log_p = np.array(left)[c.first][:, None] + scores + np.array(right)[c.after][:, None] - left[c.n]
+    return scores, np.exp(np.minimum(log_p, 0.0))
+
+
+def decode(text: str, w: Stretch, model: Model) -> list[Span]:
     """The entities of the best segmentation whose marginal probability is high enough."""
-    n = len(w.tokens)
-    scored, left, right = _chart(lattice(text, w, model.params), model.weights, n)
-    best: list[tuple[float, tuple | None]] = [(0.0, None)] + [(-math.inf, None)] * n
-    for e in sorted(scored, key=lambda e: (e[1], e[1] - e[0])):
-        if best[e[0]][0] + e[3] > best[e[1]][0]:
-            best[e[1]] = (best[e[0]][0] + e[3], e)
-    out, j = [], n
-    while j > 0 and (e := best[j][1]):
-        sure = left[e[0]] + e[3] + right[e[1]] - left[n]
-        if e[2] != "O" and math.exp(min(0.0, sure)) >= model.params.min_probability:
-            out.append((*e[5], e[2]))
-        j = e[0]
+    c = _chart(lattice(text, w, model.params), len(w.tokens), lambda f: model.index.get(f, -1))
+    scores, probability = _scores(c, model.weights)
+    label, value = scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist()
+    best: list[tuple[float, int]] = [(0.0, -1)] + [(-math.inf, -1)] * c.n
+    ends: list[list[int]] = [[] for _ in range(c.n + 1)]
+    for k, j in enumerate(c.after.tolist()):
+        ends[j].append(k)
+    for j in range(1, c.n + 1):
+        for k in reversed(ends[j]):  # the shorter segment first
+            if (s := best[c.first[k]][0] + value[k]) > best[j][0]:
+                best[j] = (s, k)
+    out, j = [], c.n
+    while j > 0 and (k := best[j][1]) >= 0:
+        if label[k] and probability[k, label[k]] >= model.params.min_probability:
+            out.append((*c.spans[k], KINDS[label[k] - 1]))
+        j = int(c.first[k])
     return out
 
 
 def find(text: str | None, model: Model) -> tuple[list[Span], list[Span]]:
     """The base spans, and all spans, of a text."""
-    if not text or not SEED.search(text):
+    if not text or not (SEED.search(text) or _spelled(text)):
         return [], []
     base = base_spans(text)
     more: list[Span] = []
-    if model.weights:
-        for w in windows(text, base, model.params):
+    if model.index:
+        for w in stretches(text, base, model.params):
             if any(s and not f for s, f in zip(w.seeds, w.fixed, strict=True)):
                 more += decode(text, w, model)
     if not more:
@@ -222,35 +300,119 @@ def find(text: str | None, model: Model) -> tuple[list[Span], list[Span]]:
     return base, sorted({*base, *more}, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def train(examples: list[tuple[str, list[Span]]], p: Params) -> Model:
-    """Likelihood ascent over windows (text of the window, its base spans)."""
-    ready = []
+def rewrites(kind: str, s: str, r: random.Random) -> str:
+    """The same personal data in a form that the base rules don't know."""
+    if kind == "email":
+        local, _, host = s.partition("@")
+        return r.choice([
+            f"{local} at {host.replace('.', ' dot ')}", f"{local} (at) {host}", f"{local}(at){host}", f"{local} [at] {host.replace('.', ' [dot] ')}",
+            f"{local}[at]{host.replace('.', '[dot]')}", f"{local} @ {host}", f"{local} (at) {host.replace('.', ' (dot) ')}", f"{local} at {host.rpartition('.')[0]} dot {host.rpartition('.')[2]}",
+        ])
+    digits = _digits(s)
+    if kind == "ip":
+        return s.replace(".", r.choice(["[.]", "(.)", " . ", "[dot]", " dot ", " [.] ", " (dot) "]))
+    if kind == "card":
+        parts = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return r.choice([".", "/", "_", " - ", " . ", " / ", "--", "  "]).join(parts)
+    tail = [digits[-10:-7], digits[-7:-4], digits[-4:]] if len(digits) >= 10 else [digits[:3], digits[3:6], digits[6:]]
+    a, b, c = tail
+    lead = digits[: -10] if len(digits) > 10 else "1"
+    return r.choice([f"00{lead} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{lead}{a}{b}{c}", f"+{lead}/{a}/{b}{c}", f"+ {lead} {a} {b} {c}", f"({a}) {b} {c}"])
+
+
+def _number(r: random.Random) -> str:
+    """As many digits as a card has, but failing the check digit."""
+    number = str(r.randint(10**15, 10**16 - 1))
+    return number[:-1] + str((int(number[-1]) + 1) % 10) if _luhn(number) else number
+
+
+def harmless(r: random.Random) -> str:
+    """Something with digits or a dot that is no personal data."""
+    n = lambda a, b: r.randint(a, b)
+    number = _number(r)
+    cut = [number[i : i + 4] for i in range(0, 16, 4)]
+    return r.choice([
+        f"{n(1900, 2100)}-{n(1, 12):02}-{n(1, 28):02}", f"{n(1, 28):02}.{n(1, 12):02}.{n(1900, 2100)}", f"{n(1, 12)}/{n(1, 28)}/{n(1900, 2100)}", f"{n(0, 23):02}:{n(0, 59):02}", f"{n(1, 9)}.{n(0, 20)}", f"v{n(1, 9)}.{n(0, 20)}.{n(0, 99)}",
+        f"{n(1, 9)}.{n(0, 20)}.{n(0, 99)}", f"{n(1, 999)},{n(0, 999):03}.{n(0, 99):02}", f"{n(1, 99)}%", str(n(0, 10**8)), number, r.choice(".-/_ ").join(cut), f"{n(256, 999)}.{n(256, 999)}.{n(0, 300)}.{n(0, 300)}",
+        f"{n(1900, 2100)}-{n(1900, 2100)}", f"{n(1, 99)}-{n(1, 99)}", f"{n(0, 2**40):x}{n(0, 2**40):x}", f"{n(1, 300)} dot {n(256, 999)}", "look at the dot here", "a dot on it", f"{n(1, 9)} . {n(1, 9)}", f"id-{n(1000, 10**7)}",
+        f"{n(1900, 2100)}-{n(1, 12):02}-{n(1, 28):02} {n(0, 23):02}:{n(0, 59):02}:{n(0, 59):02}", f"{n(100, 999)} {n(100, 999)}", f"@{r.choice(['anna', 'user', 'team'])}{n(1, 99)}", f"{n(1, 9)} at {n(1, 9)}", f"{n(1000, 9999)} {n(1000, 9999)} {n(1000, 9999)}",
+    ])
+
+
+Example = tuple[str, list[Span]]
+
+
+def taught(windows: list[Example], most: int, seed: int = 9) -> list[Example]:
+    """What is learned from windows with base spans: themselves, and their changed copies,
+    of which a window has the more (five times as many, at most) the fewer there are."""
+    r = random.Random(seed)
+    known = [(k, text[a:b]) for text, spans in windows for a, b, k in spans]
+    times = min(5, max(1, most // max(1, sum(bool(spans) for _, spans in windows))))
+    out: list[Example] = []
+    for text, spans in windows:
+        if not spans:
+            out.append((text, []))
+            continue
+        out.append((text, spans))
+        a, b, kind = spans[0]
+        head, tail = text[:a], text[b:]
+        if any(s[0] < b for s in spans[1:]):
+            continue
+        rest = lambda at, spans=spans, b=b: [(x - b + at, y - b + at, k) for x, y, k in spans[1:]]
+        for _ in range(2 * times):
+            new = rewrites(kind, text[a:b], r)
+            out.append((head + new + tail, [(a, a + len(new), kind), *rest(a + len(new))]))
+        for _ in range(times):
+            new = harmless(r)
+            out.append((head + new + tail, rest(a + len(new))))
+        new = _number(r) if kind == "card" or r.random() < 0.5 else harmless(r)
+        out.append((f"{head}{text[a:b]} {new}{tail}", [(a, b, kind), *rest(b + 1 + len(new))]))
+        other, near = r.choice(known)
+        end = b + 1 + len(near)
+        out.append((f"{head}{text[a:b]} {near}{tail}", [(a, b, kind), (b + 1, end, other), *rest(end)]))
+        out.append((f"{head}{new} {text[a:b]}{tail}", [(a + len(new) + 1, b + len(new) + 1, kind), *rest(b + len(new) + 1)]))
+    return out
+
+
+def train(examples: list[Example], p: Params) -> Model:
+    """Likelihood ascent over windows (text of the window, its spans); no base rule holds here."""
+    index: dict[str, int] = {}
+    ready: list[tuple[Chart, np.ndarray]] = []
     for text, spans in examples:
         tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
-        seeds = [SEED.search(text, a, b) is not None for a, b in tokens]
-        edges = lattice(text, Window(tokens, seeds, [False] * len(tokens)), p)
-        where = {span: (i, j) for i, j, span, entity, _ in edges if entity}
-        gold = {(*where[a, b], k) for a, b, k in spans if (a, b) in where}
-        if len(gold) < len(spans):
-            continue  # a base span that is no segment of tokens
-        covered = {t for i, j, _ in gold for t in range(i, j)}
-        gold |= {(t, t + 1, "O") for t in range(len(tokens)) if t not in covered}
-        ready.append((edges, gold, len(tokens)))
-    weights: dict[str, float] = defaultdict(float)
-    squares: dict[str, float] = defaultdict(float)
+        seeds = _seeds(text, tokens, _spelled(text))
+        edges = lattice(text, Stretch(tokens, seeds, [False] * len(tokens)), p)
+        where = {e[2]: k for k, e in enumerate(edges) if e[3]}
+        own = [(where.get((a, b)), k) for a, b, k in spans]
+        if not edges or any(k is None for k, _ in own):
+            continue  # a span that is no segment of tokens
+        chart = _chart(edges, len(tokens), lambda f: index.setdefault(f, len(index)))
+        gold = np.zeros(chart.allowed.shape)
+        covered = set()
+        for k, kind in own:
+            gold[k, 1 + KINDS.index(kind)] = 1
+            covered |= set(range(edges[k][0], edges[k][1]))
+        for k, e in enumerate(edges):
+            if e[1] - e[0] == 1 and e[0] not in covered:
+                gold[k, 0] = 1
+        ready.append((chart, gold))
+    weights = np.zeros((len(index), 1 + len(KINDS)))
+    squares = np.full_like(weights, 1e-6)
     for _ in range(p.epochs):
-        for edges, gold, n in ready:
-            scored, left, right = _chart(edges, weights, n)
-            gradient: dict[str, float] = defaultdict(float)
-            for i, j, k, s, feats, _ in scored:
-                g = ((i, j, k) in gold) - math.exp(min(0.0, left[i] + s + right[j] - left[n]))
-                if abs(g) > 1e-4:
-                    for f in feats:
-                        gradient[f"{k}|{f}"] += g
-            for f, g in gradient.items():
-                squares[f] += g * g
-                weights[f] += 0.3 * g / math.sqrt(squares[f] + 1e-6) - 1e-4 * weights[f]
-    return Model({f: v for f, v in weights.items() if v} if ready else {}, p)
+        for c, gold in ready:
+            _, probability = _scores(c, weights)
+            off = gold - probability
+            use = np.flatnonzero(np.abs(off).max(axis=1) > 1e-4)
+            if not len(use):
+                continue
+            rows, at = np.unique(c.feats[use], return_inverse=True)
+            gradient = np.zeros((len(rows), weights.shape[1]))
+            np.add.at(gradient, at.ravel(), np.repeat(off[use], c.feats.shape[1], axis=0))
+            if rows[0] < 0:
+                rows, gradient = rows[1:], gradient[1:]
+            squares[rows] += gradient * gradient
+            weights[rows] += 0.5 * gradient / np.sqrt(squares[rows]) - 1e-4 * weights[rows]
+    return Model(index if ready and any(g[:, 1:].any() for _, g in ready) else {}, weights, p)
 
 
 def fit(docs: DataFrame, p: Params = Params()) -> Model:
@@ -267,23 +429,28 @@ def fit(docs: DataFrame, p: Params = Params()) -> Model:
             for text, key in zip(pdf["text"], pdf["_h"], strict=True):
                 if SEED.search(text):
                     base = base_spans(text)
-                    for w in windows(text, base, p):
+                    for w in stretches(text, base, p):
                         a, b = w.tokens[0][0], w.tokens[-1][1]
-                        if b - a <= 2_000:
-                            inside = [(s - a, e - a, k) for s, e, k in base if a <= s and e <= b]
-                            own = hashlib.md5(f"{key}:{a}".encode()).hexdigest()
-                            rows.append((own, text[a:b], [s for s, _, _ in inside], [e for _, e, _ in inside], [k for _, _, k in inside]))
-            yield pd.DataFrame(rows, columns=["h", "part", "a", "b", "k"])
+                        if b - a > p.train_chars:
+                            continue
+                        inside = [(s - a, e - a, k) for s, e, k in base if a <= s and e <= b]
+                        open_ = any(e and not f and len(_digits(text[x:y])) >= 3 for (x, y), e, f in zip(w.tokens, w.seeds, w.fixed, strict=True))
+                        if open_ and inside:
+                            continue  # next to a span, digits may be one that the rules lost
+                        own = hashlib.md5(f"{key}:{a}".encode()).hexdigest()
+                        rows.append((own, not inside, text[a:b], [s for s, _, _ in inside], [e for _, e, _ in inside], [k for _, _, k in inside]))
+            yield pd.DataFrame(rows, columns=["h", "empty", "part", "a", "b", "k"])
 
     found = (
         some.select("text", "_h")
-        .mapInPandas(cut, "h string, part string, a array<int>, b array<int>, k array<string>")
+        .mapInPandas(cut, "h string, empty boolean, part string, a array<int>, b array<int>, k array<string>")
         .dropDuplicates(["h"])
-        .orderBy("h")
-        .limit(p.max_windows)
+        .withColumn("r", F.row_number().over(W.partitionBy("empty").orderBy("h")))  # of the sample's windows
+        .where(F.col("r") <= F.when(F.col("empty"), p.max_windows // 4).otherwise(p.max_windows - p.max_windows // 4))
+        .orderBy("empty", "r")
         .collect()
     )
-    return train([(r["part"], list(zip(r["a"], r["b"], r["k"], strict=True))) for r in found], p)
+    return train(taught([(r["part"], list(zip(r["a"], r["b"], r["k"], strict=True))) for r in found], p.max_windows), p)
 
 
 def joined(spans: list[Span]) -> str:
