@@ -11,6 +11,15 @@ one with a gap all its unfilled ones. Their documents are packed anew in
 partitions twice as large, at most ``rounds`` times and only while that lowers
 the number of sequences.
 
+Pieces with a ``place`` (``pieces_in_order``) keep to that order: partitions are
+ranges of ``part_rows`` places, exchanges go to the neighbouring range, and the
+numbers of sequences follow the ranges and, in a range, the mean place of their
+documents. So a mixture's order holds for the sequences but for the documents of
+one range. Other pieces are spread by a hash.
+
+Ids come from the rank file of the tokenizer's own vocabulary where both are
+known to agree, and from the tokenizer else (``encoder``).
+
 Edge cases: a null or empty text is the single id 0; an empty table packs into
 nothing; repeated rows and null ids are pieces like others (rows are told apart
 by their place in the written table); equal lengths keep table order.
@@ -27,7 +36,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from permitlake.llm.common import materialize
@@ -74,28 +85,46 @@ def encoder(paths: tuple[str, str]):  # noqa: ANN201
     return encode
 
 
-def pieces(docs: DataFrame, paths: tuple[str, str] | None = None, p: Params = Params(), with_ids: bool = False) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32[, ids]) of the documents' pieces."""
+def pieces(docs: DataFrame, paths: tuple[str, str] | None = None, p: Params = Params(), with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, piece, start, length, ids_crc32[, ids]) of the documents' pieces, with the columns kept."""
     paths = paths or vocabulary_paths()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), *keep]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(paths)
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for doc_id, text, *own_columns in zip(pdf["doc_id"], pdf["text"], *(pdf[c] for c in keep), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(0)).astype("<u4")
                 ends = range(len(ids) % p.capacity or p.capacity, len(ids) + 1, p.capacity)
                 start = 0
                 for k, end in enumerate(ends):
                     own = ids[start:end]
-                    rows.append((doc_id, k, start, end - start, zlib.crc32(own.tobytes()), *([own.astype(np.int32)] if with_ids else [])))
+                    rows.append((doc_id, k, start, end - start, zlib.crc32(own.tobytes()), *([own.astype(np.int32)] if with_ids else []), *own_columns))
                     start = end
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+            out = pd.DataFrame(rows, columns=names)
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
+    schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).mapInPandas(cut, schema)
+
+
+def pieces_in_order(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """The pieces of a table as it is stored, with the place (from 0) of their document in it.
+
+    Files are taken in the order of their names, as Spark writes them, and rows in
+    that of the file; no text is shuffled for it. What isn't stored is written first.
+    """
+    try:
+        stored = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return pieces_in_order(materialize(docs.select("doc_id", "text"), "packing-docs"), p)
+    sizes = stored.groupBy("file").agg(F.count("*").alias("n"))
+    before = materialize(sizes.select("file", (F.sum("n").over(W.orderBy("file")) - F.col("n")).alias("before")), "packing-files")  # a row per file
+    cut = materialize(pieces(stored, p=p, keep=("file", "row")), "packing-cut")
+    return cut.join(before, "file").withColumn("place", F.col("before") + F.col("row")).drop("file", "row", "before")
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,21 +181,30 @@ def _pack_part(pdf: pd.DataFrame, stage: int, p: Params) -> pd.DataFrame:
     offered = fill < p.capacity
     if tight:
         offered &= np.arange(len(fill)) == int(np.argmin(fill))
-    first = (stage << 52) | (int(pdf["part"].iloc[0]) << 20)
-    return pdf[["row", "doc_id", "piece", "start", "length", "ids_crc32"]].assign(
-        sequence_id=first + bins, offset=offsets, open=offered[bins], bins=len(fill), bound=bound
-    )
+    part, number = int(pdf["part"].iloc[0]), np.arange(len(fill))
+    if "place" in pdf.columns:
+        part <<= stage  # the first of the smallest ranges that this one covers
+        number[np.argsort(np.bincount(bins, pdf["place"]) / np.bincount(bins), kind="stable")] = np.arange(len(fill))
+    first = (part << 28) | (stage << 25)
+    kept = [c for c in pdf.columns if c != "part"]
+    return pdf[kept].assign(sequence_id=first + number[bins], offset=offsets, open=offered[bins], bins=len(fill), bound=bound)
 
 
 def _packed(rows: DataFrame, n: int, stage: int, p: Params) -> DataFrame:
-    parts = max(1, -(-n // (p.part_rows << stage)))
-    spread = rows.withColumn("part", F.pmod(F.xxhash64("row", F.lit(stage)), F.lit(parts)))
-    return materialize(spread.groupBy("part").applyInPandas(lambda pdf: _pack_part(pdf, stage, p), LAYOUT), f"packing-{stage}")
+    size = p.part_rows << stage
+    ordered = "place" in rows.columns
+    part = F.floor(F.col("place") / size) if ordered else F.pmod(F.xxhash64("row", F.lit(stage)), F.lit(max(1, -(-n // size))))
+    packed = rows.withColumn("part", part).groupBy("part").applyInPandas(lambda pdf: _pack_part(pdf, stage, p), LAYOUT + (", place long" if ordered else ""))
+    return materialize(packed, f"packing-{stage}")
 
 
 def pack(cut: DataFrame, p: Params = Params()) -> DataFrame:
-    """The pieces with sequence_id and offset, bins and bound of their partition, and open."""
-    rows = materialize(cut.select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
+    """The pieces with sequence_id and offset, bins and bound of their partition, and open.
+
+    With a column place in ``cut``, partitions and sequences follow it.
+    """
+    place = ["place"] if "place" in cut.columns else []
+    rows = materialize(cut.select("doc_id", "piece", "start", "length", "ids_crc32", *place).withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
     layout = _packed(rows, rows.count(), 0, p)
     closed: list[DataFrame] = []
     least = _bound(rows, p)

@@ -112,6 +112,25 @@ def test_sequences_hold_the_ids(documents):
                 assert list(r["ids"][x["offset"] : x["offset"] + x["length"]]) == ids[x["doc_id"]]
 
 
+def test_packing_in_order(documents, tmp_path):
+    """Sequences follow the stored order but for the documents of one range, and need hardly more of them."""
+    rng = random.Random(5)
+    df = documents([(i, "w " * rng.randrange(1, 900)) for i in range(1200)]).orderBy("doc_id").repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id")
+    df.write.parquet(str(tmp_path / "t"))
+    stored = df.sparkSession.read.parquet(str(tmp_path / "t"))
+    p = packing.Params(part_rows=100)
+    cut = packing.pieces_in_order(stored, p)
+    assert [(r["place"], r["doc_id"]) for r in cut.where("piece = 0").orderBy("place").collect()] == [(i, i) for i in range(1200)]
+    layout = packing.pack(cut, p).persist()
+    rows = layout.collect()
+    used = layout_is_sound(rows)
+    assert len(rows) == cut.count() and used <= 1.02 * packing.certificate(layout)["bound"]
+    ranges = [r["doc_id"] // 100 for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"]))]
+    late = sum(a > b for a, b in pairwise(ranges))
+    assert late <= 0.05 * len(rows) and max(b - a for a, b in pairwise(ranges)) < 16
+    assert packing.pack(packing.pieces_in_order(stored.limit(0), p), p).count() == 0
+
+
 # mixing
 
 
@@ -231,5 +250,23 @@ def test_stage_decisions_take_effect(stages):
     before, after = stages["mixing"]
     assert sorted(map(str, before.collect())) == sorted(map(str, after.collect()))
     before, after = stages["packing"]
+    # the layout needs no schedule of its own: it follows the mixture's (test_packed_output_follows_the_weights)
     layout_is_sound(after.collect())
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()}
+
+
+def test_packed_output_follows_the_weights(spark, documents, tmp_path, monkeypatch):
+    """Every prefix of sequences holds the sources in their weights, but for the documents of one range."""
+    rng = random.Random(7)
+    df = documents([(i, f"t{i} " * rng.randrange(20, 60) * (1 + i % 3), "en", f"s{i % 3}") for i in range(3000)])
+    weights = {"s0": 4.0, "s1": 2.0, "s2": 1.0}
+    monkeypatch.setattr(mixing, "default_weights", lambda sizes, t: weights)
+    corpus_pipeline.mix_sources(spark, df, "").write.parquet(str(tmp_path / "m"))
+    layout = packing.pack(packing.pieces_in_order(spark.read.parquet(str(tmp_path / "m")), packing.Params(part_rows=50)), packing.Params(part_rows=50))
+    seen, n = {"s0": 0, "s1": 0, "s2": 0}, 0
+    for r in sorted(layout.where("piece = 0").collect(), key=lambda r: (r["sequence_id"], r["offset"])):
+        seen[f"s{r['doc_id'] % 3}"] += 1
+        n += 1
+        if n <= 1600:  # s0 runs out at 1750
+            assert all(abs(seen[s] - n * w / 7) <= 16 + 100 for s, w in weights.items()), (n, seen)
+    assert n == 3000 and sum(seen.values()) == 3000
