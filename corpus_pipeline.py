@@ -45,8 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences."""
-    layout = packing.pack(packing.pieces(docs))
+    """Packs the documents' tokens into sequences that follow the order of the mixture, as it is stored."""
+    layout = packing.pack(packing.pieces_in_order(docs))
     return layout.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
