@@ -11,7 +11,15 @@ tell windows apart. Overlapping and adjacent repeats of a document merge into
 maximal intervals of words to remove.
 
 A window that is common to a third of all documents reaches its owner at most
-once per chunk, not once per document. A false match takes two different
+once per chunk, not once per document. A run that is common to many different
+windows would give one task all of them: owners whose windows are estimated
+(from one document in ``sample``, chosen by hash) to be more than
+``owner_windows`` are dealt on by bits of the window's hash, so that each part
+has about as many; equal windows stay together, so the result is the same
+whatever the estimate. At most ``hot_owners`` of them, those with most windows,
+are dealt on; any other owner has less than one in ``hot_owners`` of all windows.
+
+A false match takes two different
 windows that agree in all 64 bits of their hash and, unless they are of one
 chunk, in their minimizer.
 
@@ -38,7 +46,8 @@ U = np.uint64
 #: The odd base of the rolling hash and its inverse modulo 2^64.
 BASE = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-RUNS = "owner long, doc_id long, start int, upto int, hashes binary"
+#: A run's windows by their hashes of 8 bytes; or a repeat's end, in 4 bytes.
+RUNS = "owner long, doc_id long, start int, hashes binary"
 
 
 @dataclass(frozen=True)
@@ -46,6 +55,9 @@ class Params:
     window: int = 20
     gram: int = 5
     chunk_words: int = 1_000_000
+    sample: int = 64
+    owner_windows: int = 500_000
+    hot_owners: int = 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -87,18 +99,24 @@ def _pieces(flag: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first[on], last[on]
 
 
-def _rows(owner, doc, start, upto, offsets, data) -> pa.RecordBatch:  # noqa: ANN001
-    n = len(owner)
-    if data is None:
-        hashes = pa.nulls(n, pa.binary())
-    else:
-        hashes = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(owner.astype(np.int64)), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(upto.astype(np.int32)), hashes], ["owner", "doc_id", "start", "upto", "hashes"]
-    )
+def _rows(owner, doc, start, offsets, data) -> pa.RecordBatch:  # noqa: ANN001
+    hashes = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    return pa.RecordBatch.from_arrays([pa.array(owner.astype(np.int64)), pa.array(doc), pa.array(start.astype(np.int32)), hashes], ["owner", "doc_id", "start", "hashes"])
 
 
-def _chunk(ids: np.ndarray, lengths: np.ndarray, w: np.ndarray, p: Params) -> Iterator[pa.RecordBatch]:
+Hot = tuple[np.ndarray, np.ndarray]  #: owners to deal on, in order, and into how many parts (powers of 2)
+
+
+def _deal_on(owner: np.ndarray, h: np.ndarray, hot: Hot) -> np.ndarray:
+    """The owners of windows, hot ones by part."""
+    if not len(hot[0]):
+        return owner
+    at = np.minimum(np.searchsorted(hot[0], owner), len(hot[0]) - 1)
+    part = np.where(hot[0][at] == owner, (h >> U(7)) & (hot[1][at] - U(1)), U(0))
+    return np.where(part > 0, _mix(owner ^ _mix(part)), owner)
+
+
+def _chunk(ids: np.ndarray, lengths: np.ndarray, w: np.ndarray, p: Params, hot: Hot) -> Iterator[pa.RecordBatch]:
     """Runs of windows that are first in this chunk (with hashes), and intervals of its repeats (without)."""
     order = np.argsort(ids, kind="stable")
     begin = np.cumsum(lengths) - lengths
@@ -115,7 +133,8 @@ def _chunk(ids: np.ndarray, lengths: np.ndarray, w: np.ndarray, p: Params) -> It
     fits = np.maximum(0, lengths - p.window + 1)
     start = np.arange(len(doc_of)) - np.repeat(np.cumsum(fits) - fits, fits)
     place = begin[doc_of] + start
-    h, owner = every[place], least[place]
+    h = every[place]
+    owner = _deal_on(least[place], h, hot)
     by = np.argsort(h, kind="stable")
     same = h[by][1:] == h[by][:-1]
     lead = np.concatenate([[True], ~same])
@@ -128,7 +147,7 @@ def _chunk(ids: np.ndarray, lengths: np.ndarray, w: np.ndarray, p: Params) -> It
     a, b = _pieces(again & ~itself, new_doc)
     if len(a):
         doc = ids[doc_of[a]]
-        yield _rows(_mix(doc.astype(U)).view(np.int64), doc, start[a], start[b - 1] + p.window, None, None)
+        yield _rows(_mix(doc.astype(U)).view(np.int64), doc, start[a], np.arange(len(a) + 1) * 4, (start[b - 1] + p.window).astype("<i4"))
     a, b = _pieces(~again, new_doc | np.concatenate([[True], owner[1:] != owner[:-1]]))
     keep = np.repeat(np.arange(len(a)), b - a)
     inside = np.arange(len(keep)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[keep]
@@ -136,7 +155,7 @@ def _chunk(ids: np.ndarray, lengths: np.ndarray, w: np.ndarray, p: Params) -> It
     ends = np.concatenate([[0], np.cumsum(b - a)])
     for i in range(0, len(a), 50_000):
         j = min(len(a), i + 50_000)
-        yield _rows(owner[a[i:j]].view(np.int64), ids[doc_of[a[i:j]]], start[a[i:j]], start[b[i:j] - 1] + p.window, (ends[i : j + 1] - ends[i]) * 8, whole[ends[i] : ends[j]])
+        yield _rows(owner[a[i:j]].view(np.int64), ids[doc_of[a[i:j]]], start[a[i:j]], (ends[i : j + 1] - ends[i]) * 8, whole[ends[i] : ends[j]])
 
 
 def _firsts(group: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,16 +174,18 @@ def _owned(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBa
     seen = (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
     schema = ["doc_id", "start", "upto"]
     for batch in batches:
-        owner, doc, start, upto = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("owner", "doc_id", "start", "upto"))
+        owner, doc, start = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("owner", "doc_id", "start"))
         hashes = batch.column("hashes")
-        null = hashes.is_null().to_numpy(zero_copy_only=False)
-        if null.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[null]), pa.array(start[null]), pa.array(upto[null])], schema)
-            owner, doc, start = owner[~null], doc[~null], start[~null]
-            hashes = hashes.filter(pa.array(~null))
+        offsets = np.frombuffer(hashes.buffers()[1], np.int32, len(hashes) + 1, hashes.offset * 4)
+        done = np.diff(offsets) == 4
+        if done.any():
+            upto = np.frombuffer(b"".join(hashes.filter(pa.array(done)).to_pylist()), "<i4")
+            yield pa.RecordBatch.from_arrays([pa.array(doc[done]), pa.array(start[done]), pa.array(upto)], schema)
+            owner, doc, start = owner[~done], doc[~done], start[~done]
+            hashes = hashes.filter(pa.array(~done))
+            offsets = np.frombuffer(hashes.buffers()[1], np.int32, len(hashes) + 1, hashes.offset * 4) if len(hashes) else offsets
         if not len(owner):
             continue
-        offsets = np.frombuffer(hashes.buffers()[1], np.int32, len(hashes) + 1, hashes.offset * 4)
         h = np.frombuffer(hashes.buffers()[2], "<u8", (offsets[-1] - offsets[0]) // 8, offsets[0])
         size = np.diff(offsets) // 8
         row = np.repeat(np.arange(len(owner)), size)
@@ -190,8 +211,35 @@ def _owned(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(pos[a].astype(np.int32)), pa.array((pos[b - 1] + p.window).astype(np.int32))], schema)
 
 
+def _hashed(docs: DataFrame, p: Params) -> DataFrame:
+    """Rows (doc_id, h) of the documents that have a window, h the hashes of their words."""
+    hashed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    return hashed.where(F.size("h") >= p.window)
+
+
+def hot_owners(docs: DataFrame, p: Params = Params()) -> Hot:
+    """The owners that are dealt on; an estimate, on which no result depends."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h")
+            ends, values = h.offsets.to_numpy(), h.values.to_numpy(zero_copy_only=False).view(U)
+            own = [_least(rolling(values[a:b], p.gram), p.window - p.gram + 1) for a, b in zip(ends, ends[1:], strict=False)]
+            if own:
+                owner, n = np.unique(np.concatenate(own), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(owner.view(np.int64)), pa.array(n.astype(np.int64) * p.sample)], ["owner", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(p.sample)) == 0)
+    counts = _hashed(some, p).mapInArrow(count, "owner long, n long").groupBy("owner").agg(F.sum("n").alias("n")).where(F.col("n") > p.owner_windows)
+    found = counts.orderBy(F.desc("n"), "owner").limit(p.hot_owners).collect()
+    owner, n = np.array([r["owner"] for r in found], np.int64).view(U), np.array([r["n"] for r in found], float)
+    by = np.argsort(owner)
+    return owner[by], (2 ** np.ceil(np.log2(np.maximum(1, n[by] / p.owner_windows)))).astype(U)
+
+
 def repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Rows (doc_id, start, upto): words that windows with an earlier equal one cover."""
+    hot = docs.sparkSession.sparkContext.broadcast(hot_owners(docs, p))  # hot_owners at most
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
@@ -201,7 +249,7 @@ def repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             if ids:
-                yield from _chunk(np.concatenate(ids), np.concatenate(sizes), np.concatenate(flat), p)
+                yield from _chunk(np.concatenate(ids), np.concatenate(sizes), np.concatenate(flat), p, hot.value)
             ids.clear(), sizes.clear(), flat.clear()
 
         for batch in batches:
@@ -223,8 +271,7 @@ def repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
                     n = 0
         yield from out()
 
-    hashed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    runs = hashed.where(F.size("h") >= p.window).mapInArrow(scan, RUNS)
+    runs = _hashed(docs, p).mapInArrow(scan, RUNS)
     dealt = runs.repartition("owner").sortWithinPartitions("owner", "doc_id", "start")
     return dealt.mapInArrow(lambda batches: _owned(batches, p), "doc_id long, start int, upto int")
 

@@ -166,6 +166,22 @@ def test_unlike_windows_that_agree_in_32_bits(documents):
         assert all(n == 0 for _, n, _ in check(df, p).values())
 
 
+def test_hot_owners_are_dealt_on(documents):
+    """One run in every document: its windows are many, and go to many tasks, with the same result."""
+    rng = random.Random(13)
+    run = [f"g{i}" for i in range(1277953, 1277958)]  # a very small hash: the owner of every window that holds it
+    own = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(i, " ".join(own(15) + run + own(15))) for i in range(400)]
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[:40])]
+    df = documents(rows).repartition(4)
+    p = substrings.Params(sample=1, owner_windows=100, chunk_words=200)
+    owner, parts = substrings.hot_owners(df, p)
+    assert len(owner) == 1 and parts[0] == 128  # 7,040 windows
+    spread = substrings._deal_on(np.repeat(owner, 5_000), np.random.default_rng(1).integers(0, 1 << 63, 5_000).astype(np.uint64), (owner, parts))
+    assert np.unique(spread, return_counts=True)[1].max() < 80 and len(np.unique(spread)) == 128
+    assert check(df, p) == check(df, substrings.Params(chunk_words=200)) and not len(substrings.hot_owners(df.limit(0), p)[0])
+
+
 def test_odd_rows_of_repeats(odd):
     got = substrings.remove(odd).collect()
     assert len(got) == odd.count() and got[0]["_id"] == "other"
