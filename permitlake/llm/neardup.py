@@ -17,13 +17,15 @@ bucket still holds several components, blocks of its members meet in tasks:
 all pairs of unlike components whose signatures may reach the similarity (by
 five standard deviations) are compared until they are one, and only the links
 that joined something are returned. So every pair that shares a bucket is
-decided, and no join or group ever emits all pairs. Components come from a
+decided, and no join or group ever emits all pairs; a member goes to one task per
+block of its bucket's members outside the main component. Components come from a
 min-label iteration over written tables; nothing is collected.
 
 Edge cases: null texts and texts without a word are each a class of their own;
 texts under five words have one shingle, all their words; repeated rows belong
 to one class; the kept document of a class is the one with the smallest doc_id
-(nulls last), and one row of it only if rows repeat.
+(nulls last), and one row of it only if rows repeat: of rows that share doc_id
+and text but no other column, the one whose whole content has the least hash.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from permitlake.llm.common import SPACES, carry, materialize, words
+from permitlake.llm.common import ROW, SPACES, carry, materialize, words
 
 U = np.uint64
 NO_ID = -(1 << 63)  # stands for a null doc_id in join keys
@@ -313,13 +315,15 @@ def links(nodes: DataFrame, docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     # buckets of three and more that still hold several components, each set of members once
     placed = members.where("size > 2").join(labels, "node")
-    main = F.max_by("comp", F.struct("degree", (-F.col("node")).alias("minus")))
+    # components of buckets first, so that no bucket's members meet in one task
     same_set = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"set{i}") for i in range(2)]
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), main.alias("main"), F.count("*").alias("size"), *same_set).where("low < high")
-    mixed = materialize(mixed.groupBy("set0", "set1", "size").agg(F.min_by(F.struct("bucket", "main"), "bucket").alias("m")).select("m.bucket", "m.main"), "neardup-mixed")
+    parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("lead"), *same_set)
+    whole = [F.bit_xor(f"set{i}").alias(f"set{i}") for i in range(2)]
+    mixed = parts.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by(F.struct("comp", "m"), "lead").alias("main"), F.sum("m").alias("size"), *whole).where("low < high")
+    once = mixed.groupBy("set0", "set1", "size").agg(F.min_by(F.struct("bucket", "main", "size"), "bucket").alias("x")).select("x.*")
+    blocks = lambda n: F.ceil(n / p.block).alias("blocks")
+    mixed = materialize(once.select("bucket", F.col("main.comp").alias("main"), blocks(F.col("main.m")).alias("mains"), blocks(F.col("size") - F.col("main.m")).alias("others")), "neardup-mixed")
     held = placed.drop("size").join(mixed, "bucket").withColumn("is_main", F.col("comp") == F.col("main"))
-    share = held.groupBy("bucket").agg(F.ceil(F.count_if("is_main") / p.block).alias("mains"), F.ceil(F.count_if(~F.col("is_main")) / p.block).alias("others"))
-    held = held.join(share, "bucket")
     at = F.when(F.col("is_main"), F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others")))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     meets = (
@@ -364,4 +368,6 @@ def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     keepers = classes(docs, p).where("kept and key is not null").select("mark", F.coalesce("doc_id", F.lit(NO_ID)).alias("_d")).distinct()
     blank = F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES))) == 0
     full, laid_out = carry(docs.where(~blank), (), _mark().alias("mark"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"))
-    return laid_out(full.join(keepers, ["mark", "_d"]).dropDuplicates(["mark", "_d"])).unionByName(docs.where(blank))
+    least = F.min_by(ROW, F.xxhash64(F.col(ROW).cast("string")))  # whatever the order of rows
+    one = full.join(keepers, ["mark", "_d"]).groupBy("mark", "_d").agg(least.alias(ROW))
+    return laid_out(one).unionByName(docs.where(blank))

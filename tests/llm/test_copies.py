@@ -97,6 +97,13 @@ def test_keep_one_keeps_the_smallest(documents):
     assert sorted(r["doc_id"] for r in neardup.keep_one(documents(rows)).collect()) == [3, 4]
 
 
+def test_keep_one_of_rows_that_differ_elsewhere(documents):
+    same = "one two three four five six seven"
+    rows = [(5, same, "en", f"s{i}") for i in range(6)] + [(5, same, None, None), (8, same, "de", "x")]
+    kept = {tuple(neardup.keep_one(documents(rows[k:] + rows[:k]).repartition(1 + k % 3)).collect()) for k in range(4)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 1 and next(iter(kept))[0]["doc_id"] == 5
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     errors = []
