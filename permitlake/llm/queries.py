@@ -117,9 +117,10 @@ def _quality_sql() -> str:
         word_n AS (SELECT doc_id, CASE WHEN word IN (SELECT word FROM vocabulary) THEN word ELSE '' END AS word, count(*) AS n FROM
                    (SELECT doc_id, unnest(plain) AS word FROM judged WHERE NOT base_failed AND len(plain) >= {p.min_words}) GROUP BY ALL),
         word_p AS (SELECT doc_id, word, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM word_n),
+        word_limit AS (SELECT {p.word_margin} * min(sqrt(greatest(0, 0.5 + (log2(2 / (1 + q)) + q * log2(2 * q / (1 + q)) - q) / 2))) AS most FROM word_q WHERE word = ''),
         word_d AS (SELECT doc_id, min(d) AS d FROM (SELECT doc_id, lang, {jsd} AS d FROM word_p JOIN word_q USING (word) GROUP BY doc_id, lang) GROUP BY doc_id)
         SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(char_d.d, 6) AS char_distance, round(word_d.d, 6) AS word_distance,
-               NOT base_failed AND coalesce(char_d.d <= {p.char_limit}, true) AND coalesce(word_d.d <= {p.word_limit}, true) AS kept
+               NOT base_failed AND coalesce(char_d.d <= {p.char_limit}, true) AND coalesce(word_d.d <= (SELECT most FROM word_limit), true) AS kept
         FROM judged LEFT JOIN char_d USING (doc_id) LEFT JOIN word_d USING (doc_id)"""
 
 

@@ -127,6 +127,19 @@ def test_quality_distances(documents):
     assert abs(got[0]["word_distance"] - min(distance(p, q) for q in refs.words)) < 1e-9
 
 
+def test_text_without_a_common_word_goes(documents):
+    rng = random.Random(6)
+    common = ["the", "river", "house", "of", "walk", "green", "and", "stone"]
+    text = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    rare = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    rows = [(i, text(200), f"l{i % 80}") for i in range(240)] + [(900 + i, rare(200), "l1") for i in range(3)]
+    df = documents(rows)
+    refs = quality.fit(df, quality.Params(common_words=8))
+    assert len(refs.languages) == 80  # every language has its reference
+    got = {r["doc_id"]: r for r in quality.judge(df, refs, quality.Params(common_words=8)).collect()}
+    assert all(got[i]["kept"] for i in range(240)) and not any(got[900 + i]["kept"] or got[900 + i]["base_failed"] for i in range(3))
+
+
 # language
 
 
