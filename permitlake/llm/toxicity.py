@@ -7,14 +7,17 @@ z-score is large. The kept terms are a bounded model (``max_terms``).
 
 Scoring (``score``): each token of a text scores its log-odds less a drift, so
 that a clean text drifts down. A linear-time scan finds every maximal scoring
-segment; extreme-value statistics of such scans (lambda from the clean token
-distribution) turn a segment's score into a normalised score, the segments
-above zero are summed, and a two-parameter calibration fitted on the training
-rows makes the sum a probability.
+segment. By extreme-value statistics the best segment of a clean text of n tokens
+exceeds s with the probability 1 - exp(-K n exp(-lambda s)): lambda is the root
+that the clean token distribution gives, K the likeliest value for the upper
+``tail`` of the best segments of the clean training rows. So a segment's score becomes
+lambda s - log(K n), which is above zero where chance alone would hardly give
+such a segment; the segments above zero are summed, and a two-parameter
+calibration fitted on the training rows makes the sum a probability.
 
 Edge cases: null and empty texts have no segment and get the score of a text
 without evidence; rows whose label or text is null train nothing; with no
-toxic or no clean training row every text scores 0. Repeated rows count as
+toxic or no clean training row every text scores exactly 0. Repeated rows count as
 often as they occur. Texts are scanned whole, whatever their length.
 """
 
@@ -24,7 +27,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -45,6 +48,7 @@ class Params:
     max_terms: int = 100_000  #: bound of the model: terms kept, largest z first
     max_rows: int = 40_000  #: bound of the training sample
     drift: float = 0.35  #: taken from each token's score
+    tail: float = 0.05  #: part of the clean rows whose best segments K is fitted to
     threshold: float = 0.3  #: predicted = 1 from this score on
 
 
@@ -80,7 +84,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums[int(toxic)].update(tokens)
             if len(sums[0]) + len(sums[1]) > FLUSH:
                 yield out()
-    yield out()
+    if sums[0] or sums[1]:  # an empty frame has no column types
+        yield out()
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -145,6 +150,26 @@ def _lambda(scores: np.ndarray, weights: np.ndarray) -> float:
     return max(low, 1e-3)
 
 
+def best_passage(text: str | None, model: Model) -> tuple[int, float]:
+    """The tokens of a text, and the score of its best segment (0 without one)."""
+    tokens = _tokens(text)
+    return len(tokens), max((s for _, _, s in passages(tokens, model.terms, model.drift)), default=0.0)
+
+
+def _log_k(clean: DataFrame, model: Model, tail: float) -> float:
+    """The log of the likeliest K under the law above, from the upper tail of clean texts' best
+    segments, the rest being known to lie below it: rows in it by sum(n * exp(-lambda * best))."""
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([best_passage(t, model) for t in pdf["text"]], columns=["n", "s"])
+
+    rows = materialize(clean.mapInPandas(best, "n long, s double").where("n > 0"), "toxicity-best")
+    start = rows.agg(F.percentile("s", 1 - tail)).first()[0] or 0.0
+    r = rows.agg(F.count_if(F.col("s") > start).alias("above"), F.sum(F.col("n") * F.exp(-model.lam * F.greatest("s", F.lit(start)))).alias("total")).first()
+    return math.log(max(1, r["above"]) / r["total"]) if r["total"] else 0.0
+
+
 def _platt(x: np.ndarray, y1: np.ndarray, y0: np.ndarray) -> tuple[float, float]:
     """Logistic slope and intercept for evidence x seen with y1 toxic and y0 clean rows."""
     a, b, n = 0.0, math.log((y1.sum() + 1) / (y0.sum() + 1)), y1 + y0
@@ -172,7 +197,7 @@ def fit(labelled: DataFrame, params: Params = Params()) -> Model:
     n = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     n_t, n_c = int(n["t"] or 0), int(n["n"] - (n["t"] or 0))
     if not n_t or not n_c:
-        return Model({}, params.drift, 1.0, 0.0, 0.0, -30.0 if not n_t else 30.0)
+        return Model({}, params.drift, 1.0, 0.0, 0.0, -math.inf)
     a0, prior = params.prior, F.lit(params.prior) * (F.col("t") + F.col("c")) / (n_t + n_c)
     odds = F.log((F.col("t") + prior) / (n_t + a0 - F.col("t") - prior + 1)) - F.log((F.col("c") + prior) / (n_c + a0 - F.col("c") - prior + 1))
     z = odds / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
@@ -190,7 +215,8 @@ def fit(labelled: DataFrame, params: Params = Params()) -> Model:
     length = max(rows.where("toxic = 0").agg(F.avg(F.size(F.split("text", "\\s+")))).first()[0] or 1.0, per_doc + 1)
     scores = np.array([r["odds"] - params.drift for r in kept] + [-params.drift])
     weights = np.array([r["c"] / n_c / length for r in kept] + [1 - per_doc / length])
-    model = Model(terms, params.drift, _lambda(scores, weights), math.log(0.1), 0.0, 0.0)
+    model = Model(terms, params.drift, _lambda(scores, weights), 0.0, 0.0, 0.0)
+    model = replace(model, log_k=_log_k(rows.where("toxic = 0"), model, params.tail))
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,7 +227,14 @@ def fit(labelled: DataFrame, params: Params = Params()) -> Model:
     fitted = rows.mapInPandas(bins, "x int, t long, n long").groupBy("x").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect()
     x, t, m = (np.array([r[k] for r in fitted], float) for k in ("x", "t", "n"))
     slope, intercept = _platt(x / 4, t, m - t)
-    return Model(terms, params.drift, model.lam, model.log_k, slope, intercept)
+    return replace(model, slope=slope, intercept=intercept)
+
+
+def probability(evidence: np.ndarray, m: Model) -> np.ndarray:
+    """The calibrated score of summed normalised scores."""
+    if m.intercept == -math.inf:
+        return np.zeros(len(evidence))
+    return 1 / (1 + np.exp(-np.clip(m.slope * np.sqrt(evidence) + m.intercept, -30, 30)))
 
 
 def score(docs: DataFrame, model: Model, params: Params = Params()) -> DataFrame:
@@ -215,8 +248,7 @@ def score(docs: DataFrame, model: Model, params: Params = Params()) -> DataFrame
     def scored(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
         out = [evidence(t, m) for t in texts]
-        x = np.sqrt(np.array([e for e, _ in out], float))
-        p = 1 / (1 + np.exp(-np.clip(m.slope * x + m.intercept, -30, 30)))
+        p = probability(np.array([e for e, _ in out], float), m)
         return pd.DataFrame({"score": p, "passages": [[{"start": a, "end": b, "score": s} for a, b, s in f] for _, f in out]})
 
     out, laid_out = carry(docs, ("score", "predicted", "passages"), scored("text").alias("s"))

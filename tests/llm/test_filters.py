@@ -76,6 +76,51 @@ def test_toxicity_without_labels(spark, documents):
     assert [r["predicted"] for r in toxicity.score(documents([(1, "a"), (2, None)]), none).collect()] == [0, 0]
 
 
+@pytest.mark.parametrize("label", [0, 1])
+def test_toxicity_with_one_class(spark, documents, label):
+    one = toxicity.fit(spark.createDataFrame([(f"the river {i}", label) for i in range(30)], "text string, toxic int"))
+    assert [(r["predicted"], r["score"]) for r in toxicity.score(documents([(1, "the river"), (2, None)]), one).collect()] == [(0, 0.0)] * 2
+
+
+def test_toxicity_score_by_brute_force(spark, toxic_model, documents):
+    """The score anew from the model's figures: all segments by definition, their law, the calibration."""
+    m = toxic_model(spark)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["scum", "idiot", "the", "river", "house", "walk", "on"]) for _ in range(rng.randrange(60))) for _ in range(120)]
+
+    def maximal(steps, a, b):
+        best = max(((sum(steps[i:j]), -(j - i), -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+        return [] if best[0] <= 0 else [*maximal(steps, a, best[3]), best[0], *maximal(steps, best[4], b)]
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(documents(list(enumerate(texts))), m).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        normal = [m.lam * s - m.log_k - math.log(len(w)) for s in maximal([m.terms.get(x, 0.0) - m.drift for x in w], 0, len(w))]
+        x = m.slope * math.sqrt(sum(max(0.0, s) for s in normal)) + m.intercept
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))) < 1e-9
+
+
+def test_tally_that_ends_full(monkeypatch):
+    """The last row of a partition fills the tally: no empty frame follows."""
+    import pandas as pd
+
+    monkeypatch.setattr(toxicity, "FLUSH", 3)
+    frames = list(toxicity._count(iter([pd.DataFrame({"text": ["a b c d"], "toxic": [0]})])))
+    assert [len(f) for f in frames] == [5]
+
+
+def test_k_is_the_likeliest(spark):
+    terms = {"bad": 2.0, "worse": 4.0}
+    rng = random.Random(2)
+    rows = [(" ".join(rng.choice(["bad", "worse", *["x"] * 30]) for _ in range(rng.randrange(1, 80))), 0) for _ in range(200)]
+    m = toxicity.Model(terms, 0.35, 0.8, 0.0, 0.0, 0.0)
+    k = math.exp(toxicity._log_k(spark.createDataFrame(rows, "text string, toxic int"), m, 0.2))
+    best = [toxicity.best_passage(t, m) for t, _ in rows]
+    start = float(np.quantile([s for _, s in best], 0.8))
+    likelihood = lambda k: sum((math.log(k * n * m.lam) - m.lam * s if s > start else 0) - k * n * math.exp(-m.lam * max(s, start)) for n, s in best)
+    assert likelihood(k) > max(likelihood(k * 1.01), likelihood(k / 1.01))
+
+
 def test_toxicity_on_held_out_rows(spark):
     got = queries.op3_toxicity(spark, DATA.replace("0.001", "0.01"))
     rows = got.join(table(spark, DATA.replace("0.001", "0.01"), "labels"), "doc_id").where("held_out").select("score", "toxic").collect()
