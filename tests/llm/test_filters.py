@@ -200,6 +200,70 @@ def test_language(spark, documents, odd):
     assert [r["lang_pred"] for r in langid.predict(asked, none).collect()] == ["und"] * 7
 
 
+def backoff(text, counts, p):
+    """The scoring rule from plain counts (lang, key, c): words, then ever shorter n-grams."""
+    langs = sorted({x for x, _, _ in counts})
+    table = {}
+    for x, k, c in counts:
+        table.setdefault(k, {})[x] = c
+    kind = lambda k: len(k) - 1 if k[0] == " " else 0
+    sizes = Counter(kind(k) for k in table)
+    sums = Counter()
+    for x, k, c in counts:
+        sums[kind(k), x] += c
+    log = lambda k, x: math.log((table[k].get(x, 0) + 0.5) / (sums[kind(k), x] + 0.5 * sizes[kind(k)]))
+    words, total = re.findall(r"[^\W\d_]+", text.lower()), dict.fromkeys(langs, 0.0)
+    for w in words:
+        keys = [w] if w in table else next((g for n in range(p.max_n, 0, -1) if (g := [k for i in range(len(w) + 3 - n) if (k := " " + f"<{w}>"[i : i + n]) in table])), [])
+        for x in langs:
+            total[x] += sum(log(k, x) for k in keys) / len(keys) if keys else 0.0
+    if not words:
+        return "und", 0.0
+    best = max(total.values())
+    soft = {x: math.exp((v - best) / len(words) * min(len(words), p.temper)) for x, v in total.items()}
+    lang = min(x for x in langs if total[x] > best - 1e-9)
+    return lang, soft[lang] / sum(soft.values())
+
+
+@pytest.mark.parametrize("cells", [10, 2_000_000])
+def test_language_by_brute_force(monkeypatch, cells):
+    import pandas as pd
+
+    rng = random.Random(4)
+    p = langid.Params(max_n=3)
+    counts = []
+    for lang in "ab cd ef".split():
+        keys = {"".join(rng.choice("abcdefz") for _ in range(rng.randrange(1, 5))) for _ in range(40)}
+        keys |= {" " + "".join(rng.choice("<abcdef>") for _ in range(n)) for n in (1, 2, 3) for _ in range(25)}
+        counts += [(lang, k, rng.randrange(1, 30)) for k in sorted(keys)]
+    m = langid.model(pd.DataFrame(counts, columns=["lang", "key", "c"]), p)
+    texts = [" ".join("".join(rng.choice("abcdefgxyzé") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(40))) for _ in range(150)]
+    monkeypatch.setattr(langid, "CELLS", cells)
+    monkeypatch.setattr(langid, "PAIRS", 50)
+    for t, (lang, score) in zip(texts, langid.scored(iter(texts), m), strict=True):
+        want = backoff(t, counts, p)
+        assert lang == want[0] and abs(score - want[1]) < 1e-6, t
+
+
+def test_language_ties_go_to_the_first():
+    import pandas as pd
+
+    m = langid.model(pd.DataFrame([(x, k, 5) for x in ("nl", "af", "de") for k in ("huis", "water", " <h", " hu")], columns=["lang", "key", "c"]))
+    assert [x for x, _ in langid.scored(iter(["huis water", "hut", "zzz qqq"]), m)] == ["af"] * 3
+    assert abs(langid.scored(iter(["huis"]), m)[0][1] - 1 / 3) < 1e-12
+
+
+def test_language_model_is_sparse():
+    """300 languages with all the words and n-grams that a language may have."""
+    import pandas as pd
+
+    words = [f"w{i}" for i in range(2_000)]
+    rows = pd.DataFrame({"lang": np.repeat([f"l{i:03}" for i in range(300)], 2_000), "key": [f"{w}.{i}" if k % 4 else w for i in range(300) for k, w in enumerate(words)], "c": 3})
+    m = langid.model(rows)
+    assert len(m.languages) == 300 and m.size() * 20 < 1 << 30  # 40,000 keys a language: 20 times as many
+    assert langid.scored(iter([None, "w1"]), m)[1][0] == "l000"
+
+
 def test_language_on_held_out_rows(spark):
     got = queries.op7_langid(spark, DATA).where("held_out").join(table(spark, DATA, "documents").select("doc_id", "lang"), "doc_id").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.95
