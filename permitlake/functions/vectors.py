@@ -1,9 +1,10 @@
-"""Hashed bag-of-words vectors: dense ones for retrieval, sparse ones in plain SQL terms."""
+"""Hashed bag-of-words vectors: normalised ones for retrieval, plain counts for the stored index."""
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
 from functools import reduce
 
 import numpy as np
@@ -11,8 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from permitlake.functions.text import query_terms, token_rows, tokens
-from permitlake.schemas import DIMENSIONS
+from permitlake.functions.text import query_terms, tokens
+from permitlake.schemas import DIMENSIONS, STOP_WORDS, TOKEN
 
 
 def bucket(token: str) -> int:
@@ -55,20 +56,49 @@ def cosine(vector: Column, query: dict[int, float]) -> Column:
     return reduce(lambda a, b: a + b, (F.coalesce(F.get(vector, F.lit(i)).cast("double"), F.lit(0.0)) * v for i, v in query.items()), F.lit(0.0))
 
 
-def sparse(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows (id, bucket, weight): token counts in md5 buckets, stop words left out."""
-    # the first 32 bits of the digest modulo 1024: the last three of their hex digits decide
-    at = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 6, 3), 16, 10).cast("int") % DIMENSIONS
-    return token_rows(docs, id_col).groupBy(id_col, at.alias("bucket")).agg(F.count("*").alias("weight"))
+COUNTS_KEPT = 1_000_000
 
 
-def sparse_cosine(weights: DataFrame, queries: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows (query_id, id, score) for queries (query_id, bucket, weight), where any bucket is shared.
+def counts(text: Column) -> Column:
+    """Token counts in the md5 buckets (the digest's first 32 bits modulo DIMENSIONS), stop words left out.
 
-    Counts are whole numbers, so the sums are exact in any order.
+    The index is made with it once for a corpus: no row leaves its task, and what an
+    exploded count would shuffle stays in one array.
     """
-    size = weights.groupBy(id_col).agg(F.sum(F.col("weight") * F.col("weight")).alias("n"))
-    q_size = queries.groupBy("query_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("qn"))
-    shared = weights.join(queries.select("query_id", "bucket", F.col("weight").alias("qw")), "bucket").groupBy("query_id", id_col).agg(F.sum(F.col("weight") * F.col("qw")).alias("dot"))
-    score = F.col("dot") / (F.sqrt(F.col("n").cast("double")) * F.sqrt(F.col("qn").cast("double")))
-    return shared.join(size, id_col).join(q_size, "query_id").select("query_id", id_col, score.alias("score"))
+
+    @F.pandas_udf("array<int>")
+    def counted(texts: pd.Series) -> pd.Series:
+        known: dict[str, int] = dict.fromkeys(STOP_WORDS, DIMENSIONS)
+
+        def one(text: str | None) -> np.ndarray:
+            found = re.findall(TOKEN, text.lower()) if text else []
+            if len(known) > COUNTS_KEPT:
+                known.clear()
+                known.update(dict.fromkeys(STOP_WORDS, DIMENSIONS))
+            for w in set(found) - known.keys():
+                known[w] = int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % DIMENSIONS
+            return np.bincount([known[w] for w in found], minlength=DIMENSIONS + 1)[:DIMENSIONS].astype(np.int32)
+
+        return texts.map(one)
+
+    return counted(F.coalesce(text, F.lit("")))
+
+
+def square(vec: Column) -> Column:
+    """The sum of the squares of counts."""
+    return F.aggregate(vec, F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)
+
+
+def entries(vec: Column) -> Column:
+    """The buckets in use and their counts, as an array."""
+    return F.filter(F.transform(vec, lambda x, i: F.struct(i.alias("bucket"), x.alias("weight"))), lambda e: e.weight > 0)
+
+
+def dot(vec: Column, asked: Column) -> Column:
+    """The inner product of a document's counts with a query's entries; whole numbers, so exact."""
+    return F.aggregate(asked, F.lit(0).cast("long"), lambda a, e: a + F.get(vec, e.bucket).cast("long") * e.weight)
+
+
+def ratio(inner: Column, n: Column, qn: Column) -> Column:
+    """The cosine from an inner product and two sums of squares."""
+    return inner / (F.sqrt(n.cast("double")) * F.sqrt(qn.cast("double")))

@@ -15,6 +15,7 @@ from permitlake.operators.candidates import Restricted, Unrestricted, matches, r
 from permitlake.schemas import MAX_PAGES, MIN_SIMILARITY, PAGE_SIZE, SMALL_CELL, STOP_WORDS, STRATUM_FIELDS, Purpose
 from permitlake.sources import tables
 from permitlake.sources.corpus import upsert
+from permitlake.sources.index import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,17 +72,23 @@ def _consented(spark: SparkSession, d: str) -> DataFrame:
     return decide.consented(tables.ledger(spark, d), CARE, tables.instant())
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id and score of the documents that share a bucket with the seed document."""
-    weights = vectors.sparse(tables.owned(spark, d))
-    seed = weights.where(F.col("doc_id") == SEED_DOC).select(F.col("doc_id").alias("query_id"), "bucket", "weight")
-    return vectors.sparse_cosine(weights, seed).select("doc_id", "score")
+def _scored(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows of the index (doc_id, subject, vec, norm) with their cosine to the seed document (0 without it)."""
+    asked = index.where(F.col("doc_id") == SEED_DOC).agg(F.first(vectors.entries(F.col("vec"))).alias("asked"), F.first("norm").alias("q_norm"))  # one row
+    score = vectors.ratio(vectors.dot(F.col("vec"), F.col("asked")), F.col("norm"), F.col("q_norm"))
+    return rows.join(asked, F.lit(True)).select("doc_id", "subject", F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
 def _matched(spark: SparkSession, d: str) -> DataFrame:
-    docs = tables.documents(spark, d).join(_scored(spark, d), "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    met = text.keyword_match(F.col("text"), TERMS) | (F.col("score") > MIN_SIMILARITY)
-    return matches(docs, Restricted(_consented(spark, d)), met)
+    """Permitted documents with a term in their text or a similar vector.
+
+    Permissions come first: only permitted documents are scored. The terms are
+    tested where the texts are read, and texts go no further.
+    """
+    index = stored(spark, d)
+    scored = _scored(restrict(index, Restricted(_consented(spark, d))), index)
+    named = tables.owned(spark, d).where(text.keyword_match(F.col("text"), TERMS)).select("doc_id", F.lit(True).alias("named"))
+    return scored.join(named, "doc_id", "left").where(F.col("named") | (F.col("score") > MIN_SIMILARITY)).select("doc_id", "subject", "score")
 
 
 @query("q01_subjects", BASE + " SELECT DISTINCT subject FROM docs")
@@ -186,7 +193,8 @@ def q11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q12_sparse_cosine", BASE + WORDS + WEIGHTS + SCORES + f" SELECT doc_id, round(score, 6) AS score, score > {MIN_SIMILARITY} AS similar_ FROM scores")
 def q12(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select("doc_id", F.round("score", 6).alias("score"), (F.col("score") > MIN_SIMILARITY).alias("similar_"))
+    scored = _scored(index := stored(spark, d), index).where("score > 0")
+    return scored.select("doc_id", F.round("score", 6).alias("score"), (F.col("score") > MIN_SIMILARITY).alias("similar_"))
 
 
 @query("q13_hybrid", BASE + WORDS + WEIGHTS + SCORES + MATCHED + " SELECT doc_id, subject, round(score, 6) AS score FROM matched")
@@ -237,11 +245,11 @@ def q17(spark: SparkSession, d: str) -> DataFrame:
     return sizes.join(listed, "stratum", "left")
 
 
-@query("q18_masking", BASE + " SELECT doc_id, md5('[NAME]' || substr(text, 6, 5) || '[PHONE]' || substr(text, 14)) AS masked FROM docs WHERE length(text) >= 13")
+@query("q18_masking", BASE + f" SELECT doc_id, md5(regexp_replace(text, '{detect.EMAIL}', '[EMAIL]', 'g')) AS masked FROM docs")
 def q18(spark: SparkSession, d: str) -> DataFrame:
-    span = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), F.lit(a).alias("start"), F.lit(b).alias("end"))
-    spans = F.array(span("name", 0, 5), span("phone", 10, 13))
-    return tables.owned(spark, d).where(F.length("text") >= 13).select("doc_id", F.md5(text.mask(F.col("text"), spans).cast("binary")).alias("masked"))
+    """Every text with its mail addresses masked by their spans."""
+    masked = text.mask(F.col("text"), detect.email_spans(F.col("text")))
+    return tables.owned(spark, d).select("doc_id", F.md5(masked.cast("binary")).alias("masked"))
 
 
 @query(
@@ -251,6 +259,7 @@ def q18(spark: SparkSession, d: str) -> DataFrame:
 def q19(spark: SparkSession, d: str) -> DataFrame:
     best = _matched(spark, d).withColumn("score", F.round("score", 12)).orderBy(F.desc("score"), "doc_id").limit(PAGE_SIZE)
     numbered = best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")))  # PAGE_SIZE rows
+    numbered = tables.owned(spark, d).select("doc_id", "text").join(F.broadcast(numbered), "doc_id")  # texts of the page alone
     return retrieval.context(numbered).select(F.md5(F.col("context").cast("binary")).alias("context"))
 
 
@@ -304,15 +313,17 @@ def q22(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "q23_narrative_text",
     BASE
-    + """, t AS (SELECT doc_id, 'Record type: ' || doc_type || chr(10) || text AS t, text FROM docs)
+    + f""", t AS (SELECT doc_id, 'Record type: ' || doc_type || chr(10) || text AS t, text FROM docs)
   SELECT doc_id, md5(regexp_replace(substr(t, strpos(t, chr(10)) + 1), '^\\s+|\\s+$', '', 'g')) AS body,
-    substr(trim(regexp_replace(CASE WHEN substr(text, 1, 3) = '' THEN substr(text, 1, 200) ELSE replace(substr(text, 1, 200), substr(text, 1, 3), ' ') END, '\\s+', ' ', 'g')), 1, 120) AS story FROM t""",
+    substr(trim(regexp_replace(regexp_replace(text, '{detect.EMAIL}', ' ', 'g'), '\\s+', ' ', 'g')), 1, 120) AS story FROM t""",
 )
 def q23(spark: SparkSession, d: str) -> DataFrame:
+    """The body of each record, and the story query of its whole text without the mail addresses in it."""
     docs = tables.owned(spark, d)
     headed = F.concat(F.lit("Record type: "), "doc_type", F.lit("\n"), "text")
-    surfaces = F.filter(F.array(F.substring("text", 1, 3)), lambda s: s != "")
-    story = text.story_query(F.col("text"), F.lit(0), F.lit(200), surfaces)
+    surfaces = F.transform(detect.email_spans(F.col("text")), lambda s: F.substring("text", s.start + 1, s.end - s.start))
+    longest = F.array_sort(surfaces, lambda a, b: F.length(b) - F.length(a))
+    story = text.story_query(F.col("text"), F.lit(0), F.length("text"), longest)
     return docs.select("doc_id", F.md5(text.narrative(headed).cast("binary")).alias("body"), story.alias("story"))
 
 
@@ -331,9 +342,13 @@ members AS (SELECT DISTINCT 'cond=' || condition || '|region=' || region AS stra
 cells AS (SELECT stratum, count(*) AS size, count(*) FILTER (hidden) AS hidden FROM members GROUP BY stratum HAVING count(*) <= 3),
 cell_leaks AS (SELECT stratum, size, 'masking' AS configuration, size AS observed, hidden AS leaked FROM cells UNION ALL SELECT stratum, size, 'exclusion', size - hidden, 0 FROM cells)"""
 ORACLE = """,
-single AS (SELECT token, any_value(subject) AS subject FROM (SELECT DISTINCT doc_id, subject, token FROM words) GROUP BY token HAVING count(*) = 1),
-pairs AS (SELECT count(*) AS pairs FROM single WHERE subject NOT IN (SELECT subject FROM consented)),
-oracle_leaks AS (SELECT 'masking' AS configuration, pairs, CASE WHEN sha256('count=1') <> sha256('count=0') THEN pairs ELSE 0 END AS leaks FROM pairs WHERE pairs > 0 UNION ALL SELECT 'exclusion', pairs, 0 FROM pairs WHERE pairs > 0)"""
+vocab AS (SELECT token, count(*) AS n, min(doc_id) AS first, min(subject) AS subject, count(*) FILTER (subject IN (SELECT subject FROM consented)) AS n_allowed,
+    min(doc_id) FILTER (subject IN (SELECT subject FROM consented)) AS first_allowed FROM (SELECT DISTINCT doc_id, subject, token FROM words) GROUP BY token),
+pairs AS (SELECT token AS present, 'zz-' || md5(token) AS absent FROM vocab WHERE n = 1 AND subject NOT IN (SELECT subject FROM consented) AND 'zz-' || md5(token) NOT IN (SELECT token FROM vocab)),
+asked AS (SELECT present, present AS token FROM pairs UNION ALL SELECT present, absent FROM pairs),
+told AS (SELECT present, 'masking' AS configuration, coalesce(n, 0) AS n, first FROM asked LEFT JOIN vocab USING (token) UNION ALL SELECT present, 'exclusion', coalesce(n_allowed, 0), first_allowed FROM asked LEFT JOIN vocab USING (token)),
+oracle_leaks AS (SELECT configuration, count(*) AS pairs, count(*) FILTER (fingerprints > 1) AS leaks FROM
+  (SELECT present, configuration, count(DISTINCT sha256('count=' || n || '|first=' || coalesce(CAST(first AS VARCHAR), ''))) AS fingerprints FROM told GROUP BY ALL) GROUP BY configuration)"""
 
 
 def _probes(spark: SparkSession, d: str) -> DataFrame:
@@ -342,7 +357,7 @@ def _probes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q24_narrative_leaks", BASE + WORDS + WEIGHTS + PROBE + " SELECT * FROM narrative")
 def q24(spark: SparkSession, d: str) -> DataFrame:
-    return probes.narrative_leaks(tables.owned(spark, d), _probes(spark, d), _consented(spark, d))
+    return probes.narrative_leaks(stored(spark, d), _probes(spark, d), _consented(spark, d))
 
 
 @query("q25_small_cell_leaks", BASE + CELLS + " SELECT stratum, size, configuration, observed, leaked FROM cell_leaks")
@@ -358,20 +373,20 @@ def q26(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "q27_drill",
     BASE
-    + """, firsts AS (SELECT subject, min(doc_id) AS doc_id, count(*) AS documents FROM allowed_docs GROUP BY subject),
+    + """, firsts AS (SELECT subject, min(doc_id) AS doc_id, count(*) AS documents FROM docs GROUP BY subject),
   q AS (SELECT f.subject, f.documents, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: regexp_full_match(w, '\\p{L}+')) AS w FROM firsts f JOIN docs USING (doc_id))
-  SELECT subject, documents, CASE WHEN len(w) > 0 THEN array_to_string(w[1:4], ' ') ELSE 'review' END AS query_, true AS visible_before, false AS visible_after FROM q""",
+  SELECT subject, documents, CASE WHEN len(w) > 0 THEN array_to_string(w[1:4], ' ') ELSE 'review' END AS query_, subject IN (SELECT subject FROM consented) AS visible_before, false AS visible_after FROM q""",
 )
 def q27(spark: SparkSession, d: str) -> DataFrame:
-    """For every permitted subject with documents: its drill query, and whether its documents
-    are candidates before and after the revocation of all of them."""
+    """For every subject with documents: its drill query, and whether its documents are
+    candidates before and after the revocation of all subjects."""
     docs, ledger, when = tables.owned(spark, d), tables.ledger(spark, d), tables.instant()
-    before = restrict(docs, Restricted(_consented(spark, d)))
-    first = before.groupBy("subject").agg(F.min_by("text", "doc_id").alias("text"), F.count("*").alias("documents"))
+    first = docs.groupBy("subject").agg(F.min_by("text", "doc_id").alias("text"), F.count("*").alias("documents"))
     revoked = decide.latest(ledger).withColumn("revoked_at", F.least("revoked_at", when)).withColumn("version", F.col("version") + 1)
-    after = decide.consented(ledger.unionByName(revoked), CARE, when).withColumn("visible_after", F.lit(True))
-    drilled = first.select("subject", "documents", text.drill_query(F.col("text")).alias("query_"), (F.col("documents") > 0).alias("visible_before"))
-    return drilled.join(after, "subject", "left").withColumn("visible_after", F.coalesce("visible_after", F.lit(False)))
+    seen = lambda rows, name: decide.consented(rows, CARE, when).withColumn(name, F.lit(True))
+    drilled = first.select("subject", "documents", text.drill_query(F.col("text")).alias("query_"))
+    both = drilled.join(seen(ledger, "visible_before"), "subject", "left").join(seen(ledger.unionByName(revoked), "visible_after"), "subject", "left")
+    return both.na.fill(False, ["visible_before", "visible_after"])
 
 
 @query(
@@ -413,7 +428,7 @@ def q30(spark: SparkSession, d: str) -> DataFrame:
 
 def _pattern_sql() -> str:
     quoted = lambda s: s.replace("'", "''")
-    one = [f"SELECT '{n}' AS pattern, '{s}' AS severity, '{a}' AS action, count(*) FILTER (regexp_matches(text, '{quoted(r)}')) AS documents FROM docs" for n, r, s, a in detect.PATTERNS]
+    one = [f"SELECT '{k}' AS pack, '{n}' AS pattern, '{s}' AS severity, '{a}' AS action, count(*) FILTER (regexp_matches(text, '{quoted(r)}')) AS documents FROM docs" for k, n, r, s, a in detect.PATTERNS]
     return BASE + " " + " UNION ALL ".join(one)
 
 

@@ -53,7 +53,7 @@ def run(spark: SparkSession, path: str, purpose: Purpose = Purpose.DIRECT_CARE,
     manifest = head | {"narrative_traps": trap_queries(corpus)}
     people = corpus.subjects.select(F.col("patient_id").alias("subject"))
     allowed = written(ledger.consented(purpose, when), "exhibit-consented")  # as it is before the drill
-    hidden = {r["subject"] for r in decide.hidden(people, allowed).collect()}
+    hidden = written(decide.hidden(people, allowed), "exhibit-hidden")
     exclusion, masking = ExclusionGate(ledger, docs, strategy=strategy), MaskingGate(ledger, docs)
     of_masking = probes.run_all(masking, manifest, purpose, when, hidden, PAGE_QUERIES)
     of_exclusion = probes.run_all(exclusion, manifest, purpose, when, hidden, PAGE_QUERIES)
@@ -62,7 +62,7 @@ def run(spark: SparkSession, path: str, purpose: Purpose = Purpose.DIRECT_CARE,
     own = docs.where(F.col("subject") == subject).orderBy("doc_id")
     story = own.select(text.drill_query(F.col("text")).alias("q"), text.stratum(F.col("condition"), F.col("region")).alias("s")).first()
     drilled = drill.run_drill(CachedGate(ExclusionGate(ledger, docs, strategy=strategy)), ledger, subject, story["q"] if story else "review", purpose, when, story["s"] if story else "")
-    counts = {"subjects": people.count(), "documents": docs.count(), "consented_subjects": allowed.count(), "hidden_subjects": len(hidden)}
+    counts = {"subjects": people.count(), "documents": docs.count(), "consented_subjects": allowed.count(), "hidden_subjects": hidden.count()}
     return Exhibit(of_masking, of_exclusion, drilled.as_dict(), *plans, purpose.value, when.isoformat(), strategy, counts)
 
 

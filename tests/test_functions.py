@@ -43,6 +43,25 @@ def test_dense_vectors(spark):
     assert vectors.query_vector("the of") == {} and value(spark, vectors.cosine(F.array(F.lit(1.0)), {})) == 0.0
 
 
+def test_stored_counts(spark):
+    import hashlib
+
+    df = spark.createDataFrame([("a routine review, routine the",), ("",), (None,)], "t string").select(vectors.counts(F.col("t")).alias("v"))
+    at = lambda w: int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % 1024
+    one, two, three = [r[0] for r in df.select(vectors.entries(F.col("v"))).collect()]
+    assert {e["bucket"]: e["weight"] for e in one} == {at("routine"): 2, at("review"): 1} and two == [] == three
+    assert [r[0] for r in df.select(vectors.square(F.col("v"))).collect()] == [5, 0, 0]
+
+
+def test_mail_spans(spark):
+    t = "xa@b.co a@b.co, a@b.co! no@ @no a@b.co.uk"
+    spans = value(spark, detect.email_spans(F.col("t")), t=t)
+    assert [t[s["start"] : s["end"]] for s in spans] == ["xa@b.co", "a@b.co", "a@b.co", "a@b.co.uk"]
+    assert value(spark, text.mask(F.col("t"), detect.email_spans(F.col("t"))), t=t) == "[EMAIL] [EMAIL], [EMAIL]! no@ @no [EMAIL]"
+    for pack, name, regex, *_ in detect.PATTERNS:  # what a match needs is part of the pattern
+        assert all(any(c in regex for c in (x, x.replace("_", ""))) for x in detect.NEEDS.get(name, ())), name
+
+
 def test_pseudonym_is_hmac(spark):
     for key in (b"k", b"x" * 100):
         assert value(spark, identity.pseudonym(F.col("t"), key), t="P001é") == hmac.new(key, "P001é".encode(), "sha256").hexdigest()[:32]
@@ -62,4 +81,4 @@ def test_patterns(spark):
     df = spark.createDataFrame([("ssn 123-45-6789, mail a.b@c.org",), (None,), ("api_key = 'abcdefghij0123456789'",)], "text string")
     hits = {r["pattern"]: r["documents"] for r in detect.hits(df).collect()}
     assert hits["ssn"] == 1 and hits["email-bulk"] == 1 and hits["api-keys"] == 1 and hits["credit-card"] == 0
-    assert detect.sensitive_columns(spark.createDataFrame([(1, 2)], ["dob", "x"])) == {"dob": "dob"}
+    assert detect.sensitive_columns(spark.createDataFrame([(1, 2)], ["dob", "x"])) == {"dob": ("healthcare", "dob", "high", "warn")}

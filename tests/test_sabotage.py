@@ -58,7 +58,7 @@ def test_an_unstamped_cache_serves_stale(spark, world, tmp_path, monkeypatch):
     ledger = Ledger(spark, str(tmp_path / "stale"))
     ledger.record("PA", [CARE], NOW - DAY)
     cached = CachedGate(ExclusionGate(ledger, world[1]))
-    monkeypatch.setattr(StampedCache, "get", lambda self, key, stamp: self.entries.get(key, (None, None))[1])
+    monkeypatch.setattr(StampedCache, "get", lambda self, key, stamp: self.kept.get((key, self.current.get(key))))
     assert cached.search("ZZ-PA", purpose=CARE, at=NOW).count == 1
     ledger.revoke("PA", NOW)
     assert cached.search("ZZ-PA", purpose=CARE, at=NOW).count == 1  # the sabotage, seen
@@ -105,3 +105,24 @@ def test_partitioned_reads_only_wanted_buckets(spark, tmp_path):
     few = spark.range(3).selectExpr("id subject")
     found = C.matches(by_subject, C.Restricted(few), F.lit(True), "partitioned")
     assert found.count() == 3 and "PartitionFilters: [subject_bucket" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_registered_searches_score_permitted_documents_alone(spark, monkeypatch):
+    """The inner product is computed once for each permitted document, and for no other."""
+    from permitlake.functions import vectors
+    from permitlake.plans import catalogue
+    from permitlake.sources.index import stored
+    from worlds import DATA
+
+    index = stored(spark, DATA)
+    permitted = C.restrict(index, C.Restricted(catalogue._consented(spark, DATA))).count()
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(vec, asked):
+        calls.add(1)
+        return sum(vec[e["bucket"]] * e["weight"] for e in asked)
+
+    monkeypatch.setattr(vectors, "dot", counted)
+    n = catalogue.q13(spark, DATA).count()
+    assert 0 < n <= calls.value == permitted < index.count()
