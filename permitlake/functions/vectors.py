@@ -100,5 +100,5 @@ def dot(vec: Column, asked: Column) -> Column:
 
 
 def ratio(inner: Column, n: Column, qn: Column) -> Column:
-    """The cosine from an inner product and two sums of squares."""
-    return inner / (F.sqrt(n.cast("double")) * F.sqrt(qn.cast("double")))
+    """The cosine from an inner product and two sums of squares; null where one of these is 0."""
+    return F.try_divide(inner, F.sqrt(n.cast("double")) * F.sqrt(qn.cast("double")))

@@ -3,7 +3,9 @@
 An append writes one batch of rows and one manifest row: the batch's number,
 row count and content digest, chained to the digest before it. ``verify``
 computes all digests anew; a batch changed, removed or inserted behind the
-ledger's back breaks the chain. Nothing offers update or delete. (Whoever can
+ledger's back breaks the chain. A batch number is claimed by creating its path
+before its rows are written, so of two writers that have read the same state one
+is refused and can append again. Nothing offers update or delete. (Whoever can
 write to the folder can forge a whole chain; only an outside copy of the last
 digest shows that.)
 """
@@ -14,6 +16,7 @@ import hashlib
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,6 +89,15 @@ class Ledger:
         self._guard()
         rows.write.mode("append").parquet(f"{self.path}/{name}")
 
+    def _claim(self, number: int) -> None:
+        """Takes a batch number; refuses one that another writer has taken since this ledger was read."""
+        one = self.spark.createDataFrame([(number,)], "batch long")
+        try:
+            one.coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/claims/{number}")
+        except AnalysisException as error:
+            self._next = None  # read anew by the next append
+            raise LedgerUnavailable(f"another writer has taken batch {number}; append again") from error
+
     def append(self, rows: DataFrame) -> int:
         """Appends valid rows as one batch; one fault in them refuses the batch."""
         self._guard()
@@ -98,6 +110,7 @@ class Ledger:
             last = self.manifest().orderBy(F.desc("batch")).limit(1).collect()
             self._next, self._digest = (last[0]["batch"] + 1, last[0]["digest"]) if last else (0, "")
         batch = rows.withColumn("batch", F.lit(self._next).cast("long"))
+        self._claim(self._next)
         self._append("rows", batch)
         seal = self.rows().where(F.col("batch") == self._next)
         content = seal.agg(_content(seal)).first()[0]

@@ -65,6 +65,16 @@ def test_reopened_ledger_goes_on(spark, ledger):
     assert [r["batch"] for r in again.manifest().orderBy("batch").collect()] == [0, 1]
 
 
+def test_two_writers(spark, ledger):
+    one, two = Ledger(spark, ledger.path), Ledger(spark, ledger.path)
+    one.record("b", [CARE], NOW - DAY)
+    two.record("c", [CARE], NOW - DAY)  # reads the state at its first append
+    with pytest.raises(LedgerUnavailable):
+        one.record("d", [CARE], NOW - DAY)
+    one.record("d", [CARE], NOW - DAY)
+    assert one.verify() and who(one) == {"a", "b", "c", "d"}
+
+
 def test_closed_ledger_refuses(ledger):
     with ledger:
         pass
