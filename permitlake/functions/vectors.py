@@ -75,7 +75,7 @@ def counts(text: Column) -> Column:
             if len(known) > COUNTS_KEPT:
                 known.clear()
                 known.update(dict.fromkeys(STOP_WORDS, DIMENSIONS))
-            for w in set(found) - known.keys():
+            for w in (w for w in set(found) if w not in known):
                 known[w] = int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % DIMENSIONS
             return np.bincount([known[w] for w in found], minlength=DIMENSIONS + 1)[:DIMENSIONS].astype(np.int32)
 

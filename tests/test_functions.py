@@ -53,6 +53,33 @@ def test_stored_counts(spark):
     assert [r[0] for r in df.select(vectors.square(F.col("v"))).collect()] == [5, 0, 0]
 
 
+def test_narrative_hits_by_brute_force(spark):
+    import random
+
+    from permitlake.operators import probes
+
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(n))
+    docs = [(i, i % 7, say(rng.randrange(0, 5))) for i in range(300)]
+    index = spark.createDataFrame(docs, "doc_id long, subject long, text string").select("doc_id", "subject", vectors.counts(F.col("text")).alias("vec")).withColumn("norm", vectors.square(F.col("vec")))
+    asked = [(i, say(3)) for i in range(9)] + [(99, "")]
+    allowed = spark.createDataFrame([(1,), (4,)], "subject long")
+    want = set()
+    for probe, text_ in asked:
+        q = {w: text_.split().count(w) for w in text_.split()}
+        scores = []
+        for i, s, t in docs:
+            d = {w: t.split().count(w) for w in t.split()}
+            inner = sum(c * d.get(w, 0) for w, c in q.items())
+            if inner:
+                scores.append((-round(inner / (sum(c * c for c in q.values()) * sum(c * c for c in d.values())) ** 0.5, 6), i, s))
+        for name, own in (("masking", scores), ("exclusion", [x for x in scores if x[2] in (1, 4)])):
+            want |= {(name, probe, r, i, s not in (1, 4)) for r, (_, i, s) in enumerate(sorted(own)[:4], 1)}
+    for block, rows in ((100, 2048), (3, 7)):
+        got = probes.narrative_hits(index.repartition(3), spark.createDataFrame(asked, "probe_id long, text string"), allowed, 4, block, rows).collect()
+        assert {(r["configuration"], r["probe_id"], r["rank"], r["doc_id"], r["hidden"]) for r in got} == want
+
+
 def test_mail_spans(spark):
     t = "xa@b.co a@b.co, a@b.co! no@ @no a@b.co.uk"
     spans = value(spark, detect.email_spans(F.col("t")), t=t)
