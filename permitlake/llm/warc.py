@@ -7,13 +7,15 @@ Spark's text writer commits the files; its line separator is an empty gzip
 member, which readers of concatenated members skip.
 
 Index: captures sorted by reversed-host URL key (and page) are cut into
-compressed blocks of ``block_lines`` lines; the first key of every block is the
-sparse directory. Blocks lie in shards, ranges of keys in their order.
+blocks of ``block_lines`` lines, each a gzip member of an index file. A file is
+a shard, a range of keys; its blocks' first keys and byte ranges make the sparse
+directory.
 
 Lookup: a binary search over the shards' first keys (``max_shards`` at most)
-sends each key to its shard; there a binary search in the directory finds the
-block, one within the block the capture. Captures are then read by byte range,
-file by file.
+sends each key to its shard, one in the shard's part of the directory finds its
+block; shards that many keys ask for are dealt on by key. Only then the blocks
+named are read by their byte ranges, each once, with a binary search for each of
+its keys. Captures are then read by byte range, file by file.
 
 Edge cases: a null html is an empty payload; a null or blank URL has the key
 ``-``; white space and control characters in URLs are percent-encoded; rows
@@ -42,6 +44,7 @@ from permitlake.llm.common import materialize, scratch_dir
 EMPTY = bytes.fromhex("1f8b080000000000000303000000000000000000")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NONE = -(1 << 63)
+DIRECTORY = "shard int, block int, first_key string, last_key string, lines int, path string, offset long, length long"
 CAPTURE = "key string, path string, offset long, length long, record_type string"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -53,6 +56,7 @@ class Params:
     block_lines: int = 1_000
     shard_lines: int = 50_000
     max_shards: int = 100_000
+    asked_keys: int = 100_000  #: of a shard, above which they are dealt on
 
 
 def clean_url(url: str | None) -> str:
@@ -127,9 +131,13 @@ def write_archives(pages: DataFrame, path: str, p: Params = Params()) -> None:
             yield pd.DataFrame({"value": [record(null(i), u, h, d, null(r), p.date) for i, u, h, d, r in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["digest"], pdf["refers_to"], strict=True)]})
 
     packed = joined.select("page_id", "url", "html", "digest", refers.alias("refers_to")).withColumns({c: F.col(c).cast("decimal(20,0)") for c in ("page_id", "refers_to")})
-    members = packed.mapInPandas(pack, "value binary")
+    write_members(packed.mapInPandas(pack, "value binary"), path)
+
+
+def write_members(values: DataFrame, path: str) -> None:
+    """Writes gzip members (value) one after the other, a file for each partition."""
     # the writer copies the bytes as they are; the encoding is that of the separator
-    members.select(F.col("value").cast("string")).write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    values.select(F.col("value").cast("string")).write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -182,36 +190,53 @@ def captures(listed: DataFrame) -> DataFrame:
 
 
 def build_index(found: DataFrame, p: Params = Params()) -> DataFrame:
-    """Rows (shard, block, first_key, last_key, lines, data): blocks in the order of their keys."""
+    """Writes the index files; their directory, a row for every block in the order of the keys."""
+    spark = found.sparkSession
     found = materialize(found, "warc-captures")
     shards = min(p.max_shards, max(1, -(-found.count() // p.shard_lines)))
     line = F.concat_ws(" ", "key", "path", "offset", "length", "record_type").alias("line")
-    dealt = found.repartitionByRange(shards, "key", "path", "offset").sortWithinPartitions("key", "path", "offset")
+    dealt = found.repartitionByRange(shards, "key", "path", "offset").sortWithinPartitions("key", "path", "offset").select(line)
 
     def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[str, str]] = []
-        n = shard = 0
+        held: list[str] = []
 
-        def block() -> pd.DataFrame:
-            data = zlib.compress("\n".join(x for _, x in held).encode(), 6)
-            return pd.DataFrame([(shard, n, held[0][0], held[-1][0], len(held), data)], columns=["shard", "block", "first_key", "last_key", "lines", "data"])
+        def block(lines: list[str]) -> bytes:
+            pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+            return pack.compress("\n".join(lines).encode()) + pack.flush()
 
         for pdf in batches:
-            for s, k, x in zip(pdf["shard"], pdf["key"], pdf["line"], strict=True):
-                shard = s
-                held.append((k, x))
-                if len(held) == p.block_lines:
-                    yield block()
-                    held, n = [], n + 1
+            held += pdf["line"].tolist()
+            whole = len(held) - len(held) % p.block_lines
+            yield pd.DataFrame({"value": [block(held[a : a + p.block_lines]) for a in range(0, whole, p.block_lines)]})
+            held = held[whole:]
         if held:
-            yield block()
+            yield pd.DataFrame({"value": [block(held)]})
+
+    path = scratch_dir(spark, "warc-index")
+    write_members(dealt.mapInPandas(compress, "value binary"), path)
+    return materialize(directory(files(spark, path)), "warc-directory")
+
+
+def directory(listed: DataFrame) -> DataFrame:
+    """Scans index files (path, size) for the first keys and byte ranges of their blocks."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path in pdf["path"]:
+                rows = []
+                with _open(path) as f:
+                    for n, (offset, length, content) in enumerate(members(f)):
+                        keys = [x.rsplit(" ", 4)[0] for x in content.decode().split("\n")]
+                        rows.append((int(re.search(r"part-(\d+)", path)[1]), n, keys[0], keys[-1], len(keys), path, offset, length))
+                yield pd.DataFrame(rows, columns=["shard", "block", "first_key", "last_key", "lines", "path", "offset", "length"])
 
-    cut = dealt.select(F.spark_partition_id().alias("shard"), "key", line).mapInPandas(compress, "shard int, block int, first_key string, last_key string, lines int, data binary")
-    return materialize(cut, "warc-index")
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(parts, "path").mapInPandas(scan, DIRECTORY)
 
 
-def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
-    """The captures whose key is one of ``keys`` (key); each asked once, all its captures found."""
+def named_blocks(index: DataFrame, keys: DataFrame, p: Params = Params()) -> DataFrame:
+    """Rows (key, path, offset, length): the blocks that may hold each of ``keys`` (key), by the directory alone."""
+    spark = index.sparkSession
     bounds = [(r["first"], r["shard"]) for r in index.groupBy("shard").agg(F.min("first_key").alias("first")).orderBy("first", "shard").collect()]  # max_shards rows
     firsts, numbers = [b for b, _ in bounds], [int(s) for _, s in bounds]
 
@@ -220,24 +245,46 @@ def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
         return key.map(lambda k: numbers[max(0, bisect.bisect_left(firsts, k) - 1) : bisect.bisect_right(firsts, k)])
 
     def find(asked: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        names = ["key", "path", "offset", "length", "record_type"]
-        out: list[tuple] = []
         blocks = blocks.sort_values("block")
-        directory, data = blocks["first_key"].tolist(), blocks["data"].tolist()
-        opened, lines, own = -1, [], []
-        for key in sorted(asked["key"]) if len(directory) else []:
-            b = max(0, bisect.bisect_left(directory, key) - 1)
-            while b < len(directory) and directory[b] <= key:
-                if b != opened:
-                    lines = [x.rsplit(" ", 4) for x in zlib.decompress(data[b]).decode().split("\n")]
-                    opened, own = b, [x[0] for x in lines]
+        first, where = blocks["first_key"].tolist(), list(zip(blocks["path"], blocks["offset"], blocks["length"], strict=True))
+        out: list[tuple] = []
+        for key in asked["key"] if first else []:
+            b = max(0, bisect.bisect_left(first, key) - 1)
+            out += [(key, *where[i]) for i in range(b, bisect.bisect_right(first, key))]
+        return pd.DataFrame(out, columns=["key", "path", "offset", "length"]).astype({"offset": "int64", "length": "int64"})
+
+    asked = materialize(keys.select("key").where("key IS NOT NULL").distinct().withColumn("shard", F.explode(shards_of("key"))), "warc-asked")
+    many = [(r["shard"], -(-r["count"] // p.asked_keys)) for r in asked.groupBy("shard").count().collect()]  # max_shards rows
+    salts = F.broadcast(spark.createDataFrame(many, "shard int, salts int"))
+    left = asked.join(salts, "shard").select("key", "shard", F.pmod(F.xxhash64("key"), "salts").cast("int").alias("salt"))
+    right = index.select("shard", "block", "first_key", "path", "offset", "length").join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInPandas(find, "key string, path string, offset long, length long")
+
+
+def lookup(index: DataFrame, keys: DataFrame, p: Params = Params()) -> DataFrame:
+    """The captures whose key is one of ``keys`` (key; nulls find nothing); each asked once, all its captures found."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened, f, lines, own = (None, -1), None, [], []
+        for pdf in batches:
+            out: list[tuple] = []
+            for key, path, offset, length in zip(pdf["key"], pdf["path"], pdf["offset"], pdf["length"], strict=True):
+                if (path, offset) != opened:
+                    if path != opened[0]:
+                        if f:
+                            f.close()
+                        f = _open(path)
+                    f.seek(offset)
+                    lines = [x.rsplit(" ", 4) for x in zlib.decompress(f.read(length), 31).decode().split("\n")]
+                    opened, own = (path, offset), [x[0] for x in lines]
                 for i in range(bisect.bisect_left(own, key), bisect.bisect_right(own, key)):
                     out.append((key, lines[i][1], int(lines[i][2]), int(lines[i][3]), lines[i][4]))
-                b += 1
-        return pd.DataFrame(out, columns=names).astype({"offset": "int64", "length": "int64"})
+            yield pd.DataFrame(out, columns=["key", "path", "offset", "length", "record_type"]).astype({"offset": "int64", "length": "int64"})
+        if f:
+            f.close()
 
-    asked = keys.select("key").distinct().withColumn("shard", F.explode(shards_of("key")))
-    return asked.groupBy("shard").cogroup(index.select("shard", "block", "first_key", "data").groupBy("shard")).applyInPandas(find, CAPTURE)
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return named_blocks(index, keys, p).repartition(parts, "path", "offset").sortWithinPartitions("path", "offset").mapInPandas(read, CAPTURE)
 
 
 def read_records(found: DataFrame) -> DataFrame:

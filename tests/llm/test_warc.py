@@ -72,3 +72,34 @@ def test_query_is_the_sql(spark, tmp_path):
     rows = c.execute(queries.SQL["op2_warc"])
     columns = [x[0] for x in rows.description]
     assert sorted(map(repr, rows.fetchall())) == sorted(repr(tuple(r[x] for x in columns)) for r in queries.op2_warc(spark, str(tmp_path)).collect())
+
+
+def test_lookup_reads_only_the_blocks_named(spark):
+    rows = [(f"org,h)/{i:05d}", "file:/f", i, 10, "response") for i in range(2000)]
+    index = warc.build_index(spark.createDataFrame(rows, warc.CAPTURE), warc.Params(block_lines=20, shard_lines=500))
+    assert index.count() >= 100
+    for asked, blocks in (("org,h)/01234", 1), ("org,h)/00000", 1), ("zz", 1), ("a", 0)):
+        key = spark.createDataFrame([(asked,), (asked,), (None,)], "key string")
+        assert warc.named_blocks(index, key).count() <= max(blocks, 1)
+        assert [r["offset"] for r in warc.lookup(index, key).collect()] == [r[2] for r in rows if r[0] == asked]
+
+
+def test_shards_that_many_keys_ask_for_are_dealt_on(spark):
+    rows = [(f"org,h)/{i:05d}", "file:/f", i, 10, "response") for i in range(300)]
+    index = warc.build_index(spark.createDataFrame(rows, warc.CAPTURE), warc.Params(block_lines=10))
+    asked = spark.createDataFrame([(f"org,h)/{i:05d}{x}",) for i in range(300) for x in ("", "-none")], "key string")
+    got = warc.lookup(index, asked, warc.Params(asked_keys=50)).collect()
+    assert sorted(tuple(r) for r in got) == rows
+
+
+def test_writer_copies_every_byte(spark, tmp_path):
+    values = [bytes(range(256)), bytes([0xFF, 0xFE, 0xC3, 0x28, 0x0A, 0x0D]), b"\x80" * 9]
+    warc.write_members(spark.createDataFrame([(bytearray(v),) for v in values], "value binary").coalesce(1), str(tmp_path / "m"))
+    assert b"".join(f.read_bytes() for f in sorted((tmp_path / "m").glob("part-*"))) == b"".join(v + warc.EMPTY for v in values)
+
+
+def test_extra_columns_that_clash(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/", "x" * 2000), (2, "http://b.org/", "x" * 2000)], SCHEMA).withColumns({c: F.lit("y") for c in ("digest", "bytes", "kept", "key", "path", "shard", "value", "refers_to")})
+    _, index = warc.archive(pages)
+    got = warc.read_records(warc.lookup(index, warc.page_keys(pages))).select("page_id", "refers_to").collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (2, None)]
