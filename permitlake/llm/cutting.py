@@ -69,8 +69,9 @@ class Params:
     end: int = 2
     rows: int = 512  #: lengths in one linear program
     columns: int = 64  #: columns that one pricing adds at most
-    pivots: int = 4_000  #: of one program; fewer cost quality, not correctness
-    charge: int = 64  #: what a sequence costs beside its tokens, so that long ones are preferred
+    pivots: int = 500  #: of one program; fewer cost quality, not correctness
+    gap: float = 1e-3  #: from the bound, at which a program ends
+    charge: int = 256  #: what a sequence costs beside its tokens, so that long ones are preferred
     words: int = 300_000  #: words whose ids a task remembers
 
 
@@ -195,18 +196,47 @@ def _priced(lengths: np.ndarray, demand: np.ndarray, prices: np.ndarray, p: Para
     return list(out.values())
 
 
+def _start(lengths: np.ndarray, demand: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A basis, its costs and amounts: exact fills by the lengths that aren't used up, the longest first.
+
+    Each fill uses a length up (its column stands at that length's place), and later
+    ones don't hold it, so the basis is triangular.
+    """
+    m = len(lengths)
+    at = {int(n): i for i, n in enumerate(lengths)}
+    basis, cost, amount = np.zeros((m, m)), np.zeros(m), np.zeros(m)
+    left, order = demand.astype(float), [int(n) for n in reversed(lengths)]
+    while order:
+        n = order[0]
+        many = {k: p.capacity // k for k in order}
+        found = next((f for size in reversed(_sizes(p)) if size >= n and (f := _exact(many, order, n, size))), None)
+        use = found or {n: 1}
+        copies, out = min((left[at[k]] / a, at[k]) for k, a in use.items())
+        for k, a in use.items():
+            basis[at[k], out] = a
+            left[at[k]] -= copies * a
+        left[out] = 0.0
+        cost[out], amount[out] = (sum(k * a for k, a in use.items()) if found else p.capacity) + p.charge, copies
+        order = [k for k in order if left[at[k]] > 1e-9]
+    empty = np.flatnonzero(~basis.any(axis=0))  # lengths used up together with another
+    basis[empty, empty] = 1.0
+    cost[empty] = p.capacity + p.charge
+    return basis, cost, amount
+
+
 def solve(lengths: np.ndarray, demand: np.ndarray, p: Params = Params()) -> list[tuple[float, np.ndarray]]:
     """The linear program's solution (copies, items of each length) in columns without padding.
 
-    Revised simplex over generated columns, from a basis of one item each.
+    Revised simplex over generated columns; it ends where no column pays, or at a
+    cost within ``gap`` of the bound that all sequences are full.
     """
     m = len(lengths)
-    single = np.where(lengths & (lengths - 1) == 0, lengths, p.capacity) + float(p.charge)
-    basis, cost, amount, inverse = np.eye(m), single.copy(), demand.astype(float), np.eye(m)
-    least = float((lengths * demand).sum()) * (1 + p.charge / p.capacity)  # all sequences full
+    basis, cost, amount = _start(lengths, demand, p)
+    inverse = np.linalg.inv(basis)
+    least = float((lengths * demand).sum()) * (1 + p.charge / p.capacity)
     pool, pool_cost = np.zeros((m, 0)), np.zeros(0)
     for pivot in range(p.pivots):
-        if cost @ amount <= least * (1 + 1e-6):
+        if cost @ amount <= least * (1 + p.gap):
             break
         prices = cost @ inverse
         reduced = pool_cost - prices @ pool
