@@ -16,6 +16,8 @@ from permitlake.schemas import MAX_PAGES, MIN_SIMILARITY, PAGE_SIZE, SMALL_CELL,
 from permitlake.sources import tables
 from permitlake.sources.corpus import upsert
 from permitlake.sources.index import stored
+from permitlake.sources.ledger import Ledger
+from permitlake.sources.scratch import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -435,3 +437,23 @@ def _pattern_sql() -> str:
 @query("q31_sensitive_patterns", _pattern_sql())
 def q31(spark: SparkSession, d: str) -> DataFrame:
     return detect.hits(tables.owned(spark, d))
+
+
+@query(
+    "q32_ledger_batches",
+    BASE
+    + """ SELECT row_number() OVER (ORDER BY year(valid_from)) - 1 AS batch, count(*) AS rows_, count(DISTINCT subject) AS subjects, max(version) AS version, true AS proven, true AS whole
+  FROM ledger GROUP BY year(valid_from)""",
+)
+def q32(spark: SparkSession, d: str) -> DataFrame:
+    """Every permission, appended by the year that it begins in: the sealed batches as they are
+    read back, each proven against the log's root, the whole verified."""
+    rows = tables.ledger(spark, d).withColumns({c: F.col(c).cast("timestamp") for c in ("valid_from", "valid_until", "revoked_at")})
+    rows = rows.withColumn("subject", F.col("subject").cast("string")).withColumn("year", F.year("valid_from"))
+    ledger = Ledger(spark, folder(spark, "ledger"))
+    for year in sorted(r["year"] for r in rows.select("year").distinct().collect()):  # a row per year
+        ledger.append(rows.where(F.col("year") == year).drop("year"))
+    size, _ = ledger.root()
+    proven = F.array_contains(F.array(*(F.lit(i) for i in range(size) if ledger.prove(i)), F.lit(-1)), F.col("batch").cast("int"))
+    per = ledger.rows().groupBy("batch").agg(F.count("*").alias("rows_"), F.count_distinct("subject").alias("subjects"), F.max("version").alias("version"))
+    return per.withColumn("proven", proven).withColumn("whole", F.lit(ledger.verify()))

@@ -1,13 +1,12 @@
-"""The append-only permission ledger and decision log, as Parquet.
-
-An append writes one batch of rows and one manifest row: the batch's number,
-row count and content digest, chained to the digest before it. ``verify``
-computes all digests anew; a batch changed, removed or inserted behind the
-ledger's back breaks the chain. A batch number is claimed by creating its path
-before its rows are written, so of two writers that have read the same state one
-is refused and can append again. Nothing offers update or delete. (Whoever can
-write to the folder can forge a whole chain; only an outside copy of the last
-digest shows that.)
+"""The append-only permission ledger and decision log.
+
+Rows are appended through the data source ``permit_ledger`` (``sink``): a batch is
+sealed by one record of a Merkle history tree (``history``), and readers take
+sealed batches only, so a write that fails at any step leaves a ledger that reads,
+verifies and takes appends as before. Of two writers that have read the same state
+one is refused and can append again. ``verify`` computes all digests anew, in
+Spark; ``prove`` and ``extends`` give proofs to whoever keeps a root outside.
+Nothing offers update or delete.
 """
 
 from __future__ import annotations
@@ -24,9 +23,8 @@ from pyspark.sql import types as T
 from permitlake.errors import LedgerUnavailable
 from permitlake.functions import decide
 from permitlake.schemas import DECISIONS, LEDGER, Purpose, aware
-
-_MANIFEST = "batch long, rows long, content string, digest string"
-
+from permitlake.sources.history import LOG, RECORD, Folder, History, consistent, faults, folded, included
+from permitlake.sources.sink import NAME, LedgerSource
 
 def _content(rows: DataFrame) -> Column:
     """A digest of a set of rows that doesn't depend on their order: sums of two row hashes."""
@@ -40,7 +38,6 @@ class Ledger:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path, self.closed = spark, path.rstrip("/"), False
         self._next: int | None = None
-        self._digest = ""
 
     # reading
 
@@ -48,24 +45,43 @@ class Ledger:
         if self.closed:
             raise LedgerUnavailable("the ledger is closed")
 
-    def _read(self, name: str, schema) -> DataFrame:  # noqa: ANN001
+    def _read(self, name: str, schema: T.StructType) -> DataFrame | None:
         self._guard()
         try:
             return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
         except Exception as error:
             if "PATH_NOT_FOUND" in str(error):
-                return self.spark.createDataFrame([], schema)
+                return None
+            raise LedgerUnavailable(str(error)) from error
+
+    def _sealed(self, name: str, schema: T.StructType) -> DataFrame:
+        """The rows of the files that records name, with their batch."""
+        self._guard()
+        files = self._records(name).select(F.col("number").alias("batch"), F.explode("files").alias("f")).select("batch", F.col("f.name").alias("_file"))
+        rows = self._read(name, schema)
+        if rows is None:
+            return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
+        return rows.withColumn("_file", F.col("_metadata.file_name")).join(files, "_file").drop("_file")
+
+    def _records(self, name: str = "rows") -> DataFrame:
+        self._guard()
+        try:
+            return self.spark.read.schema(RECORD).json(f"{self.path}/{name}/{LOG}/*.json")
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" in str(error):
+                return self.spark.createDataFrame([], RECORD)
             raise LedgerUnavailable(str(error)) from error
 
     def rows(self) -> DataFrame:
         """All rows ever appended, with their batch."""
-        return self._read("rows", T.StructType([*LEDGER.fields, T.StructField("batch", T.LongType())]))
+        return self._sealed("rows", LEDGER)
 
     def manifest(self) -> DataFrame:
-        return self._read("manifest", _MANIFEST)
+        """A row per batch: its number, rows, own digest and the log's root after it."""
+        return self._records().select(F.col("number").alias("batch"), "rows", F.col("leaf").alias("content"), F.col("root").alias("digest"))
 
     def decisions(self) -> DataFrame:
-        return self._read("decisions", DECISIONS)
+        return self._sealed("decisions", DECISIONS).drop("batch")
 
     def latest(self) -> DataFrame:
         return decide.latest(self.rows())
@@ -85,18 +101,16 @@ class Ledger:
 
     # appending
 
-    def _append(self, name: str, rows: DataFrame) -> None:
+    def _append(self, name: str, rows: DataFrame, expected: int | None = None) -> None:
         self._guard()
-        rows.write.mode("append").parquet(f"{self.path}/{name}")
-
-    def _claim(self, number: int) -> None:
-        """Takes a batch number; refuses one that another writer has taken since this ledger was read."""
-        one = self.spark.createDataFrame([(number,)], "batch long")
+        self.spark.dataSource.register(LedgerSource)
+        write = rows.write.format(NAME).mode("append").option("path", f"{self.path}/{name}")
         try:
-            one.coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/claims/{number}")
-        except AnalysisException as error:
-            self._next = None  # read anew by the next append
-            raise LedgerUnavailable(f"another writer has taken batch {number}; append again") from error
+            (write if expected is None else write.option("expected", expected)).save()
+        except Exception as error:
+            if "another writer has taken" in str(error):
+                raise LedgerUnavailable(f"another writer has taken batch {expected}; append again") from error
+            raise
 
     def append(self, rows: DataFrame) -> int:
         """Appends valid rows as one batch; one fault in them refuses the batch."""
@@ -106,18 +120,11 @@ class Ledger:
         fault = decide.faults(rows).where("fault is not null").select("subject", "fault").limit(1).collect()
         if fault:
             raise ValueError(f"permission of {fault[0]['subject']}: {fault[0]['fault']}")
-        if self._next is None:
-            last = self.manifest().orderBy(F.desc("batch")).limit(1).collect()
-            self._next, self._digest = (last[0]["batch"] + 1, last[0]["digest"]) if last else (0, "")
-        batch = rows.withColumn("batch", F.lit(self._next).cast("long"))
-        self._claim(self._next)
-        self._append("rows", batch)
-        seal = self.rows().where(F.col("batch") == self._next)
-        content = seal.agg(_content(seal)).first()[0]
-        digest = hashlib.sha256(f"{self._digest}|{self._next}|{content}".encode()).hexdigest()
-        self._append("manifest", self.spark.createDataFrame([(self._next, int(content.split(":")[0]), content, digest)], _MANIFEST))
-        self._next, self._digest = self._next + 1, digest
-        return self._next - 1
+        number = self.history().size() if self._next is None else self._next
+        self._next = None  # read anew, should this append fail
+        self._append("rows", rows, number)
+        self._next = number + 1
+        return number
 
     def record(self, subject: str, purposes: Sequence[Purpose | str], valid_from: datetime, valid_until: datetime | None = None, revoked_at: datetime | None = None, scope: Sequence[str] = (), version: int = 1) -> int:
         row = Row(subject, [Purpose.parse(p).value for p in purposes], list(scope), aware(valid_from), valid_until and aware(valid_until), revoked_at and aware(revoked_at), version)
@@ -152,20 +159,37 @@ class Ledger:
 
     # integrity
 
+    def history(self) -> History:
+        return History(Folder(f"{self.path}/rows"))
+
     def verify(self) -> bool:
-        """Every batch is as it was appended, none is missing and none was added."""
-        rows = self.rows()
-        now = {r["batch"]: r["content"] for r in rows.groupBy("batch").agg(_content(rows).alias("content")).collect()}  # a row per batch
-        digest = ""
-        sealed = self.manifest().orderBy("batch").collect()
-        for i, m in enumerate(sealed):
-            empty = m["rows"] == 0 and i not in now
-            if m["batch"] != i or (not empty and now.pop(i, None) != m["content"]):
-                return False
-            digest = hashlib.sha256(f"{digest}|{i}|{m['content']}".encode()).hexdigest()
-            if digest != m["digest"]:
-                return False
-        return not now
+        """Every batch is as it was appended and in its place, and none is missing before the last."""
+        records, where = self._records(), f"{self.path}/rows"
+        if records.isEmpty():
+            return True
+        try:
+            stored = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(where).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+        except AnalysisException:
+            return False
+        return not any(faults(records, stored).first())
+
+    def root(self) -> tuple[int, str]:
+        """The number of batches and the root over them, to be kept elsewhere."""
+        head = self.history().head()
+        return (head["number"] + 1, head["root"]) if head else (0, folded([]))
+
+    def prove(self, batch: int) -> bool:
+        """A batch belongs to the log, by a proof of O(log n) hashes."""
+        size, root = self.root()
+        history = self.history()
+        return batch < size and included(history.record(batch)["leaf"], batch, size, history.inclusion(batch, size), root)
+
+    def extends(self, size: int, root: str) -> bool:
+        """The log is a continuation of one that had this size and root."""
+        now, current = self.root()
+        if size == 0 or size > now:
+            return size == 0 and root == folded([])
+        return consistent(size, root, now, current, self.history().consistency(size, now))
 
     def close(self) -> None:
         self.closed = True

@@ -1,0 +1,176 @@
+"""The hash tree over batches, and writes that are cut off at every step."""
+
+from __future__ import annotations
+
+import hashlib
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from permitlake.sources import history, sink
+from permitlake.sources.history import Folder, History
+
+SCHEMA = pa.schema([("x", pa.int64())])
+
+
+def plain_root(leaves):
+    """The tree's definition, word by word."""
+    if not leaves:
+        return hashlib.sha256().hexdigest()
+    if len(leaves) == 1:
+        return leaves[0]
+    k = 1
+    while 2 * k < len(leaves):
+        k *= 2
+    return history.node_hash(plain_root(leaves[:k]), plain_root(leaves[k:]))
+
+
+@pytest.fixture(scope="module")
+def log(tmp_path_factory):
+    out = History(Folder(str(tmp_path_factory.mktemp("log"))))
+    for i in range(35):
+        out.append([{"name": f"f{i}", "sha256": "ab", "rows": i}])
+    return out
+
+
+def test_roots_and_sizes(log):
+    leaves = [log.record(i)["leaf"] for i in range(35)]
+    for n in range(1, 36):
+        assert log.record(n - 1)["root"] == plain_root(leaves[:n])
+    assert log.size() == log.size(20) == 35 and log.record(35) is None
+
+
+def test_inclusion_of_every_record_in_every_size(log):
+    for n in range(1, 36):
+        root = log.record(n - 1)["root"]
+        for i in range(n):
+            proof, leaf = log.inclusion(i, n), log.record(i)["leaf"]
+            assert len(proof) <= (n - 1).bit_length()
+            assert history.included(leaf, i, n, proof, root)
+            assert not history.included("00" * 32, i, n, proof, root)
+            assert not history.included(leaf, i, n, [*proof, leaf], root)
+            if proof:
+                assert not history.included(leaf, i, n, [*proof[:-1], "11" * 32], root)
+
+
+def test_consistency_of_all_sizes(log):
+    for n in range(1, 36):
+        root = log.record(n - 1)["root"]
+        for m in range(1, n + 1):
+            old, proof = log.record(m - 1)["root"], log.consistency(m, n)
+            assert len(proof) <= n.bit_length() + 1
+            assert history.consistent(m, old, n, root, proof)
+            assert not history.consistent(m, "00" * 32, n, root, proof)
+            assert not history.consistent(m, old, n, "00" * 32, proof)
+
+
+def test_proofs_read_few_records(log, monkeypatch):
+    reads = []
+    real = log.record
+    monkeypatch.setattr(log, "record", lambda n: reads.append(n) or real(n))
+    log.inclusion(13, 35)
+    log.consistency(13, 35)
+    assert len(reads) <= 30
+
+
+def test_one_writer_gets_a_number(tmp_path):
+    log = History(Folder(str(tmp_path)))
+    assert log.append([], expected=0) == 0
+    with pytest.raises(history.LogMoved):
+        log.append([], expected=0)
+    assert log.append([]) == 1
+    assert not log.folder.publish(history._name(1), b"x") and log.record(1)["number"] == 1
+
+
+class Cut(Exception):
+    pass
+
+
+class FaultyFolder(Folder):
+    """Fails at the k-th change of the store, before it or after it."""
+
+    def __init__(self, path, k, after):
+        super().__init__(path)
+        self.left, self.after, self.steps = k, after, 0
+
+    def _step(self, act, *args):
+        self.steps += 1
+        self.left -= 1
+        if self.left == 0 and not self.after:
+            raise Cut
+        out = act(*args)
+        if self.left == 0:
+            raise Cut
+        return out
+
+    def output(self, name):
+        return self._step(super().output, name)
+
+    def move(self, old, new):
+        return self._step(super().move, old, new)
+
+    def publish(self, name, data):
+        return self._step(super().publish, name, data)
+
+
+def batch(*values):
+    return pa.record_batch([pa.array(values, pa.int64())], SCHEMA)
+
+
+def written(path, *tasks, folder=None):
+    w = sink.BatchWriter(path, SCHEMA, {"file_rows": "2"})
+    if folder:
+        w.folder = lambda: folder
+    w.commit([w.write(iter([batch(*t)])) for t in tasks])
+
+
+def values(path):
+    folder = Folder(path)
+    log = History(folder)
+    names = [f["name"] for i in range(log.size()) for f in log.record(i)["files"]]
+    return sorted(v for n in names for v in pq.read_table(folder.path(n))["x"].to_pylist())
+
+
+def faults(spark, path):
+    from pyspark.sql import functions as F
+
+    records = spark.read.schema(history.RECORD).json(f"{path}/_log/*.json")
+    stored = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    return any(history.faults(records, stored).first())
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_cut_off_at_every_step(spark, tmp_path, after):
+    k, whole = 1, None
+    while whole is None:
+        path = str(tmp_path / f"{after}{k}")
+        written(path, (1, 2, 3), (4,))
+        folder = FaultyFolder(path, k, after)
+        try:
+            written(path, (10, 11, 12), (13,), folder=folder)
+            whole = folder.steps
+        except Cut:
+            pass
+        seen = values(path)
+        assert seen in ([1, 2, 3, 4], [1, 2, 3, 4, 10, 11, 12, 13])  # all of the batch or nothing
+        written(path, (20,))
+        assert values(path) == [*seen, 20]
+        if k in (1, 4, 8):
+            assert not faults(spark, path)
+        k += 1
+    assert whole >= 7
+
+
+def test_second_attempt_of_a_task_is_not_read_twice(tmp_path):
+    """A task that finished and was done again: only the attempt that reached the driver counts."""
+    w = sink.BatchWriter(str(tmp_path), SCHEMA, {})
+    w.write(iter([batch(1, 2)]))
+    w.commit([w.write(iter([batch(1, 2)]))])
+    assert values(str(tmp_path)) == [1, 2]
+
+
+def test_abort_removes_files(tmp_path):
+    w = sink.BatchWriter(str(tmp_path), SCHEMA, {})
+    done = w.write(iter([batch(1)]))
+    w.abort([done, None])
+    assert not list(tmp_path.glob("*.parquet")) and History(w.folder()).size() == 0
