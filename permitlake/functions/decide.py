@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from permitlake.schemas import Purpose
@@ -24,9 +23,12 @@ def covers(purpose: Column | str, scope: str | None = None) -> Column:
 
 
 def latest(ledger: DataFrame) -> DataFrame:
-    """The rows at each subject's highest version; all lower ones are dead."""
-    top = F.max("version").over(W.partitionBy("subject"))
-    return ledger.withColumn("_top", top).where(F.col("version") == F.col("_top")).drop("_top")
+    """The rows at each subject's highest version; all lower ones are dead.
+
+    An aggregate that combines before its shuffle, and a join: no window gathers
+    and sorts the rows of a subject with very many.
+    """
+    return ledger.join(versions(ledger), ["subject", "version"], "left_semi")
 
 
 def versions(ledger: DataFrame) -> DataFrame:

@@ -74,15 +74,19 @@ def sensitive_columns(df: DataFrame) -> dict[str, tuple[str, str, str, str]]:
 def email_spans(text: Column) -> Column:
     """The mail addresses of a text as spans (kind, start, end), in order.
 
-    Matches come in order and apart, so each is the next occurrence of its own text
-    after the one before.
+    Places come from the text between the matches, which a split by the same
+    expression gives: the text of a match may also stand where none is.
     """
-    empty = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("spans"))
+    kind = "array<struct<kind:string,start:int,end:int>>"
+    matches = F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))
+    pairs = F.arrays_zip(F.split(text, EMAIL, -1).alias("gap"), matches.alias("match"))  # one gap more than matches
+    start = F.named_struct(F.lit("at"), F.lit(0), F.lit("spans"), F.array().cast(kind))
 
-    def add(acc: Column, m: Column) -> Column:
-        start = F.call_function("locate", m, text, acc.at)
-        end = start - 1 + F.length(m)
-        return F.struct((end + 1).alias("at"), F.concat(acc.spans, F.array(F.struct(F.lit("email").alias("kind"), (start - 1).alias("start"), end.alias("end")))).alias("spans"))
+    def add(acc: Column, p: Column) -> Column:
+        begin = acc["at"] + F.length(p["gap"])
+        end = begin + F.length(p["match"])
+        span = F.named_struct(F.lit("kind"), F.lit("email"), F.lit("start"), begin, F.lit("end"), end)
+        return F.named_struct(F.lit("at"), end, F.lit("spans"), F.array_append(acc["spans"], span))
 
-    matches = F.when(text.contains("@"), F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    return F.aggregate(matches, empty, add, lambda acc: acc.spans)
+    used = F.slice(pairs, F.lit(1), F.size(matches))
+    return F.when(text.contains("@"), F.aggregate(used, start, add, lambda acc: acc["spans"])).otherwise(F.array().cast(kind))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hmac
+import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from permitlake.functions import detect, identity, text, vectors
 from pyspark.sql import functions as F
 
@@ -109,3 +112,17 @@ def test_patterns(spark):
     hits = {r["pattern"]: r["documents"] for r in detect.hits(df).collect()}
     assert hits["ssn"] == 1 and hits["email-bulk"] == 1 and hits["api-keys"] == 1 and hits["credit-card"] == 0
     assert detect.sensitive_columns(spark.createDataFrame([(1, 2)], ["dob", "x"])) == {"dob": ("healthcare", "dob", "high", "warn")}
+
+
+ADDRESS_PARTS = st.sampled_from(["a", "b1", ".", "co", "com", "@", "_", " ", "-", "é", "1", "%", "\n"])
+
+
+@settings(max_examples=8, deadline=None)
+@given(texts=st.lists(st.lists(ADDRESS_PARTS, max_size=24).map("".join), min_size=20, max_size=40))
+def test_mail_spans_are_where_the_matches_are(spark, texts):
+    texts += ["a@b.co1 then a@b.co end", "x@y.org_ x@y.org", "", "@", "a@b.co,a@b.co", "a@b.co"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r["i"]: r for r in df.select("i", detect.email_spans(F.col("text")).alias("s"), text.mask(F.col("text"), detect.email_spans(F.col("text"))).alias("m")).collect()}
+    for i, t in enumerate(texts):
+        assert [(s["start"], s["end"]) for s in got[i]["s"]] == [m.span() for m in re.finditer(detect.EMAIL, t)]
+        assert got[i]["m"] == re.sub(detect.EMAIL, "[EMAIL]", t)
