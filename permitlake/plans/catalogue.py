@@ -10,13 +10,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from permitlake.functions import decide, detect, identity, text, vectors
-from permitlake.operators import probes, retrieval
+from permitlake.operators import probes, pruned, retrieval
 from permitlake.operators.candidates import Restricted, Unrestricted, matches, restrict
 from permitlake.schemas import MAX_PAGES, MIN_SIMILARITY, PAGE_SIZE, SMALL_CELL, STOP_WORDS, STRATUM_FIELDS, Purpose
 from permitlake.sources import tables
 from permitlake.sources.corpus import upsert
 from permitlake.sources.index import stored
 from permitlake.sources.ledger import Ledger
+from permitlake.sources.postings import holding, postings
 from permitlake.sources.scratch import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,12 +85,12 @@ def _scored(rows: DataFrame, index: DataFrame) -> DataFrame:
 def _matched(spark: SparkSession, d: str) -> DataFrame:
     """Permitted documents with a term in their text or a similar vector.
 
-    Permissions come first: only permitted documents are scored. The terms are
-    tested where the texts are read, and texts go no further.
+    Permissions come first: only permitted documents are scored, and the terms are
+    looked up in posting lists, so no text is read, hidden or not.
     """
     index = stored(spark, d)
     scored = _scored(restrict(index, Restricted(_consented(spark, d))), index)
-    named = tables.owned(spark, d).where(text.keyword_match(F.col("text"), TERMS)).select("doc_id", F.lit(True).alias("named"))
+    named = holding(postings(spark, d), TERMS).withColumn("named", F.lit(True))
     return scored.join(named, "doc_id", "left").where(F.col("named") | (F.col("score") > MIN_SIMILARITY)).select("doc_id", "subject", "score")
 
 
@@ -212,6 +213,14 @@ def q14(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.page(_matched(spark, d).withColumn("score", F.round("score", 12)), 2, PAGE_SIZE)
 
 
+@query("q33_pruned_page", SQL["q14_ranked_page"])
+def q33(spark: SparkSession, d: str) -> DataFrame:
+    """The same page, by block maxima and bounds: most documents that match are not scored."""
+    asked = stored(spark, d).where(F.col("doc_id") == SEED_DOC).select(F.inline(vectors.entries(F.col("vec")))).collect()  # 1,024 buckets at most
+    found = pruned.best(postings(spark, d), {r["bucket"]: r["weight"] for r in asked}, Restricted(_consented(spark, d)), TERMS, 3 * PAGE_SIZE)
+    return retrieval.page(found.best.withColumn("score", F.round("score", 12)), 2, PAGE_SIZE)
+
+
 @query("q15_count", BASE + WORDS + WEIGHTS + SCORES + MATCHED + " SELECT count(*) AS count_, 3 * 10 < count(*) AS has_more FROM matched")
 def q15(spark: SparkSession, d: str) -> DataFrame:
     return _matched(spark, d).agg(F.count("*").alias("count_")).withColumn("has_more", F.lit(3 * PAGE_SIZE) < F.col("count_"))

@@ -7,6 +7,9 @@ number, sizes and newest time; listing them reads no content).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +27,26 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(sorted(tuple(r) for r in every.collect()))  # two rows
 
 
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], str]) -> str:
+    """The path of something made for a corpus; made anew when the corpus has changed or the path is gone."""
+    key = (spark.sparkContext.applicationId, name, sf_dir, _state(spark, sf_dir))
+    if key in _STORED:
+        try:
+            spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_STORED[key])
+        except AnalysisException:
+            del _STORED[key]  # the scratch folder was cleared
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
+
+
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (doc_id, subject, vec, norm) of all documents."""
-    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
-    if key not in _STORED:
+
+    def made() -> str:
         path = folder(spark, "index")
-        made = tables.owned(spark, sf_dir).select("doc_id", "subject", vectors.counts(F.col("text")).alias("vec"))
-        made.withColumn("norm", vectors.square(F.col("vec"))).write.parquet(path)
-        _STORED[key] = path
-    return spark.read.schema(SCHEMA).parquet(_STORED[key])
+        rows = tables.owned(spark, sf_dir).select("doc_id", "subject", vectors.counts(F.col("text")).alias("vec"))
+        rows.withColumn("norm", vectors.square(F.col("vec"))).write.parquet(path)
+        return path
+
+    return spark.read.schema(SCHEMA).parquet(kept(spark, sf_dir, "index", made))
