@@ -10,7 +10,11 @@ choice. A chosen segment is added if its marginal probability reaches
 ``min_probability``. So it finds what the base rules miss by their form:
 addresses with ``(at)`` and ``dot``, octets and card digits with other
 separators, phone numbers without a plus, and numbers that the base rules drop
-because they read them together with their neighbours.
+because they read them together with their neighbours. Features describe how a
+span is built, and training forms are drawn at random (words, hosts, digits,
+groups, brackets, separators), so that what is learned isn't the table's own
+values; ISBNs, order and serial numbers, dates and coordinates are learned as
+no personal data.
 
 Training (``fit``) is from rows without labels. Base spans in a bounded sample
 of windows (``max_windows`` out of ``sample_docs`` documents, drawn by hash)
@@ -28,8 +32,10 @@ as one, however long it is.
 Edge cases: null texts are empty; a text without digit, ``@`` and spelled-out
 address has no span; repeated rows each get their own result; equal scores keep
 the shorter segment and the kind listed first; without a base span in the
-sample the field adds nothing. Whole texts and whole tokens are read, in time
-linear in their length.
+sample the field adds nothing. Whole texts, tokens and segments are read, in time
+linear in their length. Personal data of more than ``max_len`` tokens, and
+addresses that are spelled out with ``at`` alone beside a written host (as in
+"write to anna at example.com"), are not found.
 """
 
 from __future__ import annotations
@@ -60,11 +66,13 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SEED = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-#: Spelled-out signs of an address, as the field reads them.
-MARKS = ("(at)", "[at]", "{at}", "(dot)", "[dot]", "{dot}")
-AT = re.compile(r"\s*(?:[\[({]\s*(?:at|@)\s*[\])}]|(?<=\s)at(?=\s)|@)\s*")
-DOT = re.compile(r"\s*(?:[\[({]\s*(?:dot|\.)\s*[\])}]|(?<=\s)dot(?=\s)|(?<=\s)\.(?=\s))\s*")
-ADDRESS = re.compile(r"[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}")
+#: Spelled-out signs of an address: the word between brackets or strokes of any kind, or alone.
+_OPEN, _CLOSE = r"[\[({<_|*~:-]+", r"[\])}>_|*~:-]+"
+SPELLED = re.compile(rf"{_OPEN}\s?(?:at|dot|@|\.)\s?{_CLOSE}", re.IGNORECASE)
+AT = re.compile(rf"\s*(?:{_OPEN}\s?(?:at|@)\s?{_CLOSE}|(?<=\s)at(?=\s)|@)\s*")
+DOT = re.compile(rf"\s*(?:{_OPEN}\s?(?:dot|\.)\s?{_CLOSE}|(?<=\s)dot(?=\s)|(?<=\s)\.(?=\s))\s*")
+ADDRESS = re.compile(r"([a-z0-9._%+-]+)@([a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,6})")
+GROUP = re.compile(r"[0-9]+")
 
 Span = tuple[int, int, str]
 
@@ -74,8 +82,8 @@ class Params:
     sample_docs: int = 20_000  #: documents at most that training windows come from
     max_windows: int = 400  #: training windows at most
     train_chars: int = 2_000  #: longer windows are not learned from
-    epochs: int = 6
-    max_len: int = 7  #: tokens of a segment at most
+    epochs: int = 5
+    max_len: int = 9  #: tokens of a segment at most
     gap: int = 2
     context: int = 4
     min_probability: float = 0.9
@@ -129,17 +137,20 @@ class Stretch:
 
 
 def _spelled(text: str) -> bool:
-    low = text.lower()
-    return " dot " in low or any(m in low for m in MARKS)
+    return " dot " in text.lower() or SPELLED.search(text) is not None
 
 
 def _seeds(text: str, tokens: list[tuple[int, int]], spelled: bool) -> list[bool]:
-    def one(a: int, b: int) -> bool:
-        if SEED.search(text, a, b):
-            return True
-        return spelled and ((low := text[a:b].lower()) == "dot" or any(m in low for m in MARKS))
-
-    return [one(a, b) for a, b in tokens]
+    out = [SEED.search(text, a, b) is not None or (spelled and text[a:b].lower() == "dot") for a, b in tokens]
+    k = 0
+    for m in SPELLED.finditer(text) if spelled else ():
+        while tokens[k][1] <= m.start():
+            k += 1
+        j = k
+        while j < len(tokens) and tokens[j][0] < m.end():
+            out[j] = True
+            j += 1
+    return out
 
 
 def stretches(text: str, spans: list[Span], p: Params) -> Iterator[Stretch]:
@@ -173,27 +184,59 @@ def surface(text: str, a: int, b: int) -> tuple[int, int]:
     return b - len(kept), b
 
 
+def _isbn(d: str) -> bool:
+    """A book number: 13 digits after 978 or 979 with their check digit, or 10 with theirs."""
+    if len(d) == 13:
+        return d[:2] == "97" and d[2] in "89" and sum(int(c) * (1 + 2 * (i % 2)) for i, c in enumerate(d)) % 10 == 0
+    return len(d) == 10 and sum((10 - i) * int(c) for i, c in enumerate(d)) % 11 == 0
+
+
 def features(s: str, n: int, before: str) -> list[str]:
-    """Whole-span features of s, a segment of n tokens after a word."""
-    digits = _digits(s)
+    """Whole-span features of s, a segment of n tokens after a word.
+
+    They say how a span is built (groups of digits, kinds of separators, what it
+    begins with, checks that it passes), never which letters or digits it holds.
+    """
     plain = DOT.sub(".", AT.sub("@", s.lower()))
-    octets = plain.split(".")
-    letters = sum(map(str.isalpha, s))
-    shape = re.sub(r"[0-9]+", lambda m: f"d{min(5, len(m[0]))}", re.sub(r"[^\W\d_]+", "a", s))[:24]
-    marks = "".join(sorted({c for c in s if not c.isalnum() and not c.isspace()}))[:6]
-    card = 12 <= len(digits) <= 19 and not letters
+    letters = any(map(str.isalpha, s))
+    out = ["bias", f"tokens={n}", f"before={before}", f"letters={letters}"]
+    if letters:
+        m = ADDRESS.fullmatch(plain)
+        out += [f"address={m is not None}", f"at={min(2, plain.count('@'))}", f"address={m is not None}{n}"]
+        if m:
+            labels = m[2].split(".")
+            out += [f"labels={min(4, len(labels))}", f"end={len(labels[-1])}", f"numbers={any(map(str.isdecimal, labels))}"]
+    groups = [(m.start(), m.end()) for m in GROUP.finditer(s)]
+    digits = "".join(s[a:b] for a, b in groups)
+    if not digits:
+        return [*out, f"word={letters and m is not None}"]
+    inner = {re.sub(r"\s+", " ", s[b:c]) for (_, b), (c, _) in zip(groups, groups[1:], strict=False)}
+    bare = {"".join(c for c in x if not c.isspace()) or " " for x in inner}  # the separators without white space around them
+    same = len(bare) <= 1
+    octets = plain.split(".") if letters or "." in plain else [s[a:b] for a, b in groups]
+    octets = len(octets) == 4 and same and bare != {" "} and all(o.isdecimal() and o.isascii() and len(o) <= 3 and int(o) <= 255 for o in octets)
+    sizes = "-".join(str(min(b - a, 9)) for a, b in groups) if len(groups) <= 6 else "many"
+    edge = (s[: groups[0][0]].strip() or "none") + ("," + s[groups[-1][1] :].strip() if s[groups[-1][1] :].strip() else "")
+    edge = edge if len(edge) <= 4 and not letters else "long"
+    lead = "00" if digits[:2] == "00" else "0" if digits[0] == "0" else "1" if sizes[:2] == "1-" and digits[0] == "1" else "d"
+    card = 12 <= len(digits) <= 19 and not letters and edge == "none"
+    luhn, phone, isbn = card and _luhn(digits), not letters and 9 <= len(digits) <= 15, not letters and _isbn(digits)
+    parts = min(len(groups), 6)
     return [
-        "bias",
-        f"shape={shape}",
-        f"digits={min(20, len(digits))}{letters > 0}",
-        f"tokens={n}",
-        f"before={before}",
-        f"marks={marks}{n > 1}",
-        f"address={bool(ADDRESS.fullmatch(plain))}",
-        f"luhn={card and _luhn(digits)}{len(digits) == len(s)}",
-        f"card={card}",
-        f"octets={len(octets) == 4 and all(o.isdecimal() and o.isascii() and len(o) <= 3 and int(o) <= 255 for o in octets)}",
-        f"phone={not letters and 9 <= len(digits) <= 15}{s[:1] == '+'}{s[:2] == '00'}{s[:1] == '('}{len(digits) == len(s)}",
+        *out,
+        f"digits={min(20, len(digits))}{letters}",
+        f"sizes={sizes}{letters}",
+        f"edge={edge}",
+        f"same={same}{parts}{letters}",
+        f"octets={octets}",
+        f"octets={octets}{letters}{n}",
+        f"card={card}{luhn}",
+        f"card={card}{luhn}{isbn}{same}",
+        f"isbn={isbn}",
+        f"phone={phone}{lead}{edge}",
+        f"phone={phone}{lead}{edge}{sizes}",
+        f"phone={phone}{lead}{parts}{isbn}{luhn}",
+        *(f"between={x}{letters}" for x in sorted(bare) if len(x) <= 3),
     ]
 
 
@@ -201,7 +244,7 @@ def lattice(text: str, w: Stretch, p: Params) -> list[tuple[int, int, tuple[int,
     """Candidate segments (first token, after last, span, may be an entity, features)."""
     out = []
     for i, (start, _) in enumerate(w.tokens):
-        before = text[w.tokens[i - 1][0] : w.tokens[i - 1][1]][-24:].lower().strip(".,:;") if i else ""
+        before = text[w.tokens[i - 1][0] : w.tokens[i - 1][1]].lower().strip(".,:;") if i else ""
         before = re.sub("[0-9]", "0", before)
         for j in range(i + 1, min(len(w.tokens), i + p.max_len) + 1):
             if any(w.fixed[i:j]):
@@ -300,24 +343,78 @@ def find(text: str | None, model: Model) -> tuple[list[Span], list[Span]]:
     return base, sorted({*base, *more}, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+#: Brackets and strokes that signs and separators are written with.
+_PAIRS = ("()", "[]", "{}", "<>", "__", "||", "**", "--", "~~")
+
+
+def _word(r: random.Random, least: int = 2, most: int = 9) -> str:
+    return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(least, most)))
+
+
+def _run(r: random.Random, n: int) -> str:
+    return "".join(r.choice("0123456789") for _ in range(n))
+
+
+def _sign(r: random.Random, word: str, alone: bool) -> str:
+    """A spelled-out at or dot."""
+    word = word.upper() if r.random() < 0.2 else word
+    if alone and r.random() < 0.4:
+        return f" {word} "
+    pair, inside, around = r.choice(_PAIRS), r.choice(["", "", " "]), r.choice(["", " "])
+    return around + pair[0] + inside + word + inside + pair[1] + around
+
+
+def _address(r: random.Random) -> str:
+    """An address in a form that the base rules don't know; its words are made of random letters."""
+    local = _word(r)
+    for _ in range(r.choice([0, 0, 1, 1, 2])):
+        local += r.choice(["", ".", "_", "-", "+"]) + r.choice([_word(r, 1, 6), _run(r, r.randint(1, 4))])
+    labels = [_word(r) + r.choice(["", "", "", _run(r, r.randint(1, 3))]) for _ in range(r.choice([1, 1, 1, 2]))] + [_word(r, 2, 4)]
+    dot = r.choice([".", ".", _sign(r, "dot", True), " dot ", _sign(r, r.choice(["dot", "."]), False)])
+    dots = [dot] * (len(labels) - 1)
+    if len(dots) > 1 and r.random() < 0.3:
+        dots[0] = "."
+    at = r.choice([" at ", " at ", _sign(r, "at", True), _sign(r, r.choice(["at", "@"]), False), " @ "]) if "dot" in dot.lower() else r.choice([_sign(r, "at", False), _sign(r, "at", False), " @ "])
+    return local + at + "".join(x + y for x, y in zip(labels, [*dots, ""], strict=True))
+
+
+def _between(r: random.Random, plain: str) -> str:
+    """What separates groups of digits: a sign, in brackets or white space or neither."""
+    sign = r.choice(plain)
+    form = r.random()
+    return f" {sign} " if form < 0.2 else (p := r.choice(_PAIRS[:4]))[0] + sign + p[1] if form < 0.35 else sign
+
+
+def _cut(r: random.Random, digits: str, sizes: list[int]) -> list[str]:
+    out, at = [], 0
+    for n in sizes:
+        out.append(digits[at : at + n])
+        at += n
+    return [x for x in [*out, digits[at:]] if x]
+
+
 def rewrites(kind: str, s: str, r: random.Random) -> str:
-    """The same personal data in a form that the base rules don't know."""
+    """Personal data of a kind, of random content, in a form that the base rules don't know."""
     if kind == "email":
-        local, _, host = s.partition("@")
-        return r.choice([
-            f"{local} at {host.replace('.', ' dot ')}", f"{local} (at) {host}", f"{local}(at){host}", f"{local} [at] {host.replace('.', ' [dot] ')}",
-            f"{local}[at]{host.replace('.', '[dot]')}", f"{local} @ {host}", f"{local} (at) {host.replace('.', ' (dot) ')}", f"{local} at {host.rpartition('.')[0]} dot {host.rpartition('.')[2]}",
-        ])
-    digits = _digits(s)
+        return _address(r)
     if kind == "ip":
-        return s.replace(".", r.choice(["[.]", "(.)", " . ", "[dot]", " dot ", " [.] ", " (dot) "]))
+        most = r.choice([(255,), (9, 99, 255), (9, 19)])
+        return r.choice([_between(r, ".-,_:;|/"), _sign(r, "dot", True), _between(r, ".")]).join(str(r.randint(0, r.choice(most))) for _ in range(4))
     if kind == "card":
-        parts = [digits[i : i + 4] for i in range(0, len(digits), 4)]
-        return r.choice([".", "/", "_", " - ", " . ", " / ", "--", "  "]).join(parts)
-    tail = [digits[-10:-7], digits[-7:-4], digits[-4:]] if len(digits) >= 10 else [digits[:3], digits[3:6], digits[6:]]
-    a, b, c = tail
-    lead = digits[: -10] if len(digits) > 10 else "1"
-    return r.choice([f"00{lead} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{lead}{a}{b}{c}", f"+{lead}/{a}/{b}{c}", f"+ {lead} {a} {b} {c}", f"({a}) {b} {c}"])
+        n = r.choice([16, 16, 16, 15, 14, 13, 19])
+        head = r.choice("3456") + _run(r, n - 2)
+        number = head + next(c for c in "0123456789" if _luhn(head + c))
+        sizes = [4, 6] if n == 15 else [4] * 4 if r.random() < 0.85 else [n // 2]
+        return r.choice([_between(r, "./_|:~*,=\u2013"), _between(r, "./_|:-"), "--", "  "]).join(_cut(r, number, sizes))
+    land, trunk = r.choice("123456789") + _run(r, r.randint(0, 2)), r.choice("123456789")
+    area, rest = trunk + _run(r, r.randint(1, 3)), _run(r, r.randint(6, 8))
+    sep, other = r.choice(" -./"), r.choice(" -./")
+    tail = sep.join(_cut(r, rest, r.choice([[3], [4], [2, 2], [3, 2], [9]])))
+    north = sep.join([trunk + _run(r, 2), _run(r, 3), _run(r, 4)])
+    return r.choice([
+        f"00{land}{sep}{area}{sep}{tail}", f"00{land}{sep}{area}{other}{tail}", f"00{land}{area}{rest}", f"00{land} ({area}) {tail}", f"(0{area}) {tail}", f"({area}) {tail}", f"0{area}{other}{tail}", f"0{area}{r.choice('/ -')}{rest}",
+        f"1{sep}{north}", f"1{sep}{r.choice([800, 888, 877])}{north[3:]}", north, f"({north[:3]}){r.choice(['', ' '])}{north[4:]}", f"+{land}/{area}/{rest}", f"+ {land} {area} {tail}", f"+({land}) {area} {tail}",
+    ])
 
 
 def _number(r: random.Random) -> str:
@@ -326,17 +423,43 @@ def _number(r: random.Random) -> str:
     return number[:-1] + str((int(number[-1]) + 1) % 10) if _luhn(number) else number
 
 
+def _book(r: random.Random) -> str:
+    """An ISBN, with or without hyphens."""
+    sep = r.choice(["-", "-", " ", ""])
+    if r.random() < 0.7:
+        head = r.choice(["978", "979"]) + _run(r, 9)
+        digits = head + next(c for c in "0123456789" if _isbn(head + c))
+        a, b = r.randint(1, 2), r.randint(2, 5)
+        return sep.join(_cut(r, digits, [3, a, b, 9 - a - b]))
+    head = _run(r, 9)
+    digits = next((head + c for c in "0123456789" if _isbn(head + c)), head + "X")
+    return sep.join(_cut(r, digits, [1, 4, 4]))
+
+
 def harmless(r: random.Random) -> str:
-    """Something with digits or a dot that is no personal data."""
+    """Something with digits or a sign of an address that is no personal data."""
     n = lambda a, b: r.randint(a, b)
     number = _number(r)
-    cut = [number[i : i + 4] for i in range(0, 16, 4)]
-    return r.choice([
-        f"{n(1900, 2100)}-{n(1, 12):02}-{n(1, 28):02}", f"{n(1, 28):02}.{n(1, 12):02}.{n(1900, 2100)}", f"{n(1, 12)}/{n(1, 28)}/{n(1900, 2100)}", f"{n(0, 23):02}:{n(0, 59):02}", f"{n(1, 9)}.{n(0, 20)}", f"v{n(1, 9)}.{n(0, 20)}.{n(0, 99)}",
-        f"{n(1, 9)}.{n(0, 20)}.{n(0, 99)}", f"{n(1, 999)},{n(0, 999):03}.{n(0, 99):02}", f"{n(1, 99)}%", str(n(0, 10**8)), number, r.choice(".-/_ ").join(cut), f"{n(256, 999)}.{n(256, 999)}.{n(0, 300)}.{n(0, 300)}",
-        f"{n(1900, 2100)}-{n(1900, 2100)}", f"{n(1, 99)}-{n(1, 99)}", f"{n(0, 2**40):x}{n(0, 2**40):x}", f"{n(1, 300)} dot {n(256, 999)}", "look at the dot here", "a dot on it", f"{n(1, 9)} . {n(1, 9)}", f"id-{n(1000, 10**7)}",
-        f"{n(1900, 2100)}-{n(1, 12):02}-{n(1, 28):02} {n(0, 23):02}:{n(0, 59):02}:{n(0, 59):02}", f"{n(100, 999)} {n(100, 999)}", f"@{r.choice(['anna', 'user', 'team'])}{n(1, 99)}", f"{n(1, 9)} at {n(1, 9)}", f"{n(1000, 9999)} {n(1000, 9999)} {n(1000, 9999)}",
-    ])
+    date = [f"{n(1900, 2100)}", f"{n(1, 12):02}", f"{n(1, 28):02}"]
+    kind = r.randrange(9)
+    if kind == 0:
+        return _book(r)
+    if kind == 1:  # order, serial, part and case numbers
+        first = r.choice("123456789")
+        return r.choice([f"{first}{_run(r, 2)}-{_run(r, 7)}", f"{first}{_run(r, 3)}-{_run(r, 6)}", f"{first}{_run(r, 2)}-{_run(r, 7)}-{_run(r, 7)}", f"{first}{_run(r, n(5, 14))}", f"{first}{_run(r, n(1, 4))}-{_run(r, n(3, 8))}", f"{_word(r, 1, 3).upper()}-{_run(r, n(3, 10))}", f"{_word(r, 1, 3).upper()}{_run(r, n(3, 10))}", f"{_word(r, 2, 3).upper()}-{_run(r, 3)}-{_run(r, n(4, 7))}", f"#{_run(r, n(4, 12))}", f"{first}{_run(r, 3)}/{_run(r, n(2, 6))}"])
+    if kind == 2:
+        return r.choice(["-".join(date), ".".join(reversed(date)), f"{n(1, 12)}/{n(1, 28)}/{date[0]}", f"{n(0, 23):02}:{n(0, 59):02}", f"{'-'.join(date)} {n(0, 23):02}:{n(0, 59):02}:{n(0, 59):02}", f"{'-'.join(date)}T{n(0, 23):02}:{n(0, 59):02}", f"{n(1900, 2100)}-{n(1900, 2100)}", "".join(date), f"{''.join(date)}{n(0, 23):02}{n(0, 59):02}{n(0, 59):02}", f"{n(0, 23):02}:{n(0, 59):02}:{n(0, 59):02}.{_run(r, 3)}"])
+    if kind == 3:
+        return r.choice([f"{n(1, 9)}.{n(0, 20)}", f"v{n(1, 9)}.{n(0, 20)}.{n(0, 99)}", f"{n(1, 9)}.{n(0, 20)}.{n(0, 99)}", f"{n(1, 20)}.{n(0, 20)}.{n(0, 99)}-rc{n(1, 9)}", f"{n(256, 999)}.{n(256, 999)}.{n(0, 300)}.{n(0, 300)}", f"{n(1, 9)}.{n(0, 9)}.{n(0, 9)}.{n(1000, 99999)}"])
+    if kind == 4:  # coordinates, prices, shares, ranges, sizes
+        return r.choice([f"{n(-90, 90)}.{_run(r, n(3, 6))}, {n(-180, 180)}.{_run(r, n(3, 6))}", f"{n(-90, 90)}.{_run(r, 4)} {n(-180, 180)}.{_run(r, 4)}", f"{n(1, 999)},{n(0, 999):03}.{n(0, 99):02}", f"{n(1, 999)},{n(0, 999):03},{n(0, 999):03}", f"{n(1, 99)}%", f"{n(1, 99)}-{n(1, 99)}", f"{n(1, 9)} x {n(1, 9)}", f"{n(100, 999)}-{n(10, 99)}-{_run(r, 4)}"])
+    if kind == 5:
+        return r.choice([str(n(0, 10**8)), number, r.choice([*".-/_ ", " - ", " . "]).join(_cut(r, number, [4, 4, 4])), f"{n(1000, 9999)} {n(1000, 9999)} {n(1000, 9999)}", f"{n(100, 999)} {n(100, 999)}", _run(r, n(9, 19))])
+    if kind == 6:
+        return r.choice([f"{n(0, 2**40):x}{n(0, 2**40):x}", f"id-{n(1000, 10**7)}", f"{_word(r)}_{n(1, 999)}", f"@{_word(r)}{n(1, 99)}", f"{_word(r)}-{_word(r)}-{n(1, 99)}"])
+    if kind == 7:
+        return r.choice([f"{n(1, 300)} dot {n(256, 999)}", "look at the dot here", "a dot on it", f"{n(1, 9)} . {n(1, 9)}", f"{n(1, 9)} at {n(1, 9)}", f"the dot at {_word(r)} dot", f"{_word(r)}-at-{_word(r)}", f"{_word(r)} (at {_word(r)})", f"{_word(r)} {r.choice(['(', '<'])}dot{r.choice([')', '>'])} {_word(r)}"])
+    return r.choice([f"{n(1, 99)}, {n(1, 99)}, {n(1, 99)}, {n(256, 999)}", f"{n(1, 99)} {n(1, 99)} {n(1, 99)} {n(1, 99)}", f"({n(1, 99)})", f"[{n(1, 999)}]", f"{n(1, 99)}:{n(1, 99)}", f"{n(1, 9)}/{n(1, 9)}"])
 
 
 Example = tuple[str, list[Span]]
@@ -359,10 +482,11 @@ def taught(windows: list[Example], most: int, seed: int = 9) -> list[Example]:
         if any(s[0] < b for s in spans[1:]):
             continue
         rest = lambda at, spans=spans, b=b: [(x - b + at, y - b + at, k) for x, y, k in spans[1:]]
-        for _ in range(2 * times):
-            new = rewrites(kind, text[a:b], r)
-            out.append((head + new + tail, [(a, a + len(new), kind), *rest(a + len(new))]))
-        for _ in range(times):
+        for i in range(9 * times):
+            other = kind if i % 3 == 0 else r.choice([*KINDS, KINDS[0]])
+            new = rewrites(other, text[a:b], r)
+            out.append((head + new + tail, [(a, a + len(new), other), *rest(a + len(new))]))
+        for _ in range(6 * times):
             new = harmless(r)
             out.append((head + new + tail, rest(a + len(new))))
         new = _number(r) if kind == "card" or r.random() < 0.5 else harmless(r)
