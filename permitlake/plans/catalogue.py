@@ -19,6 +19,7 @@ from permitlake.sources.index import stored
 from permitlake.sources.ledger import Ledger
 from permitlake.sources.postings import holding, postings
 from permitlake.sources.scratch import folder
+from permitlake.streaming import ledger as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -466,3 +467,28 @@ def q32(spark: SparkSession, d: str) -> DataFrame:
     proven = F.array_contains(F.array(*(F.lit(i) for i in range(size) if ledger.prove(i)), F.lit(-1)), F.col("batch").cast("int"))
     per = ledger.rows().groupBy("batch").agg(F.count("*").alias("rows_"), F.count_distinct("subject").alias("subjects"), F.max("version").alias("version"))
     return per.withColumn("proven", proven).withColumn("whole", F.lit(ledger.verify()))
+
+
+@query(
+    "q34_stream_of_changes",
+    BASE
+    + """, now_ AS (SELECT max(o_orderdate) + INTERVAL 12 HOUR AS moment FROM orders),
+  lit AS (SELECT DISTINCT subject FROM latest, now_ WHERE list_contains(purposes, 'direct_care') AND valid_from <= moment AND (valid_until IS NULL OR moment < valid_until) AND (revoked_at IS NULL OR moment < revoked_at))
+  SELECT s.subject, lit.subject IS NOT NULL AS allowed FROM (SELECT DISTINCT subject FROM ledger) s LEFT JOIN lit USING (subject)""",
+)
+def q34(spark: SparkSession, d: str) -> DataFrame:
+    """All permissions replayed as a stream, year by year in the order of their dates: every
+    subject's answer once the clock stands half a day after the last of them."""
+    rows = tables.ledger(spark, d).withColumns({c: F.col(c).cast("timestamp") for c in ("valid_from", "valid_until", "revoked_at")})
+    rows = rows.withColumn("subject", F.col("subject").cast("string")).withColumn("arrived", F.col("valid_from")).withColumn("year", F.year("arrived"))
+    end = rows.agg(F.max("arrived").alias("end")).first()["end"]
+    tick = rows.limit(1).withColumns({"subject": F.lit("").cast("string"), "arrived": F.lit(end) + F.expr("INTERVAL 12 HOURS"), "purposes": F.array().cast("array<string>")})  # moves the clock on
+    src, out = folder(spark, "stream-in"), folder(spark, "stream-out")
+    for year in sorted(r["year"] for r in rows.select("year").distinct().collect()):  # a row per year
+        rows.where(F.col("year") == year).drop("year").coalesce(1).write.mode("append").parquet(src)
+    tick.drop("year").coalesce(1).write.mode("append").parquet(src)
+    changes = stream.switches(stream.stream_rows(spark, src, 3), CARE)
+    stream.start(changes, out, folder(spark, "stream-state")).awaitTermination()
+    last = stream.answers(spark.read.schema(stream.SWITCH).parquet(out))
+    people = rows.select("subject").distinct().join(last, "subject", "left")
+    return people.select(F.col("subject").cast("long").alias("subject"), F.coalesce("allowed", F.lit(False)).alias("allowed"))

@@ -1,22 +1,41 @@
-"""The ledger as a stream: the latest version of every subject, kept up to date.
+"""The ledger as a stream: a row whenever a subject lights up or goes dark for a purpose.
 
-Late and repeated rows do no harm: the highest version decides, whatever the
-order of arrival. State is one row per subject, so no watermark is needed.
+State is kept per subject (highest version, the union of its rows' windows, the
+last answer) and changes only for subjects that have rows or a boundary due;
+nothing is rewritten per batch. Windows begin and end by timers: each subject has
+one, at the next instant at which its answer can change. The stream's clock is
+the rows' time of arrival in the log (``arrived``), so a row that arrives long
+after its window began is late for its window, never for the stream: it counts
+from its arrival on. Rows of one batch are taken in the order of arrival, and the
+highest version decides, whatever that order is.
+
+Needs Spark's RocksDB state store (``start`` sets it) and, on the executors, the
+``protobuf`` package that Spark's Python state client uses.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from permitlake.functions import decide
-from permitlake.schemas import LEDGER
+from permitlake.schemas import LEDGER, Purpose
+
+SWITCH = "subject string, n long, at timestamp, allowed boolean"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NEVER = (1 << 63) - 1
+ARRIVED = T.StructType([*LEDGER.fields, T.StructField("arrived", T.TimestampType())])
 
 
 def stream_rows(spark: SparkSession, path: str, files_per_trigger: int = 1_000) -> DataFrame:
-    """Ledger rows as they are appended under ``path``."""
-    return spark.readStream.schema(LEDGER).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """Ledger rows as they are appended under ``path``; a column ``arrived``, where the files have it."""
+    return spark.readStream.schema(ARRIVED).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def versions(rows: DataFrame) -> DataFrame:
@@ -24,29 +43,113 @@ def versions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("subject").agg(F.max("version").alias("version"), F.count("*").alias("rows"))
 
 
-def maintain_latest(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the rows at each subject's highest version in generations under ``path``.
+def united(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same instants in windows that neither meet nor overlap."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(w for w in windows if w[0] < w[1]):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+class Subject:
+    """A subject's answer through time, in milliseconds; ``changes`` has what is new of it."""
+
+    def __init__(self, version: int = -1, seen: int = -NEVER, n: int = 0, allowed: bool = False, windows: list[tuple[int, int]] | None = None) -> None:
+        self.version, self.seen, self.n, self.allowed, self.windows = version, seen, n, allowed, windows or []
+        self.changes: list[tuple[int, int, bool]] = []
+
+    def _look(self, at: int) -> None:
+        now = any(a <= at < b for a, b in self.windows)
+        if now != self.allowed:
+            self.n, self.allowed = self.n + 1, now
+            self.changes.append((self.n, at, now))
+
+    def advance(self, to: int) -> None:
+        """Lets time pass."""
+        for at in sorted(t for w in self.windows for t in w if self.seen < t <= to):
+            self._look(at)
+        self.seen = max(self.seen, to)
+
+    def take(self, arrived: int, version: int, granted: bool, window: tuple[int, int]) -> None:
+        """A row of the ledger, at its arrival."""
+        self.advance(arrived)
+        if version < self.version:
+            return
+        if version > self.version:
+            self.version, self.windows = version, []
+        if granted:
+            self.windows = united([*self.windows, window])
+        self._look(self.seen)
+
+    def due(self) -> int | None:
+        return min((t for w in self.windows for t in w if self.seen < t < NEVER), default=None)
+
+
+class Switches(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("subject", "version int, seen long, n long, allowed boolean, due long, begins array<long>, ends array<long>")
+
+    def _load(self) -> tuple[Subject, int | None]:
+        kept = self.kept.get()
+        if kept is None:
+            return Subject(), None
+        version, seen, n, allowed, due, begins, ends = kept
+        return Subject(version, seen, n, allowed, list(zip(begins, ends, strict=True))), due
+
+    def _store(self, key: tuple, one: Subject, timer: int | None) -> Iterator[pd.DataFrame]:
+        due = one.due()
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is not None and timer != due:
+            self.handle.registerTimer(due)
+        self.kept.update((one.version, one.seen, one.n, one.allowed, due, [a for a, _ in one.windows], [b for _, b in one.windows]))
+        if one.changes:
+            n, at, allowed = zip(*one.changes, strict=True)
+            yield pd.DataFrame({"subject": key[0], "n": n, "at": pd.to_datetime(list(at), unit="ms"), "allowed": allowed})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        one, timer = self._load()
+        every = pd.concat(list(rows)).sort_values(["clock", "version"], kind="stable")
+        for r in every.itertuples(index=False):
+            one.take(int(r.clock), int(r.version), bool(r.granted), (int(r.begins), int(r.ends)))
+        yield from self._store(key, one, timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        one, timer = self._load()
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        one.advance(max(fired, timerValues.getCurrentWatermarkInMs()))  # later boundaries may be due too
+        yield from self._store(key, one, None if timer == fired else timer)
+
+    def close(self) -> None:
+        pass
+
 
-    A batch reads the generation before its own and writes the next; done again
-    after a failure, it writes the same. Readers take the newest whole one.
-    """
+def switches(rows: DataFrame, purpose: Purpose, scope: str | None = None) -> DataFrame:
+    """Rows (subject, n, at, allowed): the n-th change of a subject's answer. ``rows`` has the ledger's columns and arrived."""
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    slim = rows.withWatermark("arrived", "0 seconds").select(
+        F.col("subject").cast("string").alias("subject"), "arrived", F.col("version").cast("int").alias("version"), ms("arrived").alias("clock"),
+        F.coalesce(decide.covers(purpose.value, scope), F.lit(False)).alias("granted"), F.coalesce(ms("valid_from"), F.lit(NEVER)).alias("begins"), F.coalesce(F.least(ms("valid_until"), ms("revoked_at")), F.lit(NEVER)).alias("ends"),
+    )
+    return slim.groupBy("subject").transformWithStateInPandas(statefulProcessor=Switches(), outputStructType=SWITCH, outputMode="Append", timeMode="EventTime")
 
-    def advance(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = current(spark, path, before=number)
-        both = batch.unionByName(old) if old is not None else batch
-        decide.latest(both.distinct()).write.mode("overwrite").parquet(f"{path}/generation={number}")
 
-    return rows.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends the changes to Parquet files under ``path`` until the input at hand is read."""
+    spark = changes.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STORE)
+    try:
+        return changes.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
-def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest whole generation, or the newest before a number; None without one."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    found = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    found = [n for n in found if before is None or n < before]
-    return spark.read.schema(LEDGER).parquet(f"{path}/generation={max(found)}") if found else None
+def answers(changes: DataFrame) -> DataFrame:
+    """Each subject's last answer (subject, allowed); subjects that never lit up have no row."""
+    return changes.groupBy("subject").agg(F.max_by("allowed", "n").alias("allowed"))

@@ -8,7 +8,6 @@ import pytest
 from permitlake import cli, synth
 from permitlake.plans import exhibit, verify
 from permitlake.sources import corpus
-from permitlake.streaming import ledger as stream
 from worlds import NOW
 
 SMALL = synth.Params(subjects=40, documents_per_subject=2, rare_cells=5, traps=3, oracle_pairs=2)
@@ -80,20 +79,3 @@ def test_command_line_exit_codes(monkeypatch, spark, tmp_path):
 def test_upsert_takes_the_last_row(spark):
     log = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "doc_id string, seq int, text string")
     assert {tuple(r) for r in corpus.upsert(log).select("doc_id", "text").collect()} == {("a", "y"), ("b", "z")}
-
-
-def test_stream_of_the_ledger(spark, made, tmp_path):
-    rows = corpus.permission_rows(made.permissions)
-    src, out, mark = (str(tmp_path / x) for x in ("rows", "latest", "checkpoint"))
-    rows.write.parquet(src)
-    for extra in (0, 1):
-        if extra:
-            rows.limit(3).withColumn("version", rows["version"] + 1).write.mode("append").parquet(src)
-        stream.maintain_latest(stream.stream_rows(spark, src), out, mark).awaitTermination()
-    from permitlake.functions import decide
-
-    everything = spark.read.parquet(src)
-    assert sorted(map(str, stream.current(spark, out).collect())) == sorted(map(str, decide.latest(everything.select(stream.current(spark, out).columns)).distinct().collect()))
-    q = stream.versions(stream.stream_rows(spark, src)).writeStream.outputMode("complete").format("memory").queryName("versions").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {tuple(r) for r in spark.table("versions").select("subject", "version").collect()} == {tuple(r) for r in decide.versions(everything).collect()}
