@@ -66,6 +66,11 @@ def run(spark: SparkSession, path: str, purpose: Purpose = Purpose.DIRECT_CARE,
     return Exhibit(of_masking, of_exclusion, drilled.as_dict(), *plans, purpose.value, when.isoformat(), strategy, counts)
 
 
+def outcome(x: Exhibit) -> str:
+    """What the run shows: permissions leaked, it shows that they don't, or nothing (no baseline leak to compare with)."""
+    return "leaked" if x.exclusion.leaks else "shown" if x.masking.leaks else "nothing"
+
+
 def short_plan(plan: str, width: int = 160) -> str:
     """A plan for print: expression ids and plan ids away, long lines cut."""
     plain = re.sub(r"#\d+L?|, \[plan_id=\d+\]", "", plan)
