@@ -19,9 +19,6 @@ Edge cases: null sources count as the source ''; a source without a weight gets
 the smallest weight given; sources with the weight 0 follow, in equal shares,
 when all others have run out; repeated rows are documents of their own; the last
 block of a source may be smaller; an empty table mixes into an empty one.
-
-``plan`` is the schedule for weights that are whole shares of a period, which
-repeats; ``mix`` doesn't round to such shares.
 """
 
 from __future__ import annotations
@@ -45,66 +42,11 @@ from permitlake.llm.common import carry, materialize
 @dataclass(frozen=True)
 class Params:
     block_docs: int = 16
-    max_sources: int = 256  #: bounds nothing; still accepted
     period: int = 4096  #: slots that are written at a time
     bucket_rows: int = 2_000  #: documents of a source that are numbered together
     temperature: float = 0.5  #: default weights: sizes to this power
 
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole shares of the period that add up to it, at least 1 each, by largest remainder."""
-    total = sum(weights.values())
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def schedule(k: dict[str, int], period: int) -> dict[str, np.ndarray]:
-    """The slots of each source in one period: earliest deadline first among released blocks."""
-    waiting = [(0, s, 0) for s in k]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    slots: dict[str, list[int]] = {s: [] for s in k}
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // k[s]), s, j))
-        _, s, j = heapq.heappop(ready)
-        slots[s].append(t)
-        if j + 1 < k[s]:
-            heapq.heappush(waiting, ((j + 1) * period // k[s], s, j + 1))
-    return {s: np.array(x, np.int64) for s, x in slots.items()}
-
-
-@dataclass(frozen=True)
-class Phase:
-    first_slot: int
-    first_block: dict[str, int]
-    slots: dict[str, np.ndarray]  #: of each source in a period
-    period: int
-    length: int  #: slots of this phase
-
-
-def plan(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[Phase]:
-    """Phases that schedule all blocks; one source at least runs out at the end of each."""
-    left, done, at, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while left := {s: n for s, n in left.items() if n}:
-        k = shares({s: weights[s] for s in left}, period)
-        slots = schedule(k, period)
-        whole = min(n // k[s] for s, n in left.items())
-        rest = {s: n - whole * k[s] for s, n in left.items()}
-        cut = min((int(slots[s][r]) for s, r in rest.items() if r < k[s]), default=period)
-        out.append(Phase(at, {s: done[s] for s in left}, slots, period, whole * period + cut))
-        at += whole * period + cut
-        for s in left:
-            used = whole * k[s] + int(np.searchsorted(slots[s], cut))
-            left[s] -= used
-            done[s] += used
-    return out
-
-
 def default_weights(sizes: dict[str, int], temperature: float) -> dict[str, float]:
     return {s: float(n) ** temperature for s, n in sizes.items()}
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from fractions import Fraction
 from itertools import pairwise
 
 import corpus_pipeline
@@ -134,28 +136,59 @@ def test_packing_in_order(documents, tmp_path):
 # mixing
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.sampled_from("abcdefghijkl"), st.integers(1, 400), min_size=1), st.randoms(use_true_random=False))
-def test_schedule_keeps_to_the_weights(blocks, rng):
-    weights = {s: rng.random() + 0.01 for s in blocks}
-    phases = mixing.plan(blocks, weights, 64)
+def by_hand(blocks, weights):
+    """Earliest deadline first, slot by slot, with every comparison by exact fractions."""
+    left, done, out = dict(blocks), dict.fromkeys(blocks, 0), []
+    while left := {x: n for x, n in left.items() if n}:
+        share = {x: Fraction(weights[x]) for x in left if weights[x] > 0} or dict.fromkeys(left, Fraction(1))
+        share = {x: w / sum(share.values()) for x, w in share.items()}
+        t, j = 0, dict.fromkeys(share, 0)
+        while True:
+            ready = [(math.ceil((j[x] + 1) / w), x) for x, w in share.items() if math.floor(j[x] / w) <= t]
+            x = min(ready)[1]
+            if not left[x]:
+                break
+            out.append((x, done[x]))
+            left[x], done[x], j[x], t = left[x] - 1, done[x] + 1, j[x] + 1, t + 1
+    return out
+
+
+WEIGHTS = st.one_of(st.integers(1, 50).map(float), st.floats(1e-4, 1.0), st.just(0.0))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.text("abc", min_size=1, max_size=3), st.tuples(st.integers(0, 40), WEIGHTS), max_size=9))
+def test_turns_beside_a_plain_schedule(sources):
+    """The same slots; and until a source runs out, each has its share of them, off by less than one."""
+    blocks, weights = {x: n for x, (n, _) in sources.items()}, {x: w for x, (_, w) in sources.items()}
+    got = list(mixing.turns(blocks, weights))
+    assert got == by_hand(blocks, weights)
+    alive = {x: Fraction(weights[x]) for x, n in blocks.items() if n and weights[x] > 0}
+    had = dict.fromkeys(alive, 0)
+    for t, (x, _) in enumerate(got, 1):
+        if not alive:
+            break
+        had[x] += 1
+        assert all(abs(had[y] - t * w / sum(alive.values())) < 1 for y, w in alive.items())
+        if had[x] == blocks[x]:
+            break
+
+
+def test_mix_beside_a_plain_version(spark, documents):
+    """Places of all rows of a table with a hot source, repeated rows, nulls and many small sources."""
+    r = random.Random(5)
+    docs = documents([(r.randrange(300), r.choice(["a", "b", None]), "en", "hot" if r.random() < 0.34 else r.choice([None, *(f"s{k}" for k in range(40))])) for _ in range(700)])
+    p = mixing.Params(block_docs=4, bucket_rows=60)
+    weights = {"hot": 5.0, "s1": 0.5, "s2": 0.25}
+    mixed = mixing.mix(docs, weights, p)
+    rows = [x for x in mixed.withColumns({"h": F.xxhash64("doc_id", "text"), "s": F.coalesce("source", F.lit(""))}).collect()]
+    buckets = -(-len(rows) // p.bucket_rows)
     order = {}
-    for x in phases:
-        k = mixing.shares({s: weights[s] for s in x.slots}, 64)
-        assert sum(k.values()) == 64
-        for s, at in x.slots.items():
-            assert len(at) == k[s]
-            for j, t in enumerate(at.tolist()):
-                assert j * 64 // k[s] <= t < -(-(j + 1) * 64 // k[s])  # between release and deadline
-        for t in range(x.length):
-            s = next(s for s, at in x.slots.items() if t % 64 in at)
-            order[x.first_slot + t] = s
-        seen = dict.fromkeys(k, 0)
-        for t in range(x.length):
-            seen[order[x.first_slot + t]] += 1
-            assert all(abs(seen[s] - (t + 1) * k[s] / 64) < 1 for s in k)
-    assert sorted(order) == list(range(sum(blocks.values())))
-    assert {s: list(order.values()).count(s) for s in blocks} == blocks
+    for x in sorted(rows, key=lambda x: (x["h"] % buckets, x["h"], x["doc_id"])):
+        order.setdefault(x["s"], []).append((x["h"], x["doc_id"]))
+    slots = {block: t for t, block in enumerate(by_hand({x: -(-len(n) // 4) for x, n in order.items()}, {x: weights.get(x, 0.25) for x in order}))}
+    want = sorted((x, h, i, k // 4, slots[x, k // 4], k % 4) for x, own in order.items() for k, (h, i) in enumerate(own))
+    assert sorted((x["s"], x["h"], x["doc_id"], x["block"], x["slot"], x["place"]) for x in rows) == want
 
 
 def test_mix_uses_every_row_once(documents, odd):
@@ -172,7 +205,7 @@ def test_mix_uses_every_row_once(documents, odd):
 
 def test_more_sources_than_the_bound(documents):
     df = documents([(i, "t", "en", f"s{i % 20}") for i in range(200)])
-    got = mixing.mix(df, p=mixing.Params(max_sources=5, block_docs=2, period=64))
+    got = mixing.mix(df, p=mixing.Params(block_docs=2, period=64))
     assert got.count() == 200 and got.select("slot", "place").distinct().count() == 200
 
 
