@@ -58,7 +58,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: No stage is expressible in SQL; tests hold each against a brute-force version.
+#: No stage is expressible in SQL; tests hold the operators against brute-force versions, and each stage's effect on its own input.
 ORACLE_SQL = None
 
 
