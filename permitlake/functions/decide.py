@@ -84,6 +84,13 @@ def decisions(ledger: DataFrame, subjects: DataFrame, when: Column) -> DataFrame
     return every.select("subject", "version", F.inline(rows)).select("subject", "purpose", "version", "allowed")
 
 
+def permitted(ledger: DataFrame, when: Column) -> DataFrame:
+    """Rows (purpose, subject): for every purpose the subjects that permit it, by one aggregate for all purposes."""
+    per = _of_latest(ledger, **{p.value: covers(p.value) & active(when) for p in Purpose})
+    given = F.filter(F.array(*(F.when(F.col(p.value), F.lit(p.value)) for p in Purpose)), lambda p: p.isNotNull())
+    return per.select(F.explode(given).alias("purpose"), "subject")
+
+
 def states(ledger: DataFrame, subjects: DataFrame, when: Column) -> DataFrame:
     """Each subject's state: active, revoked, expired, future or never, the first that applies."""
     found = _of_latest(ledger, active=active(when), revoked=F.col("revoked_at") <= when, expired=F.col("valid_until") <= when)

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from permitlake.functions import decide, detect, identity, text, vectors
-from permitlake.operators import probes, pruned, retrieval
+from permitlake.operators import bitsets, probes, pruned, retrieval
 from permitlake.operators.candidates import Restricted, Unrestricted, matches, restrict
 from permitlake.schemas import MAX_PAGES, MIN_SIMILARITY, PAGE_SIZE, SMALL_CELL, STOP_WORDS, STRATUM_FIELDS, Purpose
 from permitlake.sources import tables
@@ -18,7 +18,7 @@ from permitlake.sources.corpus import upsert
 from permitlake.sources.index import stored
 from permitlake.sources.ledger import Ledger
 from permitlake.sources.postings import holding, postings
-from permitlake.sources.scratch import folder
+from permitlake.sources.scratch import folder, written
 from permitlake.streaming import ledger as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -492,3 +492,35 @@ def q34(spark: SparkSession, d: str) -> DataFrame:
     last = stream.answers(spark.read.schema(stream.SWITCH).parquet(out))
     people = rows.select("subject").distinct().join(last, "subject", "left")
     return people.select(F.col("subject").cast("long").alias("subject"), F.coalesce("allowed", F.lit(False)).alias("allowed"))
+
+
+def _sets(spark: SparkSession, d: str) -> DataFrame:
+    """The bitmap of every purpose's permitted subjects: (purpose, word, bits)."""
+    return bitsets.bitset(decide.permitted(tables.ledger(spark, d), tables.instant()), "purpose")
+
+
+@query("q35_bitmap_candidates", SQL["q10_candidate_documents"])
+def q35(spark: SparkSession, d: str) -> DataFrame:
+    """The candidate documents again, tested against a bitmap in the scan's own stage."""
+    allowed = written(bitsets.bitset(_consented(spark, d)), "bits")
+    return bitsets.restrict(tables.owned(spark, d).select("doc_id", "subject"), allowed)
+
+
+@query(
+    "q36_purpose_overlaps",
+    BASE
+    + """, p(purpose) AS (VALUES ('direct_care'), ('research'), ('outreach'), ('quality_improvement')),
+  ok AS (SELECT DISTINCT subject, purpose FROM live JOIN p ON active AND list_contains(purposes, purpose)
+    UNION ALL SELECT subject, 'everyone' FROM subjects),
+  names(n) AS (SELECT purpose FROM p UNION ALL SELECT 'everyone')
+  SELECT a.n AS one, b.n AS other,
+    (SELECT count(*) FROM ok x WHERE x.purpose = a.n AND x.subject IN (SELECT subject FROM ok y WHERE y.purpose = b.n)) AS n_both,
+    (SELECT count(*) FROM ok x WHERE x.purpose = a.n AND x.subject NOT IN (SELECT subject FROM ok y WHERE y.purpose = b.n)) AS n_only,
+    (SELECT count(DISTINCT subject) FROM ok x WHERE x.purpose IN (a.n, b.n)) AS n_either
+  FROM names a, names b""",
+)
+def q36(spark: SparkSession, d: str) -> DataFrame:
+    """For each two purposes, and for all subjects: how many permit both, only the one, either. So
+    (everyone, p) has the subjects hidden under p."""
+    everyone = bitsets.bitset(tables.subjects(spark, d).select(F.lit("everyone").alias("purpose"), "subject"), "purpose")
+    return bitsets.overlaps(_sets(spark, d).unionByName(everyone), "purpose", [p.value for p in Purpose] + ["everyone"])
