@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from permitlake.functions import decide, detect, identity, text, vectors
-from permitlake.operators import bitsets, probes, pruned, retrieval
+from permitlake.operators import bitsets, probes, pruned, retrieval, timeline
 from permitlake.operators.candidates import Restricted, Unrestricted, matches, restrict
 from permitlake.schemas import MAX_PAGES, MIN_SIMILARITY, PAGE_SIZE, SMALL_CELL, STOP_WORDS, STRATUM_FIELDS, Purpose
 from permitlake.sources import tables
@@ -524,3 +524,19 @@ def q36(spark: SparkSession, d: str) -> DataFrame:
     (everyone, p) has the subjects hidden under p."""
     everyone = bitsets.bitset(tables.subjects(spark, d).select(F.lit("everyone").alias("purpose"), "subject"), "purpose")
     return bitsets.overlaps(_sets(spark, d).unionByName(everyone), "purpose", [p.value for p in Purpose] + ["everyone"])
+
+
+@query(
+    "q37_timeline",
+    BASE
+    + """, p(purpose) AS (VALUES ('direct_care'), ('research'), ('outreach'), ('quality_improvement')),
+  days AS (SELECT DISTINCT o_orderdate AS day FROM orders),
+  spans AS (SELECT purpose, subject, valid_from, valid_until, revoked_at FROM latest JOIN p ON list_contains(purposes, purpose)),
+  counted AS (SELECT day, purpose, count(DISTINCT subject) AS n FROM days JOIN spans ON valid_from <= day AND (valid_until IS NULL OR day < valid_until) AND (revoked_at IS NULL OR day < revoked_at) GROUP BY ALL)
+  SELECT purpose, CAST(day AS TIMESTAMP) AS at, coalesce(n, 0) AS permitted FROM days CROSS JOIN p LEFT JOIN counted USING (day, purpose)""",
+)
+def q37(spark: SparkSession, d: str) -> DataFrame:
+    """How many subjects permit each purpose on every day that has an order: one sweep, no join of days with permissions."""
+    days = tables.table(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("at")).distinct()
+    rows = tables.ledger(spark, d).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("valid_from", "valid_until", "revoked_at")})
+    return timeline.counts_at(timeline.changes(timeline.intervals(rows)), days)
