@@ -19,6 +19,7 @@ from permitlake.sources.index import stored
 from permitlake.sources.ledger import Ledger
 from permitlake.sources.postings import holding, postings
 from permitlake.sources.scratch import folder, written
+from permitlake.sources.segments import create_index, index_documents
 from permitlake.streaming import ledger as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -540,3 +541,33 @@ def q37(spark: SparkSession, d: str) -> DataFrame:
     days = tables.table(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("at")).distinct()
     rows = tables.ledger(spark, d).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("valid_from", "valid_until", "revoked_at")})
     return timeline.counts_at(timeline.changes(timeline.intervals(rows)), days)
+
+
+@query(
+    "q38_index_of_upserts",
+    BASE
+    + f""", langs AS (SELECT DISTINCT doc_type FROM docs WHERE doc_type IS NOT NULL), lo AS (SELECT min(doc_type) AS lang FROM langs), hi AS (SELECT max(doc_type) AS lang FROM langs),
+  log AS (SELECT doc_id, 1 AS seq, subject, title, text, false AS gone FROM docs
+    UNION ALL SELECT doc_id, 2, subject, title || '-new', text || ' amended record', false FROM docs WHERE doc_type = (SELECT lang FROM lo)
+    UNION ALL SELECT doc_id, 3, subject, NULL, NULL, true FROM docs WHERE doc_type = (SELECT lang FROM hi)
+    UNION ALL SELECT doc_id, 4, subject, title || '-again', 'restored record', false FROM docs WHERE doc_type = (SELECT lang FROM hi) AND title = (SELECT min(title) FROM docs)),
+  now_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1 AND NOT gone),
+  words AS (SELECT doc_id, token FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\\-]*')) AS token FROM now_) WHERE token NOT IN ({STOPS}))"""
+    + WEIGHTS
+    + """, norms AS (SELECT doc_id, sum(weight * weight) AS n FROM weights GROUP BY doc_id)
+  SELECT doc_id, subject, title, CAST(coalesce(n, 0) AS BIGINT) AS norm FROM now_ LEFT JOIN norms USING (doc_id) WHERE subject IN (SELECT subject FROM consented)""",
+)
+def q38(spark: SparkSession, d: str) -> DataFrame:
+    """All documents loaded into an index, those of one language amended, those of another
+    deleted, the deltas compacted, some of the deleted restored: the permitted documents and their norms."""
+    docs = tables.owned(spark, d)
+    bounds = docs.agg(F.min("doc_type").alias("low"), F.max("doc_type").alias("high"), F.min("title").alias("title")).first()
+    low, high = (docs.where(F.col("doc_type") == F.lit(bounds[x])) for x in ("low", "high"))
+    index = create_index(spark, folder(spark, "documents"), docs.schema)
+    index_documents(index, docs)
+    index_documents(index, low.withColumns({"title": F.concat("title", F.lit("-new")), "text": F.concat("text", F.lit(" amended record"))}))
+    index.delete(high)
+    index.compact()
+    again = high.where(F.col("title") == F.lit(bounds["title"]))
+    index_documents(index, again.withColumns({"title": F.concat("title", F.lit("-again")), "text": F.lit("restored record")}))
+    return restrict(index.snapshot().select("doc_id", "subject", "title", "norm"), Restricted(_consented(spark, d)))
