@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from permitlake.functions import decide, detect, identity, text, vectors
-from permitlake.operators import bitsets, probes, pruned, retrieval, timeline
+from permitlake.operators import bitsets, pages, probes, pruned, retrieval, timeline
 from permitlake.operators.candidates import Restricted, Unrestricted, matches, restrict
 from permitlake.schemas import MAX_PAGES, MIN_SIMILARITY, PAGE_SIZE, SMALL_CELL, STOP_WORDS, STRATUM_FIELDS, Purpose
 from permitlake.sources import tables
@@ -571,3 +571,24 @@ def q38(spark: SparkSession, d: str) -> DataFrame:
     again = high.where(F.col("title") == F.lit(bounds["title"]))
     index_documents(index, again.withColumns({"title": F.concat("title", F.lit("-again")), "text": F.lit("restored record")}))
     return restrict(index.snapshot().select("doc_id", "subject", "title", "norm"), Restricted(_consented(spark, d)))
+
+
+@query(
+    "q39_deep_pages",
+    BASE
+    + WORDS
+    + WEIGHTS
+    + SCORES
+    + """, ranked AS (SELECT doc_id, round(coalesce(score, 0), 6) AS score, row_number() OVER (ORDER BY round(coalesce(score, 0), 12) DESC, doc_id) AS rank FROM allowed_docs LEFT JOIN scores USING (doc_id)),
+  n AS (SELECT (count(*) + 9) // 10 AS pages FROM ranked)
+  SELECT CAST((rank - 1) // 10 AS BIGINT) AS page, rank, doc_id, score FROM ranked, n WHERE (rank - 1) // 10 IN (0, pages // 2, pages - 1)""",
+)
+def q39(spark: SparkSession, d: str) -> DataFrame:
+    """All permitted documents ranked by their cosine to the seed document and stored; the first, the middle and the last page."""
+    index = stored(spark, d)
+    scored = _scored(restrict(index, Restricted(_consented(spark, d))), index).select("doc_id", F.round("score", 12).alias("score"))
+    ranking = pages.Ranking.write(written(scored, "scored"), folder(spark, "ranking"), F.desc("score"), F.asc("doc_id"))
+    n = ranking.pages(PAGE_SIZE)
+    asked = sorted({0, n // 2, max(0, n - 1)})
+    found = reduce(DataFrame.unionByName, (ranking.page(k, PAGE_SIZE).withColumn("page", F.lit(k).cast("long")) for k in asked))
+    return found.select("page", "rank", "doc_id", F.round("score", 6).alias("score"))
