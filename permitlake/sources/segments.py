@@ -123,8 +123,13 @@ class DocumentTable:
         """
         schema = T.StructType.fromJson(self.manifest()["schema"])
         row = F.struct(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
-        picked = rows.groupBy(KEY).agg(F.max(F.struct(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), row.alias("row"))).alias("_best"))
-        return self._append(picked.select("_best.row.*").withColumn("_gone", F.lit(False)))
+        best = F.max(F.struct(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), row.alias("row"))).alias("_best")
+        repeated = rows.where(F.col(KEY).isNotNull()).groupBy(KEY).count().where("count > 1").select(KEY)  # ids alone travel
+        picked = rows.select(row.alias("_row")).select("_row.*")
+        if not repeated.isEmpty():
+            many = rows.join(repeated, KEY, "left_semi").groupBy(KEY).agg(best).select("_best.row.*")
+            picked = rows.join(repeated, KEY, "left_anti").select(row.alias("_row")).select("_row.*").unionByName(many)
+        return self._append(picked.withColumn("_gone", F.lit(False)))
 
     def delete(self, ids: DataFrame) -> int:
         """Takes out the documents of ``ids`` (doc_id); ids that the table has not do no harm."""
