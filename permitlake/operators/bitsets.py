@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a scan may be given by broadcast: 64 bytes each at most in the hash table, 128 MB in all.
+#: Words that a scan may be given by broadcast: some 64 bytes each in the hash table (estimated), so near 128 MB.
 BROADCAST_WORDS = 2_000_000
 
 
