@@ -1,13 +1,16 @@
 """The ledger as a stream: a row whenever a subject lights up or goes dark for a purpose.
 
-State is kept per subject (highest version, the union of its rows' windows, the
-last answer) and changes only for subjects that have rows or a boundary due;
-nothing is rewritten per batch. Windows begin and end by timers: each subject has
-one, at the next instant at which its answer can change. The stream's clock is
+State is kept per slot, a few hundred or thousand subjects by the hash of their
+names: for each of them the highest version, the union of its rows' windows and the
+last answer. A call of Spark's Python state API costs about a millisecond whatever
+it carries, so a batch costs calls by slots, not by subjects; a slot without rows and
+without a boundary due is not read. Windows begin and end by timers: each slot has
+one, at the next instant at which an answer in it can change. The stream's clock is
 the rows' time of arrival in the log (``arrived``), so a row that arrives long
 after its window began is late for its window, never for the stream: it counts
 from its arrival on. Rows of one batch are taken in the order of arrival, and the
-highest version decides, whatever that order is.
+highest version decides, whatever that order is. The number of slots belongs to a
+checkpoint: restart a stream with the number that it began with.
 
 Needs Spark's RocksDB state store (``start`` sets it) and, on the executors, the
 ``protobuf`` package that Spark's Python state client uses.
@@ -30,6 +33,9 @@ from permitlake.schemas import LEDGER, Purpose
 SWITCH = "subject string, n long, at timestamp, allowed boolean"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NEVER = (1 << 63) - 1
+SLOTS = 1_024
+SLOT_SUBJECTS = 2_000  #: subjects of one slot, about, where they are counted first
+TASK_SLOTS = 32
 ARRIVED = T.StructType([*LEDGER.fields, T.StructField("arrived", T.TimestampType())])
 
 
@@ -91,63 +97,82 @@ class Subject:
 class Switches(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("subject", "version int, seen long, n long, allowed boolean, due long, begins array<long>, ends array<long>")
+        self.kept = handle.getValueState("slot", "due long, subject array<string>, version array<int>, seen array<long>, n array<long>, allowed array<boolean>, windows array<int>, begins array<long>, ends array<long>")
 
-    def _load(self) -> tuple[Subject, int | None]:
+    def _load(self) -> tuple[dict[str, Subject], int | None]:
         kept = self.kept.get()
         if kept is None:
-            return Subject(), None
-        version, seen, n, allowed, due, begins, ends = kept
-        return Subject(version, seen, n, allowed, list(zip(begins, ends, strict=True))), due
-
-    def _store(self, key: tuple, one: Subject, timer: int | None) -> Iterator[pd.DataFrame]:
-        due = one.due()
+            return {}, None
+        due, names, version, seen, n, allowed, sizes, begins, ends = kept
+        bounds, at, slot = list(zip(begins, ends, strict=True)), 0, {}
+        for i, name in enumerate(names):
+            slot[name] = Subject(version[i], seen[i], n[i], allowed[i], bounds[at : at + sizes[i]])
+            at += sizes[i]
+        return slot, due
+
+    def _store(self, slot: dict[str, Subject], timer: int | None) -> Iterator[pd.DataFrame]:
+        due = min((t for one in slot.values() if (t := one.due()) is not None), default=None)
         if timer is not None and timer != due:
             self.handle.deleteTimer(timer)
         if due is not None and timer != due:
             self.handle.registerTimer(due)
-        self.kept.update((one.version, one.seen, one.n, one.allowed, due, [a for a, _ in one.windows], [b for _, b in one.windows]))
-        if one.changes:
-            n, at, allowed = zip(*one.changes, strict=True)
-            yield pd.DataFrame({"subject": key[0], "n": n, "at": pd.to_datetime(list(at), unit="ms"), "allowed": allowed})
+        every = list(slot.values())
+        bounds = [w for one in every for w in one.windows]
+        state = ([one.version for one in every], [one.seen for one in every], [one.n for one in every], [one.allowed for one in every], [len(one.windows) for one in every])
+        self.kept.update((due, list(slot), *state, [a for a, _ in bounds], [b for _, b in bounds]))
+        changes = [(name, *c) for name, one in slot.items() for c in one.changes]
+        if changes:
+            subject, n, at, allowed = zip(*changes, strict=True)
+            yield pd.DataFrame({"subject": subject, "n": n, "at": pd.to_datetime(list(at), unit="ms"), "allowed": allowed})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        one, timer = self._load()
+        slot, timer = self._load()
         every = pd.concat(list(rows)).sort_values(["clock", "version"], kind="stable")
-        for r in every.itertuples(index=False):
-            one.take(int(r.clock), int(r.version), bool(r.granted), (int(r.begins), int(r.ends)))
-        yield from self._store(key, one, timer)
+        for name, clock, version, granted, begins, ends in zip(*(every[c].tolist() for c in ("subject", "clock", "version", "granted", "begins", "ends")), strict=True):
+            if (one := slot.get(name)) is None:
+                one = slot[name] = Subject()
+            one.take(clock, version, granted, (begins, ends))
+        yield from self._store(slot, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        one, timer = self._load()
+        slot, timer = self._load()
         fired = expiredTimerInfo.getExpiryTimeInMs()
-        one.advance(max(fired, timerValues.getCurrentWatermarkInMs()))  # later boundaries may be due too
-        yield from self._store(key, one, None if timer == fired else timer)
+        now = max(fired, timerValues.getCurrentWatermarkInMs())  # later boundaries may be due too
+        for one in slot.values():
+            if (due := one.due()) is not None and due <= now:
+                one.advance(now)
+        yield from self._store(slot, None if timer == fired else timer)
 
     def close(self) -> None:
         pass
 
 
-def switches(rows: DataFrame, purpose: Purpose, scope: str | None = None) -> DataFrame:
+def switches(rows: DataFrame, purpose: Purpose, scope: str | None = None, slots: int = SLOTS) -> DataFrame:
     """Rows (subject, n, at, allowed): the n-th change of a subject's answer. ``rows`` has the ledger's columns and arrived."""
     ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
     slim = rows.withWatermark("arrived", "0 seconds").select(
         F.col("subject").cast("string").alias("subject"), "arrived", F.col("version").cast("int").alias("version"), ms("arrived").alias("clock"),
         F.coalesce(decide.covers(purpose.value, scope), F.lit(False)).alias("granted"), F.coalesce(ms("valid_from"), F.lit(NEVER)).alias("begins"), F.coalesce(F.least(ms("valid_until"), ms("revoked_at")), F.lit(NEVER)).alias("ends"),
     )
-    return slim.groupBy("subject").transformWithStateInPandas(statefulProcessor=Switches(), outputStructType=SWITCH, outputMode="Append", timeMode="EventTime")
+    placed = slim.withColumn("slot", F.pmod(F.xxhash64("subject"), F.lit(slots)).cast("int"))
+    return placed.groupBy("slot").transformWithStateInPandas(statefulProcessor=Switches(), outputStructType=SWITCH, outputMode="Append", timeMode="EventTime")
+
 
+def start(changes: DataFrame, path: str, checkpoint: str, tasks: int | None = None) -> StreamingQuery:
+    """Appends the changes to Parquet files under ``path`` until the input at hand is read.
 
-def start(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends the changes to Parquet files under ``path`` until the input at hand is read."""
+    ``tasks`` is the number of the state's partitions (else Spark's setting); a checkpoint keeps its first.
+    """
     spark = changes.sparkSession
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, STORE)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": STORE} | ({"spark.sql.shuffle.partitions": str(tasks)} if tasks else {})
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         return changes.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
 
 
 def answers(changes: DataFrame) -> DataFrame:

@@ -90,3 +90,19 @@ def test_stream_of_batches(spark, tmp_path):
     q = stream.versions(stream.stream_rows(spark, src)).writeStream.outputMode("complete").format("memory").queryName("versions").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("versions").where("subject <> ''").select("subject", "version").collect()} == {tuple(r) for r in decide.versions(every).collect()}
+
+
+def test_calls_by_slots(spark, tmp_path):
+    """Many subjects share a slot's state: its rows and timers grow with the slots, and every answer stays its own subject's."""
+    rows = ledger(5, 900, 400)
+    tick = ("", ["research"], [], START, None, None, 1, START + 1_000 * HOUR + timedelta(minutes=30))
+    src, out, mark = (str(tmp_path / x) for x in ("rows", "changes", "mark"))
+    for part in (rows[:500], rows[500:], [tick]):
+        spark.createDataFrame(part, stream.ARRIVED).coalesce(1).write.mode("append").parquet(src)
+        query = stream.start(stream.switches(stream.stream_rows(spark, src), CARE, slots=8), out, mark, 2)
+        query.awaitTermination()
+        assert all(o["numRowsTotal"] <= 8 * 4 for p in query.recentProgress for o in p["stateOperators"])
+        assert all(o["numShufflePartitions"] == 2 for p in query.recentProgress for o in p["stateOperators"])
+    want = {r[0] for r in decide.consented(spark.createDataFrame(rows, stream.ARRIVED), CARE, F.lit(tick[7])).collect()}
+    assert {r["subject"] for r in stream.answers(spark.read.schema(stream.SWITCH).parquet(out)).where("allowed").collect()} == want
+    assert len(want) > 20 and spark.conf.get("spark.sql.shuffle.partitions") == "4"
