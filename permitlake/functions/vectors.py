@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -56,32 +57,40 @@ def cosine(vector: Column, query: dict[int, float]) -> Column:
     return reduce(lambda a, b: a + b, (F.coalesce(F.get(vector, F.lit(i)).cast("double"), F.lit(0.0)) * v for i, v in query.items()), F.lit(0.0))
 
 
-COUNTS_KEPT = 1_000_000
+COUNTS_KEPT = 100_000  #: tokens whose buckets a task remembers
+COUNTS_ROWS = 256  #: vectors that a task holds before they leave it
 
 
-def counts(text: Column) -> Column:
-    """Token counts in the md5 buckets (the digest's first 32 bits modulo DIMENSIONS), stop words left out.
+def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The counts of each text, in its order.
 
-    The index is made with it once for a corpus: no row leaves its task, and what an
-    exploded count would shuffle stays in one array.
+    What a Python worker holds has bounds, however large the corpus: the vectors of a
+    few rows, not of an Arrow batch, and the buckets of so many tokens.
     """
+    stops = dict.fromkeys(STOP_WORDS, DIMENSIONS)
+    known: dict[str, int] = dict(stops)
+
+    def one(text: str | None) -> np.ndarray:
+        found = re.findall(TOKEN, text.lower()) if text else []
+        if len(known) > COUNTS_KEPT:
+            known.clear()
+            known.update(stops)
+        for w in (w for w in set(found) if w not in known):
+            known[w] = int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % DIMENSIONS
+        return np.bincount([known[w] for w in found], minlength=DIMENSIONS + 1)[:DIMENSIONS].astype(np.int32)
 
-    @F.pandas_udf("array<int>")
-    def counted(texts: pd.Series) -> pd.Series:
-        known: dict[str, int] = dict.fromkeys(STOP_WORDS, DIMENSIONS)
+    for texts in batches:
+        for a in range(0, len(texts), COUNTS_ROWS):
+            yield texts.iloc[a : a + COUNTS_ROWS].map(one)
 
-        def one(text: str | None) -> np.ndarray:
-            found = re.findall(TOKEN, text.lower()) if text else []
-            if len(known) > COUNTS_KEPT:
-                known.clear()
-                known.update(dict.fromkeys(STOP_WORDS, DIMENSIONS))
-            for w in (w for w in set(found) if w not in known):
-                known[w] = int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % DIMENSIONS
-            return np.bincount([known[w] for w in found], minlength=DIMENSIONS + 1)[:DIMENSIONS].astype(np.int32)
 
-        return texts.map(one)
+def counts(text: Column) -> Column:
+    """Token counts in the md5 buckets (the digest's first 32 bits modulo DIMENSIONS), stop words left out.
 
-    return counted(F.coalesce(text, F.lit("")))
+    The index is made with it once for a corpus: no row leaves its task, and what an
+    exploded count would shuffle stays in one array.
+    """
+    return F.pandas_udf(counted, "array<int>")(F.coalesce(text, F.lit("")))
 
 
 def square(vec: Column) -> Column:

@@ -126,3 +126,16 @@ def test_mail_spans_are_where_the_matches_are(spark, texts):
     for i, t in enumerate(texts):
         assert [(s["start"], s["end"]) for s in got[i]["s"]] == [m.span() for m in re.finditer(detect.EMAIL, t)]
         assert got[i]["m"] == re.sub(detect.EMAIL, "[EMAIL]", t)
+
+
+def test_counts_hold_few_rows(monkeypatch):
+    """A worker gives vectors on in small parts, in the texts' order, and forgets tokens beyond a limit; the counts stay the same."""
+    import pandas as pd
+
+    texts = [f"routine w{i} w{i} review w{i % 7}" if i % 5 else None for i in range(1_000)]
+    monkeypatch.setattr(vectors, "COUNTS_ROWS", 64)
+    want = [v.tolist() for part in vectors.counted(iter([pd.Series(texts)])) for v in part]
+    monkeypatch.setattr(vectors, "COUNTS_KEPT", 50)
+    parts = list(vectors.counted(iter([pd.Series(texts[:900]), pd.Series(texts[900:]), pd.Series([], dtype=object)])))
+    assert max(map(len, parts)) <= 64 and [v.tolist() for part in parts for v in part] == want
+    assert [sum(v) for v in want] == [5 if t else 0 for t in texts]
