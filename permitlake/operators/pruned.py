@@ -22,6 +22,7 @@ from permitlake.functions import vectors
 from permitlake.operators.candidates import Restricted, restrict
 from permitlake.schemas import MIN_SIMILARITY
 from permitlake.sources.postings import Postings, holding
+from permitlake.sources.scratch import written
 
 MARGIN = 1e-9
 HEAVY = 0.98  #: share of the query's squared length that its heaviest buckets hold
@@ -66,7 +67,7 @@ def best(p: Postings, query: dict[int, int], candidates: Restricted, terms: list
     top = [r["score"] for r in begun.select("score").orderBy(F.desc("score")).limit(k).collect()]  # k numbers
     least = top[-1] - MARGIN if len(top) == k else -1.0
 
-    left = bounds.where(F.col("bound") >= least).select("block")
+    left = F.broadcast(bounds.where(F.col("bound") >= least).select("block"))  # a row for 256 documents; the lists stay where they are
     heavy, held = {}, 0
     for b, w in sorted(query.items(), key=lambda x: (-x[1], x[0])):
         if held >= HEAVY * square:
@@ -77,6 +78,7 @@ def best(p: Postings, query: dict[int, int], candidates: Restricted, terms: list
     partial = near.groupBy("doc_id").agg(F.sum(F.col("asked") * F.col("weight")).alias("inner"), F.sum(F.col("weight").cast("long") * F.col("weight")).alias("seen"))
     slim = restrict(p.docs.select("doc_id", "subject", "block", "norm").join(left, "block"), candidates).join(partial, "doc_id", "left").na.fill(0, ["inner", "seen"])
     bound = (F.col("inner") + rest * F.sqrt((F.col("norm") - F.col("seen")).cast("double"))) / (length * F.sqrt(F.greatest("norm", F.lit(1)).cast("double")))
-    chosen = slim.where(bound >= least).select("doc_id", "block")
-    full = scored(p.docs.join(chosen, ["doc_id", "block"], "left_semi"))
+    chosen = written(slim.where(bound >= least).select("doc_id", "block"), "chosen")
+    near_docs = p.docs.join(F.broadcast(chosen.select("block").distinct()), "block", "left_semi")  # vectors of other blocks don't travel
+    full = scored(near_docs.join(chosen, ["doc_id", "block"], "left_semi"))
     return Found(matching(full, least).orderBy(F.desc("score"), "doc_id").limit(k), full, left, least)

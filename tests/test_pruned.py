@@ -135,3 +135,10 @@ def plan(df):
 def test_no_vector_travels(spark, no_small_tables):
     found = plan(catalogue._matched(spark, DATA))
     assert "hashpartitioning(subject" not in found and "BroadcastHashJoin" in found
+
+
+def test_vectors_of_other_blocks_do_not_travel(spark, world, no_small_tables):
+    _, index, lists = world
+    query = {b: w for b, w in enumerate(index.where("doc_id = 40").first()["vec"]) if w}
+    found = pruned.best(lists, query, Restricted(spark.createDataFrame([(s,) for s in range(50)], "subject long")), ["t1w"], 10)
+    assert "BroadcastHashJoin [block" in plan(found.scored)
