@@ -35,6 +35,7 @@ def ranked(scored: DataFrame, *order: Column) -> DataFrame:
     """Every row with its rank (from 1) in a total order, without sorting in one task:
     ranges of the order, ranks within each, and the counts of the ranges before it."""
     parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = written(scored, "scored")  # dealing by ranges reads its input twice
     ranges = written(scored.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranked")
     sizes = ranges.groupBy("_part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("_before", F.sum("n").over(W.orderBy("_part")) - F.col("n")).select("_part", "_before")  # a row per range

@@ -139,3 +139,26 @@ def test_counts_hold_few_rows(monkeypatch):
     parts = list(vectors.counted(iter([pd.Series(texts[:900]), pd.Series(texts[900:]), pd.Series([], dtype=object)])))
     assert max(map(len, parts)) <= 64 and [v.tolist() for part in parts for v in part] == want
     assert [sum(v) for v in want] == [5 if t else 0 for t in texts]
+
+
+def test_probe_matrices_are_small():
+    import inspect
+
+    from permitlake.operators import probes
+
+    assert inspect.signature(probes.narrative_hits).parameters["rows"].default * vectors.DIMENSIONS * 8 <= 4 << 20
+
+
+def test_ranking_works_out_its_input_once(spark):
+    from permitlake.operators import retrieval
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def scored(i):
+        seen.add(1)
+        return float(i % 7)
+
+    rows = spark.range(0, 100, 1, 4).select(F.col("id").alias("doc_id"), scored("id").alias("score"))
+    got = {r["doc_id"]: r["rank"] for r in retrieval.ranked(rows, F.desc("score"), F.asc("doc_id")).collect()}
+    assert got == {i: k for k, i in enumerate(sorted(range(100), key=lambda i: (-(i % 7), i)), 1)} and seen.value == 100
