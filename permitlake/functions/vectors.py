@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,13 +85,20 @@ def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             yield texts.iloc[a : a + COUNTS_ROWS].map(one)
 
 
+def counted_arrays(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The same from Arrow to Arrow: only the texts of a few rows become Python's, whatever a batch holds."""
+    for part in counted(b.slice(a, COUNTS_ROWS).to_pandas() for b in batches for a in range(0, len(b), COUNTS_ROWS)):
+        ends = np.arange(len(part) + 1, dtype=np.int32) * DIMENSIONS
+        yield pa.ListArray.from_arrays(ends, np.concatenate(part.to_list()))
+
+
 def counts(text: Column) -> Column:
     """Token counts in the md5 buckets (the digest's first 32 bits modulo DIMENSIONS), stop words left out.
 
     The index is made with it once for a corpus: no row leaves its task, and what an
     exploded count would shuffle stays in one array.
     """
-    return F.pandas_udf(counted, "array<int>")(F.coalesce(text, F.lit("")))
+    return F.arrow_udf(counted_arrays, "array<int>")(F.coalesce(text, F.lit("")))
 
 
 def square(vec: Column) -> Column:

@@ -141,6 +141,26 @@ def test_counts_hold_few_rows(monkeypatch):
     assert [sum(v) for v in want] == [5 if t else 0 for t in texts]
 
 
+def test_counts_take_few_texts(spark, monkeypatch):
+    """Of an Arrow batch only a few texts are Python's at a time, each part taken after the last has gone; the counts stay the same."""
+    import pandas as pd
+    import pyarrow as pa
+
+    texts = [f"routine w{i} w{i} überall-{i % 7}" if i % 5 else None for i in range(1_000)]
+    want = [v.tolist() for v in pd.concat(vectors.counted(iter([pd.Series(texts)])))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3).select("i", vectors.counts(F.col("t")).alias("v"))
+    assert [r["v"] for r in rows.orderBy("i").collect()] == want and rows.where("i < 0").collect() == []
+
+    monkeypatch.setattr(vectors, "COUNTS_ROWS", 64)
+    taken, plain = [], vectors.counted
+    monkeypatch.setattr(vectors, "counted", lambda parts: plain(taken.append(len(p)) or p for p in parts))
+    got = []
+    for part in vectors.counted_arrays(iter([pa.array(texts[:900]), pa.array([], pa.string()), pa.array(texts).slice(900), pa.nulls(70, pa.string())])):
+        got += part.to_pylist()
+        assert len(part) <= 64 and sum(taken) == len(got)
+    assert max(taken) <= 64 and got == want + [[0] * vectors.DIMENSIONS] * 70
+
+
 def test_probe_matrices_are_small():
     import inspect
 
